@@ -1,4 +1,438 @@
 """All queries over the driver's tables, with SQL for those that SQL can express."""
 
+from pyspark.sql import functions as F
+
+from kindred.functions import bits, digests, media, text
+from kindred.operators import catalog, dataset, exact, files as fs, folders, groups, hamming, ignore, match, rank, report, sequence
+from kindred.operators.components import connected_components
+from kindred.plans import views as v
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with its SQL."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _members(spark, sf_dir):
+    f = v.files(spark, sf_dir)
+    return exact.exact_groups(f).join(f.drop("content", "size"), "file_id")
+
+
+_W = "WITH "
+_SCORE = """score AS (SELECT *, 100.0 * CAST(is_ref AS INT) + 5.0 * size / max(size) OVER (PARTITION BY group_id)
+  - 20.0 * CAST(regexp_matches(regexp_replace(name, '\\.[^.]*$', ''), '(?i)(?:^|[\\s._-])(?:copy|backup|duplicate|resized|small|thumb|thumbnail)(?:$|[\\s._-])') OR regexp_matches(regexp_replace(name, '\\.[^.]*$', ''), '(?i)(?:[\\s._-]\\d+|\\(\\d+\\)|\\[\\d+\\]|\\{\\d+\\}|(?:copy|duplicate)[\\s_-]*\\d*)$') AS INT) + 0.005 AS s FROM m),
+ranked AS (SELECT *, round(s, 9) AS score, row_number() OVER (PARTITION BY group_id ORDER BY is_ref DESC, round(s, 9) DESC, lower(path), file_id) - 1 AS rank FROM score)"""
+
+
+# -- exact duplicates --------------------------------------------------------------------------
+
+
+@query(_W + v.GROUPS + " SELECT group_id, any_value(size) AS size, count(*) AS members, min(file_id) AS first_id FROM m GROUP BY group_id")
+def exact_groups(spark, sf_dir):
+    return exact.exact_groups(v.files(spark, sf_dir)).groupBy("group_id").agg(F.first("size").alias("size"), F.count("*").alias("members"), F.min("file_id").alias("first_id"))
+
+
+@query(_W + v.GROUPS + " SELECT group_id, file_id, size, digest, members, first_id FROM m")
+def exact_group_members(spark, sf_dir):
+    return exact.exact_groups(v.files(spark, sf_dir))
+
+
+@query(_W + v.GROUPS + " SELECT group_id, file_id, size, digest, members, first_id FROM m")
+def exact_staged(spark, sf_dir):
+    return exact.exact_groups(v.files(spark, sf_dir), staged=True, big=1 << 20)
+
+
+@query(_W + v.GROUPS + " SELECT group_id, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM m GROUP BY group_id")
+def exact_pair_count(spark, sf_dir):
+    return exact.pair_count(exact.exact_groups(v.files(spark, sf_dir)))
+
+
+@query(_W + v.GROUPS + ", " + _SCORE + " SELECT group_id, file_id, path, score, rank FROM ranked")
+def exact_keeper(spark, sf_dir):
+    return rank.choose_keepers(_members(spark, sf_dir)).select("group_id", "file_id", "path", "score", "rank")
+
+
+@query()
+def keeper_explanations(spark, sf_dir):
+    return rank.explanations(rank.choose_keepers(_members(spark, sf_dir))).select("group_id", "file_id", "rank", "explanation")
+
+
+@query(_W + v.GROUPS + ", x AS (SELECT group_id, count(*) AS n, any_value(size) AS size FROM m GROUP BY group_id) SELECT count(*) AS groups, CAST(sum(n - 1) AS BIGINT) AS duplicates, CAST(sum((n - 1) * size) AS BIGINT) AS bytes FROM x")
+def exact_reclaimable_size(spark, sf_dir):
+    return exact.reclaimable(exact.exact_groups(v.files(spark, sf_dir)))
+
+
+def _finished(spark, sf_dir, **how):
+    none = spark.createDataFrame([], "lo string, hi string")
+    return exact.finish(exact.colour(_members(spark, sf_dir), none, mixed=how.pop("mixed", True)), **how).select("group_id", "kind", "file_id")
+
+
+@query(_W + v.GROUPS + ", k AS (SELECT group_id FROM m GROUP BY group_id HAVING count(DISTINCT comparison_pool) > 1 AND bool_or(NOT is_ref)) SELECT group_id, '' AS kind, file_id FROM m WHERE group_id IN (SELECT group_id FROM k)")
+def exact_cross_pool(spark, sf_dir):
+    return _finished(spark, sf_dir, cross_pool=True)
+
+
+@query(_W + v.GROUPS + ", k AS (SELECT group_id, extension FROM m GROUP BY ALL HAVING count(*) > 1 AND bool_or(NOT is_ref)) SELECT group_id, extension AS kind, file_id FROM m JOIN k USING (group_id, extension)")
+def exact_same_kind(spark, sf_dir):
+    return _finished(spark, sf_dir, mixed=False)
+
+
+@query()
+def exact_minus_ignored(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    first = m.where("file_id = first_id").select("group_id", F.col("path").alias("first_path"))
+    second = m.where("file_id <> first_id").groupBy("group_id").agg(F.min("path").alias("second_path"))
+    ignored = ignore.canonical(first.join(second, "group_id"))
+    return exact.finish(exact.colour(m, ignored)).select("group_id", "colour", "file_id")
+
+
+@query(_W + v.GROUPS + " SELECT group_id, file_id FROM m WHERE group_id IN (SELECT group_id FROM m WHERE regexp_matches(path, '(?i)src1')) ")
+def path_filter(spark, sf_dir):
+    return rank.filtered(_members(spark, sf_dir), "src1").select("group_id", "file_id")
+
+
+@query(_W + v.GROUPS + ", " + _SCORE + " SELECT r.group_id, r.file_id, r.rank, CASE WHEN r.rank = 0 THEN r.size ELSE r.size - f.size END AS delta_size, r.rank > 0 AND r.extension <> f.extension AS differs_extension FROM ranked r JOIN ranked f ON f.group_id = r.group_id AND f.rank = 0")
+def delta_values(spark, sf_dir):
+    return rank.deltas(rank.choose_keepers(_members(spark, sf_dir)), ["size"], ["extension"]).select("group_id", "file_id", "rank", "delta_size", "differs_extension")
+
+
+@query(_W + v.GROUPS + " SELECT group_id, file_id, row_number() OVER (PARTITION BY group_id ORDER BY is_ref DESC, length(path) DESC, extension = 'en' DESC, file_id) - 1 AS rank FROM m")
+def reprioritized(spark, sf_dir):
+    return rank.prioritize(_members(spark, sf_dir), rank.criteria([("longest_path", None), ("kind", "en")])).select("group_id", "file_id", "rank")
+
+
+@query(_W + v.GROUPS + ", " + _SCORE + ", r AS (SELECT *, first_value(path) OVER (PARTITION BY group_id ORDER BY rank) AS reference FROM ranked) SELECT sha256(group_id || chr(0) || path || chr(0) || 'quarantine') AS action_id, group_id, 'quarantine' AS operation, path AS target, reference, digest FROM r WHERE rank > 0")
+def plan_actions(spark, sf_dir):
+    return report.plan_actions(rank.choose_keepers(_members(spark, sf_dir)))
+
+
+@query(_W + v.GROUPS + ", " + _SCORE + " SELECT count(DISTINCT group_id) AS groups, count(*) FILTER (rank > 0) AS duplicates, CAST(coalesce(sum(size) FILTER (rank > 0), 0) AS BIGINT) AS reclaimable FROM ranked")
+def scan_summary(spark, sf_dir):
+    return report.summary(rank.choose_keepers(_members(spark, sf_dir)))
+
+
+@query(_W + v.GROUPS + " SELECT group_id, file_id FROM m WHERE group_id IN (SELECT group_id FROM m WHERE path = (SELECT min(path) FROM m))")
+def report_query(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    path = m.agg(F.min("path")).first()[0]
+    return report.query_report(m, path=path).select("group_id", "file_id")
+
+
+@query()
+def report_lines(spark, sf_dir):
+    return report.jsonl(rank.choose_keepers(_members(spark, sf_dir)), "scan-1")
+
+
+@query("SELECT 0 AS problems")
+def report_lines_problems(spark, sf_dir):
+    return report.check_jsonl(report_lines(spark, sf_dir)).agg(F.count("*").cast("int").alias("problems"))
+
+
+@query(_W + v.GROUPS + """ SELECT file_id, CASE WHEN regexp_matches(text, '^[ \\t\\r\\n]*[=+\\-@]|^[\\t\\r\\n]') THEN '''' || text ELSE text END AS cell FROM (SELECT file_id, '-' || name AS text FROM m)""")
+def export_cells(spark, sf_dir):
+    return _members(spark, sf_dir).select("file_id", report.csv_cell(F.concat(F.lit("-"), "name")).alias("cell"))
+
+
+# -- files and folders -------------------------------------------------------------------------
+
+
+@query(_W + v.FILES + " SELECT file_id, size FROM files WHERE size >= 1000 AND size <= 5000")
+def size_threshold(spark, sf_dir):
+    return fs.size_between(v.files(spark, sf_dir), 1000, 5000).select("file_id", "size")
+
+
+@query(_W + v.FILES + " SELECT file_id, name FROM files WHERE regexp_matches(name, '^(?:doc_.*copy.*)$') OR regexp_matches(path, '^(?:/lib/src1/.*)$')")
+def excluded_files(spark, sf_dir):
+    f = v.files(spark, sf_dir)
+    return f.where(fs.excluded(F.col("path"), (r"doc_.*copy.*", r"/lib/src1/.*"))).select("file_id", "name")
+
+
+@query(_W + v.FILES + " SELECT file_id, CASE WHEN path LIKE '/lib/src1/en/%' THEN 3 WHEN path LIKE '/lib/src1/%' THEN 1 WHEN path LIKE '/lib/src2/%' THEN 2 ELSE 0 END AS state, CASE WHEN path LIKE '/lib/src1/en/%' THEN 'compare_only' WHEN path LIKE '/lib/src1/%' THEN 'protected' ELSE 'incoming' END AS comparison_pool FROM files")
+def directory_state(spark, sf_dir):
+    states = spark.createDataFrame([("/lib/src1", 1), ("/lib/src2", 2), ("/lib/src1/en", 3)], "path string, state int")
+    return fs.directory_states(v.files(spark, sf_dir).drop("is_ref", "comparison_pool"), states).select("file_id", "state", "comparison_pool")
+
+
+@query(_W + v.FILES + ", p AS (SELECT DISTINCT source, lang FROM documents) SELECT DISTINCT folder, depth FROM (SELECT '/lib' AS folder, 1 AS depth FROM p UNION ALL SELECT '/lib/' || source, 2 FROM p UNION ALL SELECT '/lib/' || source || '/' || lang, 3 FROM p)")
+def folder_list(spark, sf_dir):
+    return fs.folders_of(v.files(spark, sf_dir))
+
+
+@query(_W + v.FILES + """, f AS (SELECT path, size, sha256(content) AS digest, '/lib/' || source || '/' || extension AS f3, '/lib/' || source AS f2 FROM files),
+a AS (SELECT f3 AS folder, f2, CAST(sum(size) AS BIGINT) AS size, sha256(string_agg(digest, '' ORDER BY path)) AS digest FROM f GROUP BY f3, f2),
+b AS (SELECT f2 AS folder, CAST(sum(size) AS BIGINT) AS size, sha256(string_agg(digest, '' ORDER BY folder)) AS digest FROM a GROUP BY f2),
+c AS (SELECT '/lib' AS folder, CAST(sum(size) AS BIGINT) AS size, sha256(string_agg(digest, '' ORDER BY folder)) AS digest FROM b)
+SELECT folder, size, digest, 3 AS depth FROM a UNION ALL SELECT folder, size, digest, 2 FROM b UNION ALL SELECT folder, size, digest, 1 FROM c""")
+def folder_manifests(spark, sf_dir):
+    f = v.files(spark, sf_dir)
+    return folders.folder_digests(f.select("path", "size", digests.content_digest(F.col("content")).alias("digest")))
+
+
+@query()
+def folder_manifest_groups(spark, sf_dir):
+    p = v.table(spark, sf_dir, "pages").select(F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", "")).alias("path"), F.lit(1).cast("long").alias("size"), F.lit("x").alias("digest"))
+    made = folders.folder_digests(p.distinct()).withColumn("is_ref", F.lit(False))
+    g = exact.manifest_groups(made).withColumn("group_id", F.concat_ws(":", F.col("size").cast("string"), "digest"))
+    return folders.suppress_nested(g.select("group_id", "folder"))
+
+
+@query("SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
+def first_of_path(spark, sf_dir):
+    return fs.first_of(v.table(spark, sf_dir, "pages").select("url", "page_id"), F.col("url"), "page_id")
+
+
+@query("SELECT user_id AS root, count(*) FILTER (event_type = 'purchase') AS files, count(*) FILTER (event_type = 'click') AS pruned, count(*) FILTER (event_type = 'error') AS reduced, count(*) FILTER (event_type = 'error') = 0 AS complete FROM events GROUP BY user_id")
+def scan_coverage_by_root(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "purchase", "file").when(F.col("event_type") == "click", "pruned").when(F.col("event_type") == "error", "error").otherwise("folder")
+    return fs.walk_coverage(e.select(F.col("user_id").alias("root"), kind.alias("kind")))
+
+
+# -- names -------------------------------------------------------------------------------------
+
+
+@query(_W + v.NAMES + " SELECT id, unnest(words) AS word FROM names")
+def word_tokens(spark, sf_dir):
+    return v.names(spark, sf_dir).select("id", F.explode("words").alias("word"))
+
+
+_POSTINGS = "p AS (SELECT DISTINCT id, unnest(words) AS word FROM {0}), c AS (SELECT *, count(*) OVER (PARTITION BY word) AS n FROM p), u AS (SELECT word, id FROM c WHERE n < 50 OR id NOT IN (SELECT id FROM c WHERE n < 50))"
+
+
+@query(_W + v.NAMES + ", " + _POSTINGS.format("names") + " SELECT word, id FROM u")
+def common_word_reduction(spark, sf_dir):
+    return match.uncommon_postings(v.names(spark, sf_dir))
+
+
+_COMMON = "list_sum(list_transform(list_distinct(a.words), lambda x: least(len(list_filter(a.words, lambda y: y = x)), len(list_filter(b.words, lambda y: y = x)))))"
+_PAIRS = "x AS (SELECT DISTINCT l.id AS i, r.id AS j FROM u l JOIN u r ON l.word = r.word AND l.id < r.id)"
+
+
+@query(_W + v.NAMES + ", " + _POSTINGS.format("names") + ", " + _PAIRS + f", s AS (SELECT i AS first_id, j AS second_id, a.words AS aw, b.words AS bw, CAST(round_even(200.0 * {_COMMON} / (len(a.words) + len(b.words)), 0) AS INT) AS p FROM x JOIN names a ON a.id = i JOIN names b ON b.id = j) SELECT first_id, second_id, CASE WHEN p = 100 AND aw <> bw THEN 99 ELSE p END AS percentage FROM s WHERE p >= 50")
+def word_match_pairs(spark, sf_dir):
+    return match.matches(v.names(spark, sf_dir), 50)
+
+
+@query()
+def similar_word_match(spark, sf_dir):
+    o = v.names(spark, sf_dir)
+    merged = match.similar_words(o.select(F.explode("words").alias("word")))
+    return match.matches(o, 50, text.compare_similar, similar=merged)
+
+
+@query(_W + "names AS (SELECT min(p_partkey) AS id, p_type || ' - ' || p_name AS name, string_split(lower(p_type || ' ' || p_name), ' ') AS words, string_split(lower(p_type), ' ') AS f1, string_split(lower(p_name), ' ') AS f2 FROM part GROUP BY p_type, p_name), " + "x AS (SELECT a.id AS first_id, b.id AS second_id, a.f1 AS a1, a.f2 AS a2, b.f1 AS b1, b.f2 AS b2 FROM names a JOIN names b ON a.id < b.id AND len(list_intersect(a.words, b.words)) > 0), y AS (SELECT *, " + ", ".join(f"CAST(round_even(200.0 * coalesce(list_sum(list_transform(list_distinct(a{k}), lambda x: least(len(list_filter(a{k}, lambda y: y = x)), len(list_filter(b{k}, lambda y: y = x))))), 0) / (len(a{k}) + len(b{k})), 0) AS INT) AS p{k}" for k in (1, 2)) + " FROM x) SELECT first_id, second_id, least(CASE WHEN p1 = 100 AND a1 <> b1 THEN 99 ELSE p1 END, CASE WHEN p2 = 100 AND a2 <> b2 THEN 99 ELSE p2 END) AS percentage FROM y WHERE least(CASE WHEN p1 = 100 AND a1 <> b1 THEN 99 ELSE p1 END, CASE WHEN p2 = 100 AND a2 <> b2 THEN 99 ELSE p2 END) >= 50")
+def field_match_pairs(spark, sf_dir):
+    p = v.table(spark, sf_dir, "part").groupBy("p_type", "p_name").agg(F.min("p_partkey").alias("id"))
+    o = p.select("id", text.fields(F.concat("p_type", F.lit(" - "), "p_name"), ascii_only=True).alias("fields"))
+    return match.matches(o.withColumn("words", F.flatten("fields")), 50, text.compare_fields, column="fields", common=1 << 30, guard=False)
+
+
+@query()
+def passage_matches(spark, sf_dir):
+    return match.matches(v.passages(spark, sf_dir), 20)
+
+
+@query("WITH p AS (SELECT o_orderkey AS id, o_custkey, o_orderdate FROM orders) SELECT a.id AS first_id, b.id AS second_id, 100 AS percentage FROM p a JOIN p b ON a.o_orderdate = b.o_orderdate AND a.o_custkey = b.o_custkey AND a.id < b.id")
+def timestamp_match(spark, sf_dir):
+    o = v.table(spark, sf_dir, "orders")
+    return match.timestamp_matches(o.select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss").alias("ts"), F.col("o_custkey").alias("dimensions")), scaled=False)
+
+
+# -- fingerprints ------------------------------------------------------------------------------
+
+_HAMMING = _W + v.PRINTS + ", h AS (SELECT a.id AS first_id, b.id AS second_id, CAST(bit_count(xor(a.fingerprint, b.fingerprint)) AS INT) AS distance FROM prints a JOIN prints b ON a.id < b.id)"
+
+
+@query(_HAMMING + " SELECT * FROM h WHERE distance <= 20")
+def hamming_pairs(spark, sf_dir):
+    return hamming.hamming_pairs(v.fingerprints(spark, sf_dir), 20)
+
+
+@query(_HAMMING + ", b AS (SELECT first_id AS id, second_id AS other_id, distance FROM h WHERE distance <= 20 UNION ALL SELECT second_id, first_id, distance FROM h WHERE distance <= 20), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other_id) AS rank FROM b) SELECT * FROM r WHERE rank <= 3")
+def hamming_topk(spark, sf_dir):
+    return hamming.top_k(hamming.hamming_pairs(v.fingerprints(spark, sf_dir), 20), 3)
+
+
+@query(_W + v.PRINTS + ", q AS (SELECT label AS probe_id, min_by(fingerprint, id) AS f, min(id) AS own FROM prints GROUP BY label) SELECT q.own AS probe_id, p.id, CAST(bit_count(xor(q.f, p.fingerprint)) AS INT) AS distance FROM q JOIN prints p ON p.id <> q.own WHERE bit_count(xor(q.f, p.fingerprint)) <= 20")
+def hamming_query(spark, sf_dir):
+    e = v.fingerprints(spark, sf_dir)
+    probes = e.groupBy("label").agg(F.min("id").alias("probe_id"), F.min_by("fingerprint", "id").alias("fingerprint"))
+    return hamming.query(e, probes, 20)
+
+
+@query(_HAMMING + ", n AS (SELECT count(*) AS n FROM prints) SELECT n AS indexed, CAST(n * (n - 1) / 2 AS BIGINT) AS possible, (SELECT count(*) FROM h WHERE distance <= 20) AS candidates, round(1 - (SELECT count(*) FROM h WHERE distance <= 20) / (n * (n - 1) / 2), 6) AS reduction_ratio FROM n")
+def hamming_reduction(spark, sf_dir):
+    e = v.fingerprints(spark, sf_dir)
+    return hamming.reduction(hamming.hamming_pairs(e, 20), e.count()).select(F.col("indexed").cast("long"), F.col("possible").cast("long"), "candidates", "reduction_ratio")
+
+
+@query("WITH h AS (SELECT conv_id, list_transform(range(0, 64), lambda k: CAST(len(list_filter(list(length(text)), lambda x: x % 64 = k)) * 128 AS INT)) AS h FROM conversations GROUP BY conv_id), p AS (SELECT a.conv_id AS first_id, b.conv_id AS second_id, list_sum(list_transform(range(1, 65), lambda i: abs(a.h[i] - b.h[i]))) / 2048.0 AS distance FROM h a JOIN h b ON a.conv_id + 1 = b.conv_id) SELECT first_id, second_id, round(distance, 6) AS distance FROM p")
+def histogram_distance(spark, sf_dir):
+    c = v.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.length("text")).alias("l"))
+    h = c.select("conv_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.size(F.filter("l", lambda x: x % 64 == k)) * 128).alias("h"))
+    a, b = h.alias("a"), h.alias("b")
+    return a.join(b, F.col("a.conv_id") + 1 == F.col("b.conv_id")).select(F.col("a.conv_id").alias("first_id"), F.col("b.conv_id").alias("second_id"), F.round(bits.histogram_distance(F.col("a.h"), F.col("b.h")), 6).alias("distance"))
+
+
+# -- groups ------------------------------------------------------------------------------------
+
+_EDGES = _HAMMING + ", e AS (SELECT first_id, second_id, distance FROM h WHERE distance <= 20)"
+
+
+def _edges(spark, sf_dir):
+    return hamming.hamming_pairs(v.fingerprints(spark, sf_dir), 20).withColumn("percentage", 100 - F.col("distance"))
+
+
+@query(_EDGES.replace("WITH ", "WITH RECURSIVE ", 1) + ", n AS (SELECT first_id AS a, second_id AS b FROM e UNION ALL SELECT second_id, first_id FROM e), r AS (SELECT DISTINCT a, a AS b FROM n UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a) SELECT a AS member_id, min(b) AS component_id FROM r GROUP BY a")
+def components(spark, sf_dir):
+    return connected_components(_edges(spark, sf_dir))
+
+
+@query()
+def component_groups(spark, sf_dir):
+    return groups.component_groups(_edges(spark, sf_dir))
+
+
+@query()
+def clique_groups(spark, sf_dir):
+    return groups.clique_groups(_edges(spark, sf_dir))
+
+
+@query()
+def group_percentage(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return groups.group_percentage(groups.clique_groups(e), e)
+
+
+@query()
+def group_invariants(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return groups.invariants(groups.clique_groups(e), e)
+
+
+# -- sequences ---------------------------------------------------------------------------------
+
+_META = _W + v.VIDEOS + """, p AS (SELECT a.id AS first_id, b.id AS second_id, a.codec = b.codec AS codec, a.w = b.w AND a.h = b.h AS same, abs(a.dur - b.dur) <= greatest(1.0, greatest(a.dur, b.dur) * 0.015) AS lasts, least(a.dur, b.dur) / greatest(a.dur, b.dur) AS f,
+  abs(a.w / a.h - b.w / b.h) / greatest(a.w / a.h, b.w / b.h) AS aspect, round_even(ln(a.w / a.h) / ln(1.025), 0) AS ba, round_even(ln(b.w / b.h) / ln(1.025), 0) AS bb, floor(ln(a.dur) / ln(1.25)) AS da, floor(ln(b.dur) / ln(1.25)) AS db FROM videos a JOIN videos b ON a.id < b.id),
+k AS (SELECT *, CASE WHEN lasts AND same AND codec THEN 'same_encode' WHEN lasts AND aspect <= 0.025 THEN 'transcode' WHEN aspect <= 0.025 AND f >= 0.2 THEN 'trim' WHEN f >= 0.1 THEN 'related' ELSE 'rejected' END AS kind FROM p WHERE abs(ba - bb) <= 1 AND abs(da - db) <= 12),
+c AS (SELECT first_id, second_id, kind, CASE kind WHEN 'same_encode' THEN 0.98 WHEN 'transcode' THEN 0.70 + 0.12 * (1 - aspect / 0.025) + 0.08 WHEN 'trim' THEN 0.45 + 0.35 * f ELSE 0.20 + 0.30 * f + 0.10 * (1 - aspect) END AS score FROM k WHERE kind <> 'rejected')"""
+
+
+@query(_META + " SELECT kind, count(*) AS n, round(sum(score), 4) AS score FROM c GROUP BY kind")
+def metadata_candidates(spark, sf_dir):
+    return sequence.metadata_candidates(v.videos(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
+
+
+@query()
+def sequence_alignment(spark, sf_dir):
+    s = v.sequences(spark, sf_dir)
+    a, b = s.alias("a"), s.alias("b")
+    pairs = a.join(b, F.col("a.conv_id") + 1 == F.col("b.conv_id")).select(F.col("a.conv_id").alias("first_id"), F.col("b.conv_id").alias("second_id"), F.col("a.frames").alias("x"), F.col("b.frames").alias("y"))
+    return pairs.select("first_id", "second_id", sequence.align_frames("x", "y").alias("r")).select("first_id", "second_id", "r.*")
+
+
+@query("SELECT p_partkey AS id, round(CASE WHEN p_size % 2 = 0 THEN 30000.0 / 1001 ELSE p_size END, 6) AS rate FROM part")
+def frame_rates(spark, sf_dir):
+    p = v.table(spark, sf_dir, "part")
+    shown = F.when(F.col("p_size") % 2 == 0, "30000/1001").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("/1")))
+    return p.select(F.col("p_partkey").alias("id"), F.round(media.rate(shown), 6).alias("rate"))
+
+
+# -- catalog -----------------------------------------------------------------------------------
+
+
+@query(_W + v.SNAPSHOTS + " SELECT * FROM changes")
+def snapshot_diff(spark, sf_dir):
+    return catalog.scan_changes(*v.snapshots(spark, sf_dir))
+
+
+@query(_W + v.SNAPSHOTS + " SELECT " + ", ".join(f"count(*) FILTER (change_type = '{k}') AS {k}" for k in ("modified", "relocation_candidate", "missing", "added")) + " FROM changes")
+def change_summary(spark, sf_dir):
+    return catalog.change_summary(catalog.scan_changes(*v.snapshots(spark, sf_dir)))
+
+
+@query(_W + v.SNAPSHOTS + " SELECT root_id, path_key, CASE WHEN path_key NOT IN (SELECT path_key FROM after) THEN 'missing' ELSE 'active' END AS state FROM before")
+def missing_paths(spark, sf_dir):
+    before, after = v.snapshots(spark, sf_dir)
+    paths = before.select("root_id", "path_key", F.lit("active").alias("state"), digests.parent_key(F.col("path_key")).alias("parent_key"))
+    clean = paths.select("root_id", F.col("parent_key").alias("folder_key")).distinct()
+    return catalog.finish_scan(paths, after, clean, 0).select("root_id", "path_key", "state")
+
+
+def _digests(spark, sf_dir):
+    f = v.files(spark, sf_dir)
+    d = f.select(F.col("file_id").alias("physical_file_id"), F.col("file_id").alias("content_version_id"), F.col("file_id").alias("path_id"), "size", F.lit("stable").alias("state"), digests.content_digest(F.col("content")).alias("value"), F.lit("sha256").alias("algorithm"))
+    return catalog.digest_groups(d.select("path_id", "physical_file_id", F.lit("active").alias("state")), d.select("content_version_id", "size", "physical_file_id", "state"), d.select("content_version_id", "algorithm", "value"))
+
+
+@query(_W + v.GROUPS + ", k AS (SELECT group_id, count(*) AS n FROM m GROUP BY group_id) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS members, max(n) AS largest FROM k")
+def digest_projection_counts(spark, sf_dir):
+    return catalog.projection_counts(_digests(spark, sf_dir))
+
+
+@query(_W + v.GROUPS + ", k AS (SELECT size, digest, count(*) AS members FROM m GROUP BY ALL ORDER BY size, digest LIMIT 20), r AS (SELECT *, CAST(sum(members) OVER (ORDER BY size, digest) AS BIGINT) AS running FROM k) SELECT r.size, r.digest, m.file_id AS physical_file_id, r.members, r.running FROM r JOIN m ON m.size = r.size AND m.digest = r.digest WHERE running <= 40")
+def digest_page(spark, sf_dir):
+    return catalog.digest_page(_digests(spark, sf_dir), limit=20, max_rows=40).select("size", "digest", "physical_file_id", "members", "running")
+
+
+@query("SELECT o_custkey, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS \"{s}\"" for s in "OFP") + ", count(*) AS total FROM orders GROUP BY o_custkey")
+def scan_coverage(spark, sf_dir):
+    return catalog.scan_coverage(v.table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"), ["o_custkey"], ("O", "F", "P"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE (o_custkey, o_orderkey) > (100, 0) ORDER BY o_custkey, o_orderkey LIMIT 100")
+def keyset_page(spark, sf_dir):
+    return catalog.keyset_page(v.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], (100, 0), 100)
+
+
+# -- datasets ----------------------------------------------------------------------------------
+
+
+@query("""WITH h AS (SELECT c_custkey AS cluster_id, ('0x' || substr(sha256('s' || chr(0) || c_custkey), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS p FROM customer) SELECT cluster_id, CASE WHEN p < 0.1 THEN 'test' WHEN p < 0.9 THEN 'train' ELSE 'validation' END AS split, 'hash' AS reason FROM h""")
+def stable_split(spark, sf_dir):
+    c = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cluster_id"), F.col("c_custkey").alias("member_id"))
+    return dataset.stable_split(c, {"train": 0.8, "validation": 0.1, "test": 0.1}, "s")
+
+
+@query("""WITH r AS (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b, min(p_size) AS c, max(p_size) AS d FROM part), q AS (SELECT p_partkey AS asset_id, 0.7 * (p_retailprice - a) / (b - a) + 0.3 * (1 - (p_size - c) / (d - c)) AS quality FROM part, r) SELECT asset_id, round(quality, 6) AS quality, CASE WHEN row_number() OVER (ORDER BY round(quality, 9) DESC, asset_id) <= 50 THEN 'selected' ELSE 'not_selected' END AS status FROM q""")
+def select_quality_topk(spark, sf_dir):
+    p = v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), "p_retailprice", "p_size")
+    return dataset.select_top(p, [("p_retailprice", 0.7, False), ("p_size", 0.3, True)], 50).select("asset_id", F.round("quality", 6).alias("quality"), "status")
+
+
+@query()
+def diverse_selection(spark, sf_dir):
+    s = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset_id"), "s_acctbal", "s_nationkey")
+    a, b = s.alias("a"), s.alias("b")
+    d = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.asset_id") < F.col("b.asset_id"))).select(F.col("a.asset_id").alias("first_id"), F.col("b.asset_id").alias("second_id"), F.lit(0.5).alias("distance"))
+    return dataset.select_diverse(s, d, [("s_acctbal", 1.0, False)], 20, 0.5)
+
+
+_BUNDLE = "p AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS path FROM pages), k AS (SELECT path || '.txt' AS sidecar, path FROM p), s AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') || '.txt' AS sidecar_path FROM pages UNION SELECT 'orphan' || page_id || '.txt' FROM pages)"
+
+
+@query(_W + _BUNDLE + ", o AS (SELECT sidecar_path, count(k.path) AS n, min(k.path) AS path FROM s LEFT JOIN k ON k.sidecar = sidecar_path GROUP BY sidecar_path) SELECT path AS asset_id, sidecar_path, 'txt' AS slot FROM o WHERE n = 1")
+def sidecar_bundles(spark, sf_dir):
+    return _bundles(spark, sf_dir)[0]
+
+
+@query(_W + _BUNDLE + " SELECT 'orphan' AS kind, count(*) AS n FROM s WHERE sidecar_path NOT IN (SELECT sidecar FROM k)")
+def sidecar_audit(spark, sf_dir):
+    return _bundles(spark, sf_dir)[1].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _bundles(spark, sf_dir):
+    p = v.table(spark, sf_dir, "pages")
+    path = F.regexp_replace("url", r"[?#].*$", "")
+    primary = p.select(path.alias("asset_id"), path.alias("primary_path")).distinct()
+    side = p.select(F.concat(path, F.lit(".txt")).alias("sidecar_path")).union(p.select(F.concat(F.lit("orphan"), F.col("page_id").cast("string"), F.lit(".txt"))))
+    return dataset.bundles(primary, side, ("txt",))
