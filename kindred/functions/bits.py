@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import LongType
 
 
 def hamming(first: Column, second: Column) -> Column:
@@ -121,9 +121,3 @@ def orientations_of(grid: np.ndarray) -> list[np.ndarray]:
     rot = lambda k: np.rot90(grid, k)
     t = grid.swapaxes(0, 1)
     return [grid, grid[:, ::-1], rot(2), grid[::-1], t, rot(3), np.rot90(t, 2), rot(1)]
-
-
-@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-def image_blocks(pixels: pd.Series) -> pd.Series:
-    """C20 on rows of pixels of [r, g, b], 15 x 15 cells."""
-    return pixels.map(lambda x: None if x is None else blocks_of(np.array([[list(p) for p in row] for row in x], dtype=np.int64), 15).tolist())
