@@ -43,7 +43,7 @@ def _write(path: str, end_id: int):
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()), "doc_ids": pa.array([docs], pa.list_(pa.int64())), "n_ids": pa.array([held], pa.int64()), "data": pa.array([pack_block(ids)], pa.binary())})
 
         for batch in batches:
-            for doc, got in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, got in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 docs.append(doc)
                 ids.append(np.append(got, np.uint32(end_id)))
                 held += len(ids[-1])

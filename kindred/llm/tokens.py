@@ -1,10 +1,15 @@
 """Token ids of whole texts by a public tokenizer, with a bounded cache of words."""
 
 import itertools
+import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from kindred.llm.words import LOWER, SPACE, U, text_bytes, word_hashes
+
 
 def public_path(name: str) -> str:
     """Where a file of the installed public tokenizers lies; everywhere else its path is a parameter."""
@@ -13,25 +18,59 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Words kept with their ids in each Python worker; when full, the cache starts anew.
-CACHED_WORDS = 600_000
+#: Words kept with their ids in each Python worker (at most 2**SLOT_BITS places hold them); beyond, those met least often are forgotten.
+CACHED_WORDS, SLOT_BITS = 600_000, 21
 #: Bytes of text that are encoded at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 21
 #: Stands between words that are encoded together; words with it are encoded alone.
 MARK = "`"
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_BLANK = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
-#: A full stop or comma after a letter and before white space is a word of its own to the tokenizer: so cut, words repeat more often.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?= |\Z)")
-_WHITE = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in _LOWER)
-
-
-class _Index(dict):
-    """Numbers words in order of their first lookup."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+#: Words of ASCII and Latin-1 letters, in lower case alone and with the capitals that are left.
+_BARE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_STOP = np.isin(np.arange(256), [ord("."), ord(",")])
+
+
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)], dtype=U)
+
+
+class Slots:
+    """Numbers of keys, by open addressing, many at once; check words beside the keys tell all but equal words apart."""
+
+    def __init__(self, bits: int):
+        self.mask = U((1 << bits) - 1)
+        self.keys, self.checks, self.values = np.zeros(1 << bits, dtype=U), np.zeros(1 << bits, dtype=U), np.full(1 << bits, -1, dtype=np.int32)
+        self.probes = 1
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, values: np.ndarray) -> None:
+        left, probe = np.arange(len(keys)), 0
+        while len(left):
+            slot = (keys[left] + U(probe)) & self.mask
+            free = np.flatnonzero(self.values[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = left[free[one]]
+            at = slot[free[one]]
+            self.keys[at], self.checks[at], self.values[at] = keys[won], checks[won], values[won]
+            keep = np.ones(len(left), dtype=bool)
+            keep[free[one]] = False
+            left, probe = left[keep], probe + 1
+        self.probes = max(self.probes, probe)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        slot = keys & self.mask
+        out = self.values[slot].astype(np.int64)
+        miss = (self.keys[slot] != keys) | (self.checks[slot] != checks)
+        open_ = np.flatnonzero(miss & (out >= 0))
+        out[miss] = -1
+        for probe in range(1, self.probes):
+            if not len(open_):
+                break
+            slot = (keys[open_] + U(probe)) & self.mask
+            value = self.values[slot]
+            hit = (self.keys[slot] == keys[open_]) & (self.checks[slot] == checks[open_]) & (value >= 0)
+            out[open_[hit]] = value[hit]
+            open_ = open_[~hit & (value >= 0)]
+        return out
 
 
 class Encoder:
@@ -39,7 +78,9 @@ class Encoder:
 
     That holds where the file's normaliser and pre-tokenizer only look within runs of non-space
     characters (as in word_bpe_49k.json, whose white space is dropped), so a text's ids are its
-    words' ids in order, and each word needs the tokenizers library only once a cache.
+    words' ids in order, and each word needs the tokenizers library only once a cache. A full stop
+    or comma after a letter and before white space is a word of its own to the tokenizer; cut so,
+    words repeat more often.
     """
 
     def __init__(self, path: str):
@@ -48,69 +89,146 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         mark = self._ids(MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.mark, self._mark_bytes = int(mark[0]) if len(mark) == 1 else None, MARK.encode()
+        vocab = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[k for w, k in vocab.items() if w.endswith(suffix)]] = True
+        self.fast = self._letters_only(Tokenizer) if suffix else None
         self._reset()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    def _letters_only(self, kind):
+        """The same model for words of _BARE between spaces, which the known normalisers and pre-tokenizers leave as they are."""
+        spec = json.loads(self.tokenizer.to_str())
+        steps = lambda part, inner: [x["type"] for x in (spec[part] or {}).get(inner, [spec[part]] if spec[part] else [])]
+        if not (set(steps("normalizer", "normalizers")) <= {"NFC", "Replace", "Lowercase"} and steps("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]):
+            return None
+        return kind.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}, "added_tokens": [], "post_processor": None}))
+
+    def _ids(self, text: str, by=None) -> np.ndarray:
+        return np.array((by or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     def _reset(self) -> None:
-        self.index, self.known = _Index(), 0
+        self.slots, self.known = Slots(SLOT_BITS), 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-
-    def _learn(self) -> None:
-        """Encode the words that the index has numbered since."""
-        words = [w.decode("utf-8", "surrogatepass") for w in itertools.islice(self.index, self.known, None)]
-        alone = np.array([self.mark is None or MARK in w for w in words])
-        sizes = np.zeros(len(words), dtype=np.int64)
-        together = self._ids(f" {MARK} ".join([w for w, x in zip(words, alone.tolist(), strict=True) if not x]))
-        marks = np.flatnonzero(together == self.mark) if self.mark is not None else np.zeros(0, np.int64)
-        if not alone.all():
-            sizes[~alone] = np.diff(np.concatenate([[-1], marks, [len(together)]])) - 1
-        single = [self._ids(words[k]) for k in np.flatnonzero(alone)]
-        sizes[alone] = [len(x) for x in single]
-        ids = np.concatenate([np.delete(together, marks), *single])
-        place = np.zeros(len(words), dtype=np.int64)
-        for which, base in ((~alone, 0), (alone, len(together) - len(marks))):
-            place[which] = base + np.cumsum(sizes[which]) - sizes[which]
-        n = self.known + len(words)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.begin, self.size, self.hits = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
+        self.keys, self.checks = (np.zeros(1 << 14, dtype=U) for _ in range(2))
+
+    def _store(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, place: np.ndarray, sizes: np.ndarray, hits: int = 0) -> None:
+        n = self.known + len(keys)
+        grow = lambda x, least: x if least <= len(x) else np.concatenate([x, np.zeros(max(len(x), least - len(x)), dtype=x.dtype)])
+        self.flat = grow(self.flat, self.used + len(ids))
+        self.begin, self.size, self.hits, self.keys, self.checks = (grow(x, n) for x in (self.begin, self.size, self.hits, self.keys, self.checks))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[self.known : n] = self.used + place
-        self.size[self.known : n] = sizes
+        new = slice(self.known, n)
+        self.begin[new], self.size[new], self.hits[new], self.keys[new], self.checks[new] = self.used + place, sizes, hits, keys, checks
+        self.slots.add(keys, checks, np.arange(self.known, n, dtype=np.int32))
         self.known, self.used = n, self.used + len(ids)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _shrink(self) -> None:
+        """Forget the words that were met least often."""
+        hits, least = self.hits[: self.known], 2
+        while np.count_nonzero(hits >= least) > CACHED_WORDS // 2:
+            least += 1
+        keep = np.flatnonzero(hits >= least)
+        keys, checks, begin, size, flat = self.keys[keep], self.checks[keep], self.begin[keep], self.size[keep], self.flat
+        self._reset()
+        if len(keep):
+            at = np.cumsum(size) - size
+            self._store(keys, checks, flat[np.arange(int(size.sum())) + np.repeat(begin - at, size)], at, size, 1)
+
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words, where each word's begin, and how many they are."""
+        # Words of Latin letters are one piece to the tokenizer, so they end where a token ends a word.
+        every = lambda p, some: np.fromiter((k and p.fullmatch(w) is not None for w, k in zip(words, some.tolist(), strict=True)), dtype=bool, count=len(words))
+        bare = every(_BARE, np.full(len(words), self.fast is not None))
+        plain = every(_PLAIN, ~bare & (self.ends is not None))
+        marked = ~plain & ~bare & np.fromiter((self.mark is not None and self._mark_bytes not in w and b"<|" not in w for w in words), dtype=bool, count=len(words))
+        text = [w.decode("utf-8", "surrogatepass") for w in words]
+        sizes, place = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        pieces, at = [np.zeros(0, dtype=np.uint32)], 0
+        for which, glue, by in ((bare, " ", self.fast), (plain, " ", None), (marked, f" {MARK} ", None)):
+            if which.any():
+                ids = self._ids(glue.join(itertools.compress(text, which)), by)
+                if glue == " ":
+                    stops = np.flatnonzero(self.ends[ids]) + 1
+                else:
+                    marks = np.flatnonzero(ids == self.mark)
+                    stops = np.append(marks - np.arange(len(marks)), len(ids) - len(marks))
+                    ids = np.delete(ids, marks)
+                sizes[which] = np.diff(stops, prepend=0)
+                place[which] = at + stops - sizes[which]
+                pieces.append(ids)
+                at += len(ids)
+        for k in np.flatnonzero(~bare & ~plain & ~marked):
+            pieces.append(self._ids(text[k]))
+            sizes[k], place[k] = len(pieces[-1]), at
+            at += len(pieces[-1])
+        return np.concatenate(pieces), place, sizes
+
+    def encode(self, texts: pa.Array | list) -> list[np.ndarray]:
         """The ids of each whole text, as unsigned 32-bit numbers; null is empty."""
+        raw, at = text_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         out: list[np.ndarray] = []
-        words: list[list[bytes]] = []
-        held = 0
-        for k, text in enumerate(texts):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            # Names of special tokens are told from other text by their case, so a text that may hold one keeps it.
-            raw = raw.translate(_BLANK if b"<|" in raw else _WHITE)
-            words.append(_STOP.sub(rb" \1", raw).split(b" "))
-            held += len(raw)
-            if held >= AT_ONCE or k == len(texts) - 1:
-                out += self._encode(words)
-                words, held = [], 0
+        begin = 0
+        while begin < len(at) - 1:
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + AT_ONCE, "right")) - 1)
+            out += self._encode(raw[at[begin] : at[end]], at[begin : end + 1] - at[begin])
+            begin = end
         return out
 
-    def _encode(self, words: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.index) > CACHED_WORDS:
-            self._reset()
-        counts = np.array([len(w) for w in words], dtype=np.int64)
-        at = np.fromiter((k for w in words for k in map(self.index.__getitem__, w)), dtype=np.int64, count=int(counts.sum()))
-        if len(self.index) > self.known:
-            self._learn()
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.begin[at] - (ends - size), size)]
-        return np.split(ids, ends[np.cumsum(counts)[:-1] - 1])
+    def _encode(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        if not len(raw):
+            return [np.zeros(0, dtype=np.uint32)] * (len(at) - 1)
+        if self.known > CACHED_WORDS:
+            self._shrink()
+        solid = ~SPACE[raw]
+        edge = np.zeros(len(raw) + 1, dtype=bool)  # before a byte: another word or text begins
+        edge[at[at < len(raw)]] = True
+        edge[1:-1] |= solid[1:] != solid[:-1]
+        edge[0] = edge[-1] = True
+        stop = np.flatnonzero(_STOP[raw])
+        stop = stop[(stop > 0)]
+        stop = stop[_LETTER[raw[stop - 1]] & edge[stop + 1] & ~edge[stop]]
+        edge[stop] = True
+        cuts = np.flatnonzero(edge)
+        word = solid[cuts[:-1]]
+        starts, ends = cuts[:-1][word], cuts[1:][word]
+        first = np.searchsorted(starts, at)
+        keys = word_hashes(raw, starts, ends)
+        # What tells words of one hash apart: their length, and their first seven bytes.
+        padded = np.concatenate([LOWER[raw], np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from every byte on
+        length = ends - starts
+        checks = (eight[starts] & _HEAD[np.minimum(length, 7)]) | (length.astype(U) << U(56))
+        place = self.slots.find(keys, checks)
+        own = np.zeros(0, dtype=np.int64)
+        angle = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+        if len(angle):  # names of special tokens are told from other text by their case: such words are encoded as they stand
+            own = np.unique(np.searchsorted(starts, angle, "right") - 1)
+            place[own] = 0
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            _, one, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            low = LOWER[raw].tobytes()
+            picked = new[one]
+            ids, where, sizes = self._encode_words([low[a:b] for a, b in zip(starts[picked].tolist(), ends[picked].tolist(), strict=True)])
+            place[new] = self.known + back
+            self._store(keys[picked], checks[picked], ids, where, sizes)
+        begin, size, flat = self.begin, self.size, self.flat
+        self.hits[: self.known] += np.bincount(place, minlength=self.known)[: self.known] if self.known else 0
+        if len(own):
+            exact = raw.tobytes()
+            ids, where, sizes = self._encode_words([exact[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+            place[own] = self.known + np.arange(len(own))
+            begin, size, flat = np.concatenate([begin[: self.known], self.used + where]), np.concatenate([size[: self.known], sizes]), np.concatenate([flat[: self.used], ids])
+        n = size[place]
+        stops = np.cumsum(n)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = flat[np.arange(total) + np.repeat(begin[place] - (stops - n), n)]
+        return np.split(ids, np.concatenate([[0], stops])[first[1:-1]])
 
 
 _encoders: dict[str, Encoder] = {}
