@@ -10,7 +10,8 @@ from kindred.shared import materialize
 BLOCK_DOCS = 256
 #: Decisions about at most so many blocks are sent to all executors (under 40 MB); about more, joined by a shuffle.
 SEND = 500_000
-COLUMNS = ("_mix_source", "_mix_tokens", "_mix_block", "_mix_epoch", "_mix_weight", "_mix_order", "_mix_place")
+#: A word, of which tokens are counted.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def weights(tokens: dict[str, int], exponent: float) -> dict[str, float]:
@@ -52,50 +53,46 @@ def bisect_exponent(tokens: dict[str, int], repetition_limit: float | None, targ
 
 
 def mix(docs: DataFrame, repetition_limit: float | None = 1.25, target_entropy: float | None = None, budget_tokens: int | None = None, seed: int = 1) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source, any more columns), each as often as the mixture reads it, with COLUMNS behind.
-
-    Tokens are words ``[^\\x20\\x09-\\x0D]+``. Source shares are raised to the bisected exponent and
-    normalised to weights; a source's budget is its weight times ``budget_tokens``, by default so
-    many that every document is read at least once. A source is read whole as often as its budget
-    allows; the rest of the budget goes to a permutation of its blocks (hash groups of about
-    BLOCK_DOCS documents) up to the block that no longer fits, of which documents follow in a
-    permutation while they fit. So a source misses its budget by less than its longest document.
-
-    ``_mix_epoch`` counts a row's readings from 0 and ``_mix_order`` its blocks: rows sorted
-    by (_mix_epoch, _mix_order, _mix_place) are the mixture. Null texts and texts without words have no tokens
-    and are kept once a whole reading; a null source is "". An empty table gives no rows.
+    """(row, source, n_tokens, block, weight, epoch, block_order, place): each row of ``docs`` (doc_id, text, source, any more columns) as often as the mixture reads it.
+
+    Tokens are words. Source shares are raised to the bisected exponent and normalised to weights;
+    a source's budget is its weight times ``budget_tokens``, by default so many that every document
+    is read at least once. A source is read whole as often as its budget allows; the rest of the
+    budget goes to a permutation of its blocks (hash groups of about BLOCK_DOCS documents) up to
+    the block that no longer fits, of which documents follow in a permutation while they fit. So a
+    source misses its budget by less than its longest document.
+
+    ``epoch`` counts a row's readings from 0, ``block_order`` and ``place`` permute blocks and rows
+    in them: rows sorted by these three are the mixture. Null texts and texts without words have
+    no tokens and are kept once a whole reading; a null source is "". An empty table gives no rows.
+    The number of sources is taken to fit the driver; blocks and documents never go there.
     """
     spark = docs.sparkSession
-    tag = docs.select("*", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_mix_source"), F.xxhash64("doc_id", "text").alias("_mix_key"))
-    counted = materialize(tag.select("_mix_source", "_mix_key", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_mix_tokens")), "counts")
-    totals = {r[0]: (r[1], r[2]) for r in counted.groupBy("_mix_source").agg(F.sum("_mix_tokens"), F.count("*")).collect()}
+    tag = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64("doc_id", "text").alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"))
+    counted = materialize(tag.select("source", "key", "n_tokens"), "counts")
+    totals = {r[0]: (r[1], r[2]) for r in counted.groupBy("source").agg(F.sum("n_tokens"), F.count("*")).collect()}
     tokens = {s: n for s, (n, _) in totals.items()}
-    exponent = bisect_exponent(tokens, repetition_limit, target_entropy, budget_tokens)
-    w = weights(tokens, exponent)
+    w = weights(tokens, bisect_exponent(tokens, repetition_limit, target_entropy, budget_tokens))
     often = epochs(tokens, w, budget_tokens)
-    plan = []
-    for s, (n, d) in totals.items():
-        whole = math.floor(often[s] + 1e-9)
-        plan.append((s, w[s], whole, max(0.0, often[s] - whole) * n, -(-d // BLOCK_DOCS)))
-    plan = F.broadcast(spark.createDataFrame(plan, "_mix_source string, _mix_weight double, _mix_whole int, _mix_rest double, _mix_blocks long"))
-    block = F.pmod("_mix_key", "_mix_blocks").alias("_mix_block")
-    blocked = counted.join(plan, "_mix_source").select("*", block)
-    each = blocked.groupBy("_mix_source", "_mix_block").agg(F.sum("_mix_tokens").alias("n"), F.first("_mix_rest").alias("rest"))
-    order = Window.partitionBy("_mix_source").orderBy(F.xxhash64("_mix_source", "_mix_block", F.lit(seed)), "_mix_block")
+    whole = {s: math.floor(often[s] + 1e-9) for s in totals}
+    plan = [(s, w[s], whole[s], max(0.0, often[s] - whole[s]) * n, -(-d // BLOCK_DOCS)) for s, (n, d) in totals.items()]
+    plan = F.broadcast(spark.createDataFrame(plan, "source string, weight double, whole int, rest double, blocks long"))
+    block = F.pmod("key", "blocks").alias("block")
+    blocked = counted.join(plan, "source").select("*", block)
+    each = blocked.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
+    order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed)), "block")
     chosen = each.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") - F.col("n") < F.col("rest"))
-    chosen = materialize(chosen.select("_mix_source", "_mix_block", (F.col("upto") <= F.col("rest")).alias("full"), (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "blocks")
-    last = F.broadcast(chosen.where("not full")) if len(totals) <= SEND else chosen.where("not full")
-    inside = Window.partitionBy("_mix_source", "_mix_block").orderBy(F.xxhash64("_mix_key", F.lit(seed)), "_mix_key")
-    some = blocked.join(last, ["_mix_source", "_mix_block"]).groupBy("_mix_source", "_mix_block", "_mix_key", "room").agg(F.sum("_mix_tokens").alias("n"))
-    some = some.withColumn("upto", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("upto <= room").select("_mix_source", "_mix_block", F.col("_mix_key").alias("only"))
-    picks = materialize(chosen.where("full").select("_mix_source", "_mix_block", F.lit(None).cast("long").alias("only")).union(some), "picks")
-    # An entire block is one row, a last block one for each of its documents: few beside the documents.
+    chosen = materialize(chosen.select("source", "block", (F.col("upto") <= F.col("rest")).alias("full"), (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "blocks")
+    # One last block for each source, cut within: as few rows as sources.
+    last = F.broadcast(chosen.where("not full").select("source", "block", "room"))
+    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("key", F.lit(seed)), "key").rowsBetween(Window.unboundedPreceding, 0)
+    some = blocked.join(last, ["source", "block"]).groupBy("source", "block", "key", "room").agg(F.sum("n_tokens").alias("n"))
+    some = some.withColumn("upto", F.sum("n").over(inside)).where("upto <= room").select("source", "block", F.col("key").alias("only"))
+    picks = materialize(chosen.where("full").select("source", "block", F.lit(None).cast("long").alias("only")).union(some), "picks")
     n_picks = picks.count()
-    picks = picks.groupBy("_mix_source", "_mix_block").agg(F.max(F.col("only").isNull()).alias("_mix_all"), F.collect_set("only").alias("_mix_some"))
+    picks = picks.groupBy("source", "block").agg(F.max(F.col("only").isNull()).alias("all"), F.collect_set("only").alias("some"))
     picks = F.broadcast(picks) if n_picks <= SEND else picks
-    out = tag.join(plan, "_mix_source").select("*", block).join(picks, ["_mix_source", "_mix_block"], "left")
-    again = F.coalesce(F.col("_mix_all") | F.array_contains("_mix_some", F.col("_mix_key")), F.lit(False))
-    times = F.col("_mix_whole") + again.cast("int")
-    out = out.select(*[docs[c] for c in docs.columns], "_mix_source", F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_mix_tokens"), "_mix_block", "_mix_key", "_mix_weight", times.alias("_mix_times")).where("_mix_times > 0")
-    out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("_mix_times") - 1)).alias("_mix_epoch"))
-    return out.select(*docs.columns, "_mix_source", "_mix_tokens", "_mix_block", "_mix_epoch", "_mix_weight", F.xxhash64("_mix_block", "_mix_epoch", F.lit(seed)).alias("_mix_order"), F.xxhash64("_mix_key", "_mix_epoch", F.lit(seed)).alias("_mix_place"))
+    out = tag.join(plan, "source").select("*", block).join(picks, ["source", "block"], "left")
+    again = F.coalesce(F.col("all") | F.array_contains("some", F.col("key")), F.lit(False))
+    out = out.withColumn("times", F.col("whole") + again.cast("int")).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    return out.select("row", "source", "n_tokens", "block", "weight", "epoch", F.xxhash64("source", "block", "epoch", F.lit(seed)).alias("block_order"), F.xxhash64("key", "epoch", F.lit(seed)).alias("place"))

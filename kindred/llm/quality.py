@@ -5,7 +5,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from kindred.llm.words import CHUNK, LOWER, text_bytes, word_hashes, word_spans
 from kindred.shared import bound_batches
@@ -216,17 +215,16 @@ def train(docs: DataFrame, labels: DataFrame) -> AdditiveModel:
     return fit(x[order], rows["quality"].to_numpy(dtype=np.float64)[order])
 
 
-def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> DataFrame:
-    """Every row and column of ``docs`` with _score and _predicted behind; only the text counts. Null texts are empty."""
+def keep(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, whatever its columns, whose text scores ``threshold`` or more. Null texts are empty."""
     bound_batches(docs.sparkSession)
-    columns = docs.columns
+    at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            p = model.score(features(b.column(columns.index("text"))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "_score", "_predicted"])
+            yield b.filter(pa.array(model.score(features(b.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_score", DoubleType()).add("_predicted", IntegerType()))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -234,5 +232,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
     A row's remainder() 0 holds it out of learning. An empty table gives no rows.
     """
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels), threshold)
-    return scored.select("doc_id", (remainder() == 0).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    model = train(docs, labels)
+
+    def run(batches):
+        for b in batches:
+            p = model.score(features(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+
+    bound_batches(docs.sparkSession)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted")

@@ -37,7 +37,7 @@ def op5_pack(spark, sf_dir):
 
 def op6_mix(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.selectExpr("doc_id", "_mix_source AS source", "_mix_epoch AS epoch", "_mix_tokens AS n_tokens", "_mix_block AS block", "_mix_weight AS weight", "_mix_order AS block_order", "_mix_place AS place")
+    return mixed.select("row.doc_id", "source", "epoch", "n_tokens", "block", "weight", "block_order", "place")
 
 
 def op7_quality(spark, sf_dir):
