@@ -109,7 +109,7 @@ def prunable(folders: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def first_of(files: DataFrame, key: Column, order: Column | str = "file_id") -> DataFrame:
-    """Of rows with one key the first in order."""
+    """Of rows with one key the first in order."""
     w = Window.partitionBy("_key").orderBy(order)
     return files.withColumn("_key", key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
 

@@ -128,3 +128,14 @@ def best_per_target(evidence_rows: DataFrame) -> DataFrame:
     """The best evidence of each target, in order of score, blocks and path."""
     w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), F.col("block_similarity").desc(), F.lower("path"))
     return evidence_rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(F.col("score").desc(), F.col("block_similarity").desc(), F.lower("path"))
+
+
+def evidence_order() -> list[Column]:
+    """Pairs in order of ids, relation and score."""
+    return [F.col("first_id"), F.col("second_id"), F.col("relation"), F.col("score")]
+
+
+def candidate_order() -> list[Column]:
+    """A query's candidates, whole pictures before crops, nearest first."""
+    crop = (F.col("first_kind") != "whole") | (F.col("second_kind") != "whole")
+    return [F.col("rank"), crop, F.col("phash_distance"), F.col("dhash_distance"), F.col("histogram_distance"), F.col("second_id")]

@@ -1,5 +1,6 @@
 """Tables written to the folder that driver and executors share."""
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +35,18 @@ def discard(df: DataFrame) -> None:
 def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches of at most ``rows`` rows, so that long texts fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+@contextlib.contextmanager
+def job(spark: SparkSession, name: str):
+    """The Spark jobs of a block under one name, by which cancel() ends them."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name, interruptOnCancel=True)
+    try:
+        yield
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def cancel(spark: SparkSession, name: str) -> None:
+    spark.sparkContext.cancelJobGroup(name)
