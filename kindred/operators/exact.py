@@ -4,8 +4,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kindred.functions.digests import content_digest, partial_digest, sample_digest
+from kindred.shared import materialize
 
 GROUP = ["size", "digest"]
+#: Rows of at most so many nominated files are sent to all executors (under 100 MB); more are joined by a shuffle.
+SEND = 500_000
 
 
 def _several(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,14 +36,17 @@ def exact_groups(files: DataFrame, verify: bool = True, staged: bool = False, bi
     """(group_id, file_id, size, digest, members, first_id) of files with equal content, one row a member.
 
     The digest nominates; ``verify`` then compares every member's bytes with the first one's, and a
-    bucket with any difference is withheld whole. No pairs are made.
+    bucket with any difference is withheld whole. No pairs are made. Digests are made once, where
+    the content is read; only the content of nominated files moves.
     """
-    df = exact_candidates(files, staged, big)
-    keyed = df.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("file_id").alias("first_id")).where("members > 1")
-    rows = df.join(keyed, GROUP)
+    digests = materialize(exact_candidates(files, staged, big).select("file_id", "size", "digest"), "digests")
+    keyed = digests.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("file_id").alias("first_id")).where("members > 1")
+    rows = digests.join(keyed, GROUP)
     if verify:
-        first = rows.where(F.col("file_id") == F.col("first_id")).select(*GROUP, F.col("content").alias("_first"))
-        bad = rows.join(first, GROUP).where(F.col("content") != F.col("_first")).select(*GROUP).distinct()
+        rows = materialize(rows, "nominated")
+        held = files.select("file_id", "content").join(F.broadcast(rows) if rows.count() <= SEND else rows, "file_id")
+        first = held.where(F.col("file_id") == F.col("first_id")).select(*GROUP, F.col("content").alias("_first"))
+        bad = held.join(first, GROUP).where(F.col("content") != F.col("_first")).select(*GROUP).distinct()
         rows = rows.join(bad, GROUP, "left_anti")
     return rows.select(F.concat(F.lit("sha256:"), "digest").alias("group_id"), "file_id", "size", "digest", "members", "first_id")
 

@@ -109,9 +109,8 @@ def prunable(folders: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def first_of(files: DataFrame, key: Column, order: Column | str = "file_id") -> DataFrame:
-    """Of rows with one key the first in order."""
-    w = Window.partitionBy("_key").orderBy(order)
-    return files.withColumn("_key", key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
+    """Of rows with one key the first in order, which is a total one; picked map-side first."""
+    return files.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*files.columns), order).alias("_row")).select("_row.*")
 
 
 def without_hardlinks(files: DataFrame) -> DataFrame:
