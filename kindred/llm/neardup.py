@@ -4,28 +4,34 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.llm import setsketch as S
 from kindred.llm.words import shingle_sets
 from kindred.operators.components import connected_components
 from kindred.shared import bound_batches, discard, materialize
 
-#: Rounds in which each open bucket tests one more hub before its remaining cross pairs are listed.
-HUB_ROUNDS = 6
-#: Texts of at most so many candidates are picked by a broadcast list of ids (8 MB); of more, by a shuffle.
+#: Shingles beyond a centre's that more rows of its family have count as the centre's; so lists of rows stay this short.
+LISTED = 64
+#: Columns of the sketch that joins compare.
+PLANES = [f"p{k}" for k in range(2 * S.PLANES)]
+#: Texts of at most so many candidates are picked by a broadcast list of ids (8 MB), and an eighth as many pairs are broadcast
+#: themselves; more are joined by a shuffle.
 PICK_BY_BROADCAST = 1_000_000
 
 
 def _sketches(shingle: int):
     def run(batches):
         for batch in batches:
-            n, digest, regs = [], [], []
+            n, digest, regs, bits = [], [], [], []
             for x in shingle_sets(batch.column(1), shingle):
                 n.append(len(x))
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                regs.append(S.registers(S.minima(x)).astype("<u2").tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "digest", "regs"])
+                sketch = S.registers(S.minima(x))
+                regs.append(sketch.astype("<u2").tobytes() if len(x) else None)
+                bits.append(S.planes(sketch))
+            bits = np.array(bits, dtype=np.int64).reshape(len(n), len(PLANES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), *map(pa.array, np.ascontiguousarray(bits.T))], names=["doc_id", "n_shingles", "digest", "regs", *PLANES])
 
     return run
 
@@ -41,47 +47,148 @@ def _bands(batches):
         )
 
 
-def _likely(least: float):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                get = lambda k: np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(batch.num_rows, S.REGISTERS)
-                keep = S.plausible(get("regs_a"), get("regs_b"), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), least)[1]
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return run
-
-
 def _verified(shingle: int, percent: int):
+    """Of rows (a, b, n_a, n_b, regs_a, regs_b, text_a, text_b), sorted by a, those that likelihood allows and full sets confirm."""
     def run(batches):
         last, last_set = None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            regs = lambda k: np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(batch.num_rows, S.REGISTERS)  # noqa: E731, B023
+            batch = batch.filter(pa.array(S.plausible(regs("regs_a"), regs("regs_b"), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent / 100)[1]))
             a = batch.column("a").to_pylist()
-            new = [i for i, x in enumerate(a) if x != (a[i - 1] if i else last)]  # rows come sorted by a: a hub's set is made once
+            new = [i for i, x in enumerate(a) if x != (a[i - 1] if i else last)]  # a hub's set is made once
             sets = dict(zip(new, shingle_sets(batch.column("text_a").take(pa.array(new, pa.int64())), shingle), strict=True))
             keep = []
             for i, other in enumerate(shingle_sets(batch.column("text_b"), shingle)):
                 last, last_set = a[i], sets.get(i, last_set)
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
+                at = np.searchsorted(last_set, other)
+                both = int(np.count_nonzero(last_set[np.minimum(at, len(last_set) - 1)] == other))
                 keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _test(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _test(pairs: DataFrame, pool: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of representatives, those whose full sets are similar."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    likely = materialize(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if likely.count() * 2 <= PICK_BY_BROADCAST else ids
-    texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "texts")
-    joined = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    out = materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle, percent), "a long, b long"), "links")
-    discard(texts)
-    discard(likely)
-    return out
+    few = pairs.count() <= PICK_BY_BROADCAST // 8
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    picked = pool.join(F.broadcast(ids.distinct()) if few else ids.distinct(), "rep", "left_semi")
+    side = lambda x: picked.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"), F.col("text").alias(f"text_{x}"))
+    joined = side("b").join(F.broadcast(pairs) if few else pairs, "b").join(side("a"), "a").sortWithinPartitions("a")
+    return materialize(joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "text_a", "text_b").mapInArrow(_verified(shingle, percent), "a long, b long"), "links")
+
+
+def _alike(x: Column, percent: int) -> Column:
+    """Whether sizes and register planes of rows ``y`` and structs ``x`` allow the similarity; evaluated inside the join."""
+    small, large = F.least("y.n_shingles", x["n_shingles"]), F.greatest("y.n_shingles", x["n_shingles"])
+    apart = F.lit(0)
+    for w in (0, 1):
+        differ = F.lit(0).cast("long")
+        for p in PLANES[w::2]:
+            differ = differ.bitwiseOR(F.col(f"y.{p}").bitwiseXOR(x[p]))
+        apart = apart + F.bit_count(differ)
+    return (small * 100 >= large * percent) & (apart <= S.REGISTERS - S.least_equal(percent / 100))
+
+
+def _pairs(joined: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows ``y`` and structs ``x`` that weren't tested before."""
+    pairs = joined.select(F.least("y.rep", "x.rep").alias("a"), F.greatest("y.rep", "x.rep").alias("b")).distinct()
+    return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
+def _around(family: DataFrame, pool: DataFrame, tested: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs of a family (hub, rep, n_shingles, c), rows of different components c around one hub, that can be similar.
+
+    Rows of n and m shingles are similar if they share k or more, k the least whole number of
+    percent (n + m) / (100 + percent). Call centre the hub's shingles and those that more than
+    LISTED rows of the family have. Of shingles in the centre a pair shares no more than its row
+    with fewer of them has; the others must be shared beyond it. So a pair either shares enough of
+    the short lists beyond the centre, or both its rows have k in the centre: these two joins miss
+    no similar pair, and the first grows with the rows, not with the square of a group.
+    """
+    texts = lambda x: pool.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
+    few = family.count() <= PICK_BY_BROADCAST // 8
+    rows = texts("rep").join(F.broadcast(family) if few else family, "rep").join(texts("hub"), "hub").sortWithinPartitions("hub")
+
+    def beyond(batches):
+        last, hub_set = None, None
+        for b in batches:
+            hubs = b.column("hub").to_pylist()
+            for i, x in enumerate(shingle_sets(b.column("text_rep"), shingle)):
+                if hubs[i] != last:
+                    last, hub_set = hubs[i], next(iter(shingle_sets(b.column("text_hub").slice(i, 1), shingle)))
+                at = np.minimum(np.searchsorted(hub_set, x), len(hub_set) - 1)
+                inside = hub_set[at] == x
+                grams = pa.array(x[~inside].view(np.int64)) if not inside.all() else pa.nulls(1, pa.int64())
+                same = lambda k, n=len(grams), i=i, b=b: pa.array(np.full(n, b.column(k)[i].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([same("hub"), same("rep"), same("n_shingles"), same("c"), pa.array(np.full(len(grams), int(inside.sum()))), grams], names=["hub", "rep", "n", "c", "inside", "gram"])
+
+    out = materialize(rows.select("hub", "rep", "n_shingles", "c", "text_rep", "text_hub").mapInArrow(beyond, "hub long, rep long, n long, c long, inside long, gram long"), "beyond")
+    met = out.where("gram is not null").groupBy("hub", "gram").agg(F.count("*").alias("rows")).where("rows > 1")
+    listed = out.join(met, ["hub", "gram"])
+    often = listed.where(F.col("rows") > LISTED).groupBy("hub", "rep").agg(F.count("*").alias("often"))
+    each = out.select("hub", "rep", "n", "c", "inside").distinct().join(often, ["hub", "rep"], "left")
+    each = materialize(each.select("hub", "rep", "n", "c", (F.col("inside") + F.coalesce("often", F.lit(0))).alias("inside")), "centres")
+    k = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100.0 + percent) - 1e-9)
+    sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    short = listed.where(F.col("rows") <= LISTED).select("hub", "gram", "rep", "c")
+    a, b = short.alias("a"), short.alias("b")
+    shared = a.join(b, (F.col("a.hub") == F.col("b.hub")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.c") != F.col("b.c"))).groupBy(F.col("a.hub").alias("hub"), F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(F.count("*").alias("shared"))
+    x, y = each.alias("x"), each.alias("y")
+    listed_pairs = shared.join(x, (shared.hub == F.col("x.hub")) & (shared.a == F.col("x.rep"))).join(y, (shared.hub == F.col("y.hub")) & (shared.b == F.col("y.rep"))).where(sized & (F.col("shared") + F.least("x.inside", "y.inside") >= k)).select("a", "b")
+    # Most rows of a family are of one component: pairs have at least one row of another.
+    main = each.groupBy("hub", "c").agg(F.count("*").alias("rows")).groupBy("hub").agg(F.max_by("c", F.struct("rows", "c")).alias("main"))
+    minor = each.join(main, "hub").where("c <> main").drop("main").alias("x")
+    central = minor.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.c") != F.col("y.c")) & sized & (F.least("x.inside", "y.inside") >= k)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    return materialize(listed_pairs.union(central).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
+def _open(labelled: DataFrame, rows: int) -> DataFrame:
+    """Buckets of several components and at least so many rows: three while no row has been set aside, as a bucket's hub is tested against all."""
+    several = labelled.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where((F.col("n") >= rows) & (F.col("lo") < F.col("hi"))).select("band", "key")
+    return materialize(labelled.join(several, ["band", "key"]), "open")
+
+
+def _promising(open_: DataFrame, pool: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The rows that can be linked to another row of their bucket at all, with ``own``: how many of a row's shingles no other row has.
+
+    What isn't a row's own, c of its n shingles, is the most that it can share, so with a row of at
+    least m shingles it is similar by c / (n + max(m, c) - c) at most. Copies that are edited too
+    much, and texts that share but a passage, end here, and their buckets are never paired.
+    Shingles are counted map-side first, so a group of copies costs its size, not its square.
+    """
+    ids = open_.select("rep").distinct()
+    ids = F.broadcast(ids) if ids.count() <= PICK_BY_BROADCAST else ids
+
+    def grams(batches):
+        for batch in batches:
+            for doc, x in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), shingle), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), doc)), pa.array(x.view(np.int64))], names=["rep", "gram"])
+
+    each = pool.join(ids, "rep", "left_semi").select("rep", "text").mapInArrow(grams, "rep long, gram long")
+    alone = each.groupBy("gram").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
+    own = alone.groupBy("rep").agg(F.count("*").alias("own"))
+    counted = open_.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    least = open_.groupBy("band", "key").agg(F.min("n_shingles").alias("least"))
+    n, c = F.col("n_shingles"), F.col("n_shingles") - F.col("own")
+    m = F.greatest(F.col("least"), F.ceil(n * percent / 100))
+    out = counted.join(least, ["band", "key"]).where(c * 100 >= (n + F.greatest(m, c) - c) * percent).drop("least")
+    return materialize(out, "promising")
+
+
+def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: those between components, which are few, are joined among themselves."""
+    of = lambda x: component.select(F.col("member_id").alias(x), F.col("component_id").alias(f"c{x}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    if not links.limit(1).count():
+        return component
+    moved = materialize(connected_components(between, "a", "b").select(F.col("member_id").alias("component_id"), F.col("component_id").alias("root")), "moved")
+    few = F.broadcast(moved) if moved.count() <= PICK_BY_BROADCAST // 8 else moved
+    old = component.join(few, "component_id", "left").select("member_id", F.coalesce("root", "component_id").alias("component_id"))
+    new = moved.join(component.select(F.col("member_id").alias("component_id")), "component_id", "left_anti").select(F.col("component_id").alias("member_id"), F.col("root").alias("component_id"))
+    return materialize(old.union(new), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -91,63 +198,60 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     100 * shared >= percent * united, and a component is what links connect. First, rows of equal
     sets become one class; classes with four equal SetSketch registers in a band are candidates;
     candidates that the joint likelihood of their registers doesn't rule out are verified on full
-    sets. Within a bucket, hubs are tested against the members of other components, round by
-    round; the pairs that still lie across components at last are all tested. So no link between
-    components is lost, and none within one is listed.
+    sets. Within a bucket one hub is tested against all. Of buckets that still hold several
+    components, rows whose own shingles alone rule out any link are set aside, by exact counts;
+    a bucket's most central row is tested against other components; and of the pairs that still
+    lie across components, those are tested that exact counts of shingles allow (see _around). So
+    no link between components is lost, and few within one are listed. Joins of hubs compare sizes
+    and four bits of every register, which rule out what is six standard deviations away.
 
     ``links`` counts the verified links that were needed from the row's class to others. Null or
-    empty texts and texts without words have 0 shingles and are linked with nothing; repeated rows
-    are one class; a null doc_id stands alone (component_id null, kept false). An empty table gives
+    empty texts and texts without words have 0 shingles and are linked with nothing; rows that repeat
+    a doc_id are taken to repeat its text; a null doc_id stands alone (component_id null, kept false). An empty table gives
     no rows.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(docs.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, digest binary, regs binary"), "sketches")
-    reps = materialize(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")), "classes")
+    sets = materialize(docs.mapInArrow(_sketches(shingle), f"doc_id long, n_shingles long, digest binary, regs binary, {', '.join(f'{p} long' for p in PLANES)}"), "sketches")
+    first = [F.first(c).alias(c) for c in ("n_shingles", "regs", *PLANES)]
+    reps = materialize(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *first), "classes")
     bands = reps.select("rep", "regs").mapInArrow(_bands, "band int, key long, rep long")
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(bands.join(shared, ["band", "key"]).select("band", "key", "rep"), "buckets")
-    links = tested = open_ = None
-    members, component = buckets, None
-    pairs = None
-    for turn in range(HUB_ROUNDS + 1):
-        if component is not None:
-            labels = component.select(F.col("member_id").alias("rep"), "component_id")
-            labelled = buckets.join(labels, "rep", "left").select("band", "key", "rep", F.coalesce("component_id", "rep").alias("c"))
-            sizes = labelled.groupBy("band", "key", "c").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("parts"))
-            # A bucket of two has had its one pair tested; one of a single component can't join anything.
-            open_ = materialize(labelled.join(sizes.where("parts > 1 and n > 2"), ["band", "key"]), "open")
-            rows, cross = open_.agg(F.count("*"), F.sum((F.col("n") * F.col("n") - F.col("q")) / F.col("n") / 2)).first()
-            if not rows:
-                discard(open_)
-                break
-            members = open_
-        if component is None or cross > 8 * rows and turn < HUB_ROUNDS:
-            # One hub for each bucket, another in each round; pairs within a component need no test.
-            pick = F.min_by("rep", F.xxhash64("rep", F.lit(turn))) if turn else F.min("rep")
-            hubs = members.groupBy("band", "key").agg(pick.alias("a"), *([F.min_by("c", F.xxhash64("rep", F.lit(turn))).alias("ca")] if turn else []))
-            pairs = members.join(hubs, ["band", "key"]).where("rep <> a" + (" and c <> ca" if turn else ""))
-            last = False
-        else:
-            x, y = members.alias("x"), members.alias("y")
-            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("rep"))
-            last = True
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = _test(pairs, reps, docs, shingle, percent)
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        component = materialize(connected_components(links, "a", "b"), "components")
-        if open_ is not None:
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    buckets = materialize(bands.join(shared, ["band", "key"]).join(reps.select("rep", "n_shingles", *PLANES), "rep"), "buckets")
+    # All that tests need of the rows in shared buckets: one pass over the texts.
+    wanted = buckets.select("rep").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= PICK_BY_BROADCAST else wanted
+    pool = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").join(reps.select("rep", "n_shingles", "regs"), "rep")
+    pool = materialize(pool, "pool")
+    row = F.struct("rep", "n_shingles", *PLANES)
+    hubs = buckets.groupBy("band", "key").agg(F.min(row).alias("x"))
+    tested = _pairs(buckets.alias("y").join(hubs, ["band", "key"]).where(_alike(F.col("x"), percent) & (F.col("y.rep") != F.col("x.rep"))), None)
+    links = _test(tested, pool, shingle, percent)
+    component = materialize(connected_components(links, "a", "b"), "components")
+    for last in (False, True):
+        labels = component.select(F.col("member_id").alias("rep"), "component_id")
+        open_ = _open(buckets.join(labels, "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id"), 2 if last else 3)
+        if not last:
+            buckets = _promising(open_, pool, shingle, percent)
+            discard(open_)
+            open_ = _open(buckets, 2)
+            buckets = buckets.drop("c")
+        if not open_.limit(1).count():
             discard(open_)
-            open_ = None
-        if last:
             break
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+        # The member that has least of its own is a bucket's centre.
+        centre = open_.groupBy("band", "key").agg(F.min_by(F.struct("rep", "n_shingles", *PLANES, "c"), F.struct(F.col("own") / F.col("n_shingles"), "rep")).alias("x"))
+        near = open_.alias("y").join(centre, ["band", "key"])
+        if last:
+            pairs = _around(near.select(F.col("x.rep").alias("hub"), "rep", "n_shingles", "c").distinct(), pool, tested, shingle, percent)
+        else:
+            pairs = _pairs(near.where((F.col("x.c") != F.col("y.c")) & _alike(F.col("x"), percent)), tested)
+        found = _test(pairs, pool, shingle, percent)
+        discard(open_)
+        tested, links = tested.union(pairs), links.union(found)
+        component = _joined(component, found)
+    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     classes = reps.select("digest", "rep").join(component.withColumnRenamed("member_id", "rep"), "rep", "left").join(degree, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    # Classes of one row that link with nothing need no join: what remains is joined, and its hot classes are split by adaptive execution.
-    out = sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -31,6 +31,22 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(regs, dtype="<u2").view("<i8")
 
 
+#: Bits of each register that are laid out in planes, for comparisons inside joins.
+PLANES = 4
+
+
+def planes(regs: np.ndarray) -> np.ndarray:
+    """The lowest PLANES bits of all registers as 64-bit words: word 2 p + w has bit p of registers 64 w .. 64 w + 63."""
+    bits = np.stack([(regs >> np.uint16(p)) & np.uint16(1) for p in range(PLANES)]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def least_equal(least: float, sigmas: float = 6.0) -> int:
+    """Of registers that are compared by their planes, how many agree at similarity ``least``, less six standard deviations."""
+    q = least + (1.0 - least) / 2**PLANES
+    return int(REGISTERS * q - sigmas * (REGISTERS * q * (1.0 - q)) ** 0.5)
+
+
 def log_likelihood(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Joint log-likelihood of similarity j, where of two sketches' registers ``more`` are larger in the first, ``less`` smaller."""
     u = na / (na + nb)

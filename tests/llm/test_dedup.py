@@ -88,12 +88,12 @@ def family(rnd, n, words, change):
     return [" ".join(f"c{rnd.randrange(10**6)}" if rnd.random() < change else w for w in base) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed, cross", [(1, 4), (2, 0)])
-def test_near_equals_brute_force(spark, monkeypatch, seed, cross):
-    """Groups around the threshold, chains, a passage that many share; with cross = 0 every hub round is run."""
-    monkeypatch.setattr(neardup, "CROSS", cross)
+@pytest.mark.parametrize("seed, listed", [(1, 64), (2, 3), (3, 10**9)])
+def test_near_equals_brute_force(spark, monkeypatch, seed, listed):
+    """Groups around the threshold, chains, a passage that many share; with short and with endless lists of rows."""
+    monkeypatch.setattr(neardup, "LISTED", listed)
     rnd = random.Random(seed)
-    texts = family(rnd, 40, 120, 0.02) + family(rnd, 40, 60, 0.03) + family(rnd, 10, 300, 0.005)
+    texts = family(rnd, 60, 120, 0.02) + family(rnd, 40, 60, 0.03) + family(rnd, 60, 140, 0.03) + family(rnd, 10, 300, 0.005)
     chain = [f"k{i}" for i in range(100)]
     for i in range(12):
         chain = chain[2:] + [f"z{i}", f"y{i}"]
