@@ -70,16 +70,18 @@ def schedule(left: np.ndarray, target: np.ndarray, deficit: np.ndarray, window:
     return out
 
 
-def pack_part(table: pa.Table) -> pa.Table:
-    """The pieces of one part: its documents (doc_id, source, version, n, ids, target, carry, first_sequence) in queues by source."""
+def pack_part(table: pa.Table, aims: pa.Table) -> pa.Table:
+    """The pieces of one part: its documents (doc_id, source, version, n, ids, place) in queues by source, packed by ``aims`` (source, target, carry, first_sequence)."""
     rows = table.sort_by([("source", "ascending"), ("place", "ascending"), ("doc_id", "ascending"), ("version", "ascending")])
     source, n = rows.column("source").to_numpy(zero_copy_only=False), rows.column("n").to_numpy()
     docs = rows.column("doc_id").to_numpy(zero_copy_only=False)
     begin = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]]))
     end = np.append(begin[1:], len(source))
-    plan = schedule(np.add.reduceat(n, begin), rows.column("target").to_numpy()[begin], rows.column("carry").to_numpy()[begin])
+    of = {s: (t, c) for s, t, c in zip(*(aims.column(k).to_pylist() for k in ("source", "target", "carry")), strict=True)}
+    target, carry = np.array([of[s] for s in source[begin]], dtype=np.float64).T
+    plan = schedule(np.add.reduceat(n, begin), target, carry)
     at = np.cumsum(plan, axis=1) - plan  # where each source begins in each window
-    first = int(rows.column("first_sequence")[0].as_py())
+    first = int(aims.column("first_sequence")[0].as_py())
     raw = rows.column("ids").to_pylist()
     out: dict[str, list] = {k: [] for k in ("row", "start", "length", "crc", "sequence", "offset")}
     for s, (a, b) in enumerate(zip(begin, end, strict=True)):
@@ -132,5 +134,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, target: dict[str, flo
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carry = held.withColumn("had", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(aims, "source", "left").withColumn("target", F.coalesce("target", F.lit(0.0))).join(by_part, "part")
     carry = carry.select("part", "source", "target", (F.col("target") * F.col("before_part") - F.col("had")).alias("carry"), "first_sequence")
-    rows = tokens.join(carry, ["part", "source"])
-    return rows.groupBy("part").applyInArrow(pack_part, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    # Each part's documents and aims meet in one shuffle.
+    return tokens.groupBy("part").cogroup(carry.groupBy("part")).applyInArrow(pack_part, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
