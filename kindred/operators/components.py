@@ -41,7 +41,7 @@ def _stars(e: DataFrame) -> DataFrame:
 def _written(e: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges in the shared folder, and a signature that equal edge sets share, taken while they are written."""
     seen = Observation()
-    out = materialize(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    out = materialize(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges", small=True)
     got = seen.get
     return out, (got["n"], got["h"])
 

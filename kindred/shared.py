@@ -1,8 +1,11 @@
 """Tables written to the folder that driver and executors share."""
 
 import contextlib
+import ctypes
+import functools
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Only where spark.checkpoint.dir is unset, as in tests on one machine.
@@ -14,8 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors.
+
+    ``small`` tables, of a few rows a partition, are written by four tasks a core at most, as each
+    task and file costs more than such rows.
+    """
+    df = df.coalesce(max(8, 4 * df.sparkSession.sparkContext.defaultParallelism)) if small else df
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/kindred-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -32,11 +40,23 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
+def bound_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of at most ``rows`` rows, so that long texts fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(run):
+    """A function over batches that gives what it no longer needs back to the system at its end: Python workers live on between stages."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 @contextlib.contextmanager
 def job(spark: SparkSession, name: str):
     """The Spark jobs of a block under one name, by which cancel() ends them."""
