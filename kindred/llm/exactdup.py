@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kindred.operators.hot import join_groups
 from kindred.shared import materialize
 
 #: A chunk ends after a mark and a space once it has LEAST characters, or at MOST characters: both depend on content alone,
@@ -48,6 +49,6 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     ordered = F.col("recipe") if clashes else F.transform("recipe", lambda c: c["id"])
     lists = made.select("doc_id", "text_sha256", F.size("recipe").alias("n_chunks"), ordered.alias("ids")).withColumn("h", F.xxhash64("ids"))
     groups = lists.groupBy("h", "ids").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1 or keep_id is null")
-    out = lists.join(groups, ["h", "ids"], "left")
+    out = join_groups(lists, groups, ["h", "ids"], "group_size", made.count())
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(False)).alias("kept"), "text_sha256", "n_chunks")

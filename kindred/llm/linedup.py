@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from kindred.operators.hot import join_groups
 from kindred.shared import bound_batches, materialize
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -70,8 +71,8 @@ def line_dedup(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
     lines = materialize(docs.mapInArrow(_lines(least), "doc_id long, version long, pos int, h1 long, h2 long, first boolean"), "lines")
     # ``first`` marks a key's first line in its document, so the sum counts documents.
-    frequent = lines.groupBy("h1", "h2").agg(F.count_if("first").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= documents)
-    gone = lines.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
+    frequent = lines.groupBy("h1", "h2").agg(F.count_if("first").alias("n"), F.count("*").alias("times"), F.max("doc_id").alias("holder")).where(F.col("n") >= documents)
+    gone = join_groups(lines, frequent, ["h1", "h2"], "times", lines.count(), "inner").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     drops = materialize(gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("pos")).alias("drop")), "drops")
     total = drops.agg(F.sum(F.size("drop") + 4)).first()[0] or 0
     sent = F.broadcast(drops) if total <= SEND else drops
