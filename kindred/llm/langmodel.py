@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.quality import remainder
 from kindred.llm.words import CHUNK, LOWER, U, text_bytes, word_hashes, word_spans
-from kindred.shared import bound_batches, materialize
+from kindred.shared import bound_batches, materialize, tidy
 
 #: Words that the network tells apart; all others are told apart within their form by their counts.
 HEAD = 2047
@@ -319,7 +319,7 @@ def count_words(training: DataFrame) -> DataFrame:
     Words are told apart by 64-bit hashes; among a billion different words, two share one with a
     chance of 0.03.
     """
-    rows = training.select("text").mapInArrow(_counts, "word long, form byte, n long")
+    rows = training.select("text").mapInArrow(tidy(_counts), "word long, form byte, n long")
     return materialize(rows.groupBy("word").agg(F.first("form").alias("form"), F.sum("n").alias("c")), "words")
 
 
@@ -455,7 +455,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model, words = learn(docs)
     sent = spark.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # LOOKUP words and a network of fixed size
-    scored = materialize(docs.mapInArrow(_score(sent, uuid.uuid4().hex), "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, many array<int>"), "scores")
+    scored = materialize(docs.mapInArrow(tidy(_score(sent, uuid.uuid4().hex)), "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, many array<int>"), "scores")
     scored = scored.withColumn("row", F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "many")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.many").alias("many"))
     # Words that no training document has count 0: log10(0.5), which is added for all and corrected for those found.

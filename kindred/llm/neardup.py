@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kindred.llm import setsketch as S
 from kindred.llm.words import shingle_sets
 from kindred.operators.components import connected_components
-from kindred.shared import bound_batches, discard, materialize
+from kindred.operators.hot import join_groups
+from kindred.shared import bound_batches, discard, materialize, tidy
 
 #: Shingles beyond a centre's that more rows of its family have count as the centre's; so lists of rows stay this short.
 LISTED = 64
@@ -77,7 +78,7 @@ def _test(pairs: DataFrame, pool: DataFrame, shingle: int, percent: int) -> Data
     picked = pool.join(F.broadcast(ids.distinct()) if few else ids.distinct(), "rep", "left_semi")
     side = lambda x: picked.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"), F.col("text").alias(f"text_{x}"))
     joined = side("b").join(F.broadcast(pairs) if few else pairs, "b").join(side("a"), "a").sortWithinPartitions("a")
-    return materialize(joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "text_a", "text_b").mapInArrow(_verified(shingle, percent), "a long, b long"), "links")
+    return materialize(joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "text_a", "text_b").mapInArrow(tidy(_verified(shingle, percent)), "a long, b long"), "links", small=True)
 
 
 def _alike(x: Column, percent: int) -> Column:
@@ -95,7 +96,7 @@ def _alike(x: Column, percent: int) -> Column:
 def _pairs(joined: DataFrame, tested: DataFrame | None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of rows ``y`` and structs ``x`` that weren't tested before."""
     pairs = joined.select(F.least("y.rep", "x.rep").alias("a"), F.greatest("y.rep", "x.rep").alias("b")).distinct()
-    return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs", small=True)
 
 
 def _around(family: DataFrame, pool: DataFrame, tested: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -125,12 +126,12 @@ def _around(family: DataFrame, pool: DataFrame, tested: DataFrame, shingle: int,
                 same = lambda k, n=len(grams), i=i, b=b: pa.array(np.full(n, b.column(k)[i].as_py()), pa.int64())
                 yield pa.RecordBatch.from_arrays([same("hub"), same("rep"), same("n_shingles"), same("c"), pa.array(np.full(len(grams), int(inside.sum()))), grams], names=["hub", "rep", "n", "c", "inside", "gram"])
 
-    out = materialize(rows.select("hub", "rep", "n_shingles", "c", "text_rep", "text_hub").mapInArrow(beyond, "hub long, rep long, n long, c long, inside long, gram long"), "beyond")
+    out = materialize(rows.select("hub", "rep", "n_shingles", "c", "text_rep", "text_hub").mapInArrow(tidy(beyond), "hub long, rep long, n long, c long, inside long, gram long"), "beyond")
     met = out.where("gram is not null").groupBy("hub", "gram").agg(F.count("*").alias("rows")).where("rows > 1")
     listed = out.join(met, ["hub", "gram"])
     often = listed.where(F.col("rows") > LISTED).groupBy("hub", "rep").agg(F.count("*").alias("often"))
     each = out.select("hub", "rep", "n", "c", "inside").distinct().join(often, ["hub", "rep"], "left")
-    each = materialize(each.select("hub", "rep", "n", "c", (F.col("inside") + F.coalesce("often", F.lit(0))).alias("inside")), "centres")
+    each = materialize(each.select("hub", "rep", "n", "c", (F.col("inside") + F.coalesce("often", F.lit(0))).alias("inside")), "centres", small=True)
     k = F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100.0 + percent) - 1e-9)
     sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     short = listed.where(F.col("rows") <= LISTED).select("hub", "gram", "rep", "c")
@@ -142,13 +143,13 @@ def _around(family: DataFrame, pool: DataFrame, tested: DataFrame, shingle: int,
     main = each.groupBy("hub", "c").agg(F.count("*").alias("rows")).groupBy("hub").agg(F.max_by("c", F.struct("rows", "c")).alias("main"))
     minor = each.join(main, "hub").where("c <> main").drop("main").alias("x")
     central = minor.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.c") != F.col("y.c")) & sized & (F.least("x.inside", "y.inside") >= k)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    return materialize(listed_pairs.union(central).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    return materialize(listed_pairs.union(central).distinct().join(tested, ["a", "b"], "left_anti"), "pairs", small=True)
 
 
 def _open(labelled: DataFrame, rows: int) -> DataFrame:
     """Buckets of several components and at least so many rows: three while no row has been set aside, as a bucket's hub is tested against all."""
     several = labelled.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where((F.col("n") >= rows) & (F.col("lo") < F.col("hi"))).select("band", "key")
-    return materialize(labelled.join(several, ["band", "key"]), "open")
+    return materialize(labelled.join(several, ["band", "key"]), "open", small=True)
 
 
 def _promising(open_: DataFrame, pool: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -167,7 +168,7 @@ def _promising(open_: DataFrame, pool: DataFrame, shingle: int, percent: int) ->
             for doc, x in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), shingle), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), doc)), pa.array(x.view(np.int64))], names=["rep", "gram"])
 
-    each = pool.join(ids, "rep", "left_semi").select("rep", "text").mapInArrow(grams, "rep long, gram long")
+    each = pool.join(ids, "rep", "left_semi").select("rep", "text").mapInArrow(tidy(grams), "rep long, gram long")
     alone = each.groupBy("gram").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
     own = alone.groupBy("rep").agg(F.count("*").alias("own"))
     counted = open_.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
@@ -175,7 +176,7 @@ def _promising(open_: DataFrame, pool: DataFrame, shingle: int, percent: int) ->
     n, c = F.col("n_shingles"), F.col("n_shingles") - F.col("own")
     m = F.greatest(F.col("least"), F.ceil(n * percent / 100))
     out = counted.join(least, ["band", "key"]).where(c * 100 >= (n + F.greatest(m, c) - c) * percent).drop("least")
-    return materialize(out, "promising")
+    return materialize(out, "promising", small=True)
 
 
 def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
@@ -184,11 +185,11 @@ def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     if not links.limit(1).count():
         return component
-    moved = materialize(connected_components(between, "a", "b").select(F.col("member_id").alias("component_id"), F.col("component_id").alias("root")), "moved")
+    moved = materialize(connected_components(between, "a", "b").select(F.col("member_id").alias("component_id"), F.col("component_id").alias("root")), "moved", small=True)
     few = F.broadcast(moved) if moved.count() <= PICK_BY_BROADCAST // 8 else moved
     old = component.join(few, "component_id", "left").select("member_id", F.coalesce("root", "component_id").alias("component_id"))
     new = moved.join(component.select(F.col("member_id").alias("component_id")), "component_id", "left_anti").select(F.col("component_id").alias("member_id"), F.col("root").alias("component_id"))
-    return materialize(old.union(new), "components")
+    return materialize(old.union(new), "components", small=True)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -212,10 +213,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(docs.mapInArrow(_sketches(shingle), f"doc_id long, n_shingles long, digest binary, regs binary, {', '.join(f'{p} long' for p in PLANES)}"), "sketches")
+    sets = materialize(docs.mapInArrow(tidy(_sketches(shingle)), f"doc_id long, n_shingles long, digest binary, regs binary, {', '.join(f'{p} long' for p in PLANES)}"), "sketches")
     first = [F.first(c).alias(c) for c in ("n_shingles", "regs", *PLANES)]
-    reps = materialize(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *first), "classes")
-    bands = reps.select("rep", "regs").mapInArrow(_bands, "band int, key long, rep long")
+    reps = materialize(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), *first), "classes")
+    bands = reps.select("rep", "regs").mapInArrow(tidy(_bands), "band int, key long, rep long")
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     buckets = materialize(bands.join(shared, ["band", "key"]).join(reps.select("rep", "n_shingles", *PLANES), "rep"), "buckets")
     # All that tests need of the rows in shared buckets: one pass over the texts.
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     hubs = buckets.groupBy("band", "key").agg(F.min(row).alias("x"))
     tested = _pairs(buckets.alias("y").join(hubs, ["band", "key"]).where(_alike(F.col("x"), percent) & (F.col("y.rep") != F.col("x.rep"))), None)
     links = _test(tested, pool, shingle, percent)
-    component = materialize(connected_components(links, "a", "b"), "components")
+    component = materialize(connected_components(links, "a", "b"), "components", small=True)
     for last in (False, True):
         labels = component.select(F.col("member_id").alias("rep"), "component_id")
         open_ = _open(buckets.join(labels, "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id"), 2 if last else 3)
@@ -251,7 +252,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
         tested, links = tested.union(pairs), links.union(found)
         component = _joined(component, found)
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    classes = reps.select("digest", "rep").join(component.withColumnRenamed("member_id", "rep"), "rep", "left").join(degree, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
+    classes = reps.select("digest", "rep", "members").join(component.withColumnRenamed("member_id", "rep"), "rep", "left").join(degree, "rep", "left").select("digest", "members", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    classes = materialize(classes, "answers")
+    rows = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    out = join_groups(rows, classes, ["digest"], "members", sets.count())
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kindred.llm.tokens import encoder
-from kindred.shared import bound_batches, materialize
+from kindred.shared import bound_batches, materialize, tidy
 
 WINDOW = 4096
 #: Ids that are packed by one task, about; also bounds its memory.
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, target: dict[str, flo
     """
     bound_batches(docs.sparkSession, 256)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64("text").alias("version"))
-    tokens = materialize(named.mapInArrow(_tokens(tokenizer, end_id), "doc_id long, source string, version long, n long, ids binary"), "ids")
+    tokens = materialize(named.mapInArrow(tidy(_tokens(tokenizer, end_id)), "doc_id long, source string, version long, n long, ids binary"), "ids")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // PART_IDS))
     tokens = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "version", F.lit(1)), F.lit(parts)).cast("int")).withColumn("place", F.xxhash64("doc_id", "version", F.lit(2)))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.words import CHUNK, LOWER, text_bytes, word_hashes, word_spans
-from kindred.shared import bound_batches
+from kindred.shared import bound_batches, tidy
 
 FEATURES = ("log_bytes", "log_words", "word_bytes", "upper", "digits", "marks", "odd_marks", "shouts", "bars", "beyond_ascii", "distinct_words", "top_word", "distinct_threes", "letterless_words", "short_words", "capital_words", "words_a_stop", "words_a_line", "distinct_lines", "ends_marked")
 #: Labelled rows that the model learns from, at most (about; drawn by a hash of doc_id over the whole table).
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame) -> AdditiveModel:
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").mapInArrow(run, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").mapInArrow(tidy(run), "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
     order = np.lexsort((*x.T, rows["doc_id"].to_numpy()))
     return fit(x[order], rows["quality"].to_numpy(dtype=np.float64)[order])
@@ -224,7 +224,7 @@ def keep(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> DataF
         for b in batches:
             yield b.filter(pa.array(model.score(features(b.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -240,5 +240,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     bound_batches(docs.sparkSession)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
     return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted")

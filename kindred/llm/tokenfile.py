@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kindred.llm import simple8b
 from kindred.llm.tokens import encoder
-from kindred.shared import bound_batches, materialize
+from kindred.shared import bound_batches, materialize, tidy
 
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
@@ -78,7 +78,7 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = docs.repartitionByRange(max(1, -(-size // SHARD_BYTES), docs.sparkSession.sparkContext.defaultParallelism), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(_write(tokenizer, end_id), "shard int, block long, doc_ids array<long>, n_ids long, data binary"), "tokens")
+    return materialize(ordered.mapInArrow(tidy(_write(tokenizer, end_id)), "shard int, block long, doc_ids array<long>, n_ids long, data binary"), "tokens")
 
 
 def read_token_file(blocks: DataFrame) -> DataFrame:
