@@ -7,21 +7,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.quality import remainder
 from kindred.llm.words import CHUNK, LOWER, U, text_bytes, word_hashes, word_spans
-from kindred.shared import bound_batches, materialize, tidy
+from kindred.shared import bound_batches, discard, materialize, tidy
 
 #: Words that the network tells apart; all others are told apart within their form by their counts.
 HEAD = 2047
 HIDDEN, CLASSES = 24, 48
 #: Words whose counts every task holds: at most so many, the most frequent ones (16 MB). Rarer ones are joined by a shuffle.
 LOOKUP = 500_000
-#: The network's weights are learned from about so many training documents, that a hash picks from the whole table, and at
-#: most so many of their words; all counts are of all training documents.
-SAMPLE_DOCS, SAMPLE_WORDS = 2_500, 600_000
-EPOCHS, STREAMS, STEPS, LEARNING_RATE = 2, 64, 24, 0.005
+#: The network starts on about so many words, of documents that a hash picks from the whole table. Then all training documents
+#: train it once, in rounds of a fixed share each by tasks of about TASK_WORDS; after a round the tasks' networks are averaged.
+START_WORDS, ROUNDS, TASK_WORDS = 600_000, 3, 1_000_000
+#: Words that a task holds at a time, and parallel runs through them, at the start and in rounds.
+HELD_WORDS, START_STREAMS, STREAMS, STEPS = 500_000, 64, 256, 24
+#: Rates at the start, at its end and at the end of the last round.
+RATES = 0.005, 0.003, 0.0005
+SLICES = 32  # of a network's weights, which are summed apart
 #: Words that are scored in one go.
 AT_ONCE = 4_000_000
 END = U(0x5EED0E11D0C00001)  # stands for the end of a document, among word hashes
@@ -84,6 +89,14 @@ def _softmax_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, e.sum(axis=1)
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """The softmax of each row, in place of ``x``."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 class Network:
     """h' = (1 - z) h + z tanh(..), z and r logistic; then P(class | h) P(token | class, h)."""
 
@@ -164,23 +177,31 @@ class Network:
                 out[own] += np.bincount(np.concatenate(rows), logs, minlength=len(own))
         return out
 
-    def train(self, stream: np.ndarray, epochs: int = EPOCHS, streams: int = STREAMS, steps: int = STEPS, rate: float = LEARNING_RATE) -> None:
-        """Truncated backpropagation through ``steps`` tokens of ``streams`` parallel runs, by Adam; states are carried between windows."""
-        width = (len(stream) - 1) // streams
-        if width < 2:
-            return
+    def train(self, chunks, expected: float, rates: tuple[float, float], streams: int = STREAMS, steps: int = STEPS) -> int:
+        """Truncated backpropagation through ``steps`` tokens of parallel runs, by Adam; states are carried between windows.
+
+        Each chunk is cut into ``streams`` runs of equal width, which overlap by less than a token a
+        run, so that every token but a chunk's first is predicted. The rate falls from the first to
+        the second of ``rates`` over ``expected`` tokens. Returns the tokens predicted.
+        """
         p = self.p
         m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-        x = stream[: width * streams].reshape(streams, width)
-        t = 0
-        total = epochs * -(-(width - 1) // steps)
-        for _ in range(epochs):
-            h = np.zeros((streams, self.hidden), np.float32)
-            for a in range(0, width - 1, steps):
+        t = done = 0
+        for chunk in chunks:
+            n = len(chunk) - 1
+            if n < 1:
+                continue
+            runs = max(1, min(streams, n // steps))
+            width = -(-n // runs)
+            starts = np.arange(runs) * (n - width) // max(1, runs - 1)
+            x = chunk[starts[:, None] + np.arange(width + 1)]
+            h = np.zeros((runs, self.hidden), np.float32)
+            for a in range(0, width, steps):
                 t += 1
-                ins, outs = x[:, a : min(a + steps, width - 1)], x[:, a + 1 : min(a + steps, width - 1) + 1]
-                grad, h = self._gradients(ins, outs, h)
-                lr = rate * math.sqrt(1 - 0.99**t) / (1 - 0.9**t) * (1 - 0.9 * t / total)
+                end = min(a + steps, width)
+                grad, h = self._gradients(x[:, a:end], x[:, a + 1 : end + 1], h)
+                along = min(1.0, (done + n * a / width) / expected)
+                lr = (rates[0] + (rates[1] - rates[0]) * along) * math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
                 for k, g in grad.items():
                     if isinstance(g, tuple):  # rows of a table
                         rows, g = g
@@ -193,6 +214,17 @@ class Network:
                         m1[k] = 0.9 * m1[k] + 0.1 * g
                         m2[k] = 0.99 * m2[k] + 0.01 * g * g
                         p[k] -= lr * m1[k] / (np.sqrt(m2[k]) + 1e-7)
+            done += n
+        return done
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def set_flat(self, values: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = values[at : at + v.size].reshape(v.shape).astype(v.dtype)
+            at += v.size
 
     def _gradients(self, ins: np.ndarray, outs: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         p, n, (B, T) = self.p, self.hidden, ins.shape
@@ -206,25 +238,25 @@ class Network:
         rows = np.arange(len(y))
         scale = np.float32(1.0 / B)
         c = self.cls[y]
-        x, s = _softmax_parts(H @ p["C"] + p["cb"])
-        d = np.exp(x) / s[:, None]
+        d = _softmax(H @ p["C"] + p["cb"])
         d[rows, c] -= 1
         d *= scale
         grad = {"C": H.T @ d, "cb": d.sum(axis=0)}
         dH = d @ p["C"].T
         gW, gb = {}, []
-        for k in np.unique(c):
-            m = self.members[k]
-            if len(m) < 2:
+        order = np.argsort(c, kind="stable")
+        cuts = np.searchsorted(c[order], np.arange(len(self.members) + 1))
+        for k, m in enumerate(self.members):
+            own = order[cuts[k] : cuts[k + 1]]
+            if len(m) < 2 or not len(own):
                 continue
-            own = rows[c == k]
-            x, s = _softmax_parts(H[own] @ p["W"][m].T + p["wb"][m])
-            d = np.exp(x) / s[:, None]
+            Hk, Wk = H[own], p["W"][m]
+            d = _softmax(Hk @ Wk.T + p["wb"][m])
             d[np.arange(len(own)), self.place[y[own]]] -= 1
             d *= scale
-            gW[k] = d.T @ H[own]
+            gW[k] = d.T @ Hk
             gb.append(d.sum(axis=0))
-            dH[own] += d @ p["W"][m]
+            dH[own] += d @ Wk
         if gW:
             at = np.concatenate([self.members[k] for k in gW])
             grad["W"], grad["wb"] = (at, np.concatenate(list(gW.values()))), (at, np.concatenate(gb))
@@ -242,10 +274,10 @@ class Network:
             dU[:, 2 * n :] += rh.T @ dc
             back = dh * (1 - z) + drh * r + dzr @ p["U"][:, : 2 * n].T
         grad["U"], grad["b"] = dU, dx.sum(axis=(0, 1))
-        used, where = np.unique(ins.T.ravel(), return_inverse=True)
-        g = np.zeros((len(used), 3 * n), np.float32)
-        np.add.at(g, where, dx.reshape(-1, 3 * n))
-        grad["E"] = (used, g)
+        token = ins.T.ravel()
+        order = np.argsort(token, kind="stable")
+        used, first = np.unique(token[order], return_index=True)
+        grad["E"] = (used, np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0))
         return grad, h
 
 
@@ -305,6 +337,7 @@ class Model:
     form_distinct: np.ndarray
     ends: int  # training documents
     network: Network
+    trained: int  # tokens that the rounds trained it on
 
     def base_floor(self) -> float:
         return math.log10(self.total + 0.5 * (self.distinct + 1))
@@ -324,19 +357,84 @@ def count_words(training: DataFrame) -> DataFrame:
 
 
 def _encode(table: Table, head: int):
-    """Tokens of texts under the network: words of the head, the end, or forms."""
+    """Tokens of texts under the network, words of the head or forms, and the end."""
     def run(batches):
         for batch in batches:
             out = []
             for _, w, f, first in text_words(batch.column("text")):
                 at = table.find(w)
                 token = np.where((at >= 0) & (at < head), at, head + 1 + f).astype("<u2")
-                out += [token[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                out += [np.append(token[a:b], np.array(head, "<u2")).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(out, pa.binary())], names=["h", "tokens"])
 
     return run
 
 
+def _chunks(batches, end: int):
+    """The tokens of rows in arrays of about HELD_WORDS, each headed by the token before it (the end before all)."""
+    held, size, before = [], 0, np.array([end])
+    for batch in batches:
+        for x in batch.column("tokens"):
+            held.append(np.frombuffer(x.as_buffer(), "<u2"))
+            size += len(held[-1])
+            if size >= HELD_WORDS:
+                out = np.concatenate([before, *held]).astype(np.int64)
+                yield out
+                held, size, before = [], 0, out[-1:]
+    if held:
+        yield np.concatenate([before, *held]).astype(np.int64)
+
+
+def _train(sent, end: int, expected: float, rates: tuple[float, float], streams: int):
+    """The network as trained on a task's rows, in slices."""
+    def run(batches):
+        network: Network = pickle.loads(sent.value)
+        n = network.train(_chunks(batches, end), expected, rates, streams)
+        if n:
+            slices = [x.astype("<f4").tobytes() for x in np.array_split(network.flat(), SLICES)]
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array(slices, pa.binary())], names=["slice", "task", "n", "data"])
+
+    return run
+
+
+def _sum_slices(batches):
+    """Of each slice the sum over tasks, weighted by their tokens."""
+    sums, weights = {}, {}
+    for batch in batches:
+        for k, n, x in zip(batch.column("slice").to_pylist(), batch.column("n").to_pylist(), batch.column("data"), strict=True):
+            sums[k] = sums.get(k, 0.0) + np.frombuffer(x.as_buffer(), "<f4").astype(np.float64) * n
+            weights[k] = weights.get(k, 0) + n
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(weights.values()), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "n", "data"])
+
+
+def _round(rows: DataFrame, network: Network, end: int, expected: float, rates: tuple[float, float], streams: int) -> int:
+    """Train by one task per partition of ``rows`` (h, tokens), each from the same weights; ``network`` gets their average. Returns the tokens."""
+    sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps(network, protocol=5))
+    tasks = rows.sortWithinPartitions("h", "tokens").mapInArrow(tidy(_train(sent, end, expected, rates, streams)), "slice int, task int, n long, data binary")
+    parts = tasks.repartition("slice").sortWithinPartitions("slice", "task").mapInArrow(_sum_slices, "slice int, n long, data binary").collect()  # SLICES rows, two networks large
+    sent.destroy()
+    if parts:
+        network.set_flat(np.concatenate([np.frombuffer(r.data, "<f8") / r.n for r in sorted(parts, key=lambda r: r.slice)]))
+    return parts[0].n if parts else 0
+
+
+def _train_all(network: Network, training: DataFrame, small: Table, head: int, total: int) -> int:
+    """Train on every word of ``training``, of ``total`` tokens; returns the tokens of the rounds."""
+    tokens = materialize(training.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text").mapInArrow(tidy(_encode(small, head)), "h long, tokens binary"), "tokens")
+    share = min(1.0, START_WORDS / max(1, total))
+    start = tokens.where(F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * share))
+    _round(start.repartition(1), network, head, max(1, total * share), RATES[:2], START_STREAMS)
+    tasks, trained = max(1, round(total / ROUNDS / TASK_WORDS)), 0
+    fall = lambda k: RATES[1] + (RATES[2] - RATES[1]) * k / ROUNDS
+    for k in range(ROUNDS):
+        rows = tokens.where(F.pmod("h", F.lit(ROUNDS)) == k).repartition(tasks, "h")
+        trained += _round(rows, network, head, max(1, total / ROUNDS / tasks), (fall(k), fall(k + 1)), STREAMS)
+    discard(tokens)
+    return trained
+
+
 def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model and all word counts of the documents of ``docs`` (doc_id, text) whose remainder() isn't 1."""
     training = docs.where(remainder() != 1)
@@ -371,13 +469,8 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     np.subtract.at(fd, f[:head], 1)
     network = Network(np.concatenate([c[:head], [ends], np.maximum(ft, 0)]).astype(np.float64))
     table = Table(keys, np.arange(len(keys)))
-    share = min(1.0, SAMPLE_DOCS / max(1, ends))
-    small = Table(keys[:head], np.arange(head))
-    picked = training.withColumn("h", F.xxhash64("doc_id", F.lit(3))).where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * share)).select("h", "text").mapInArrow(_encode(small, head), "h long, tokens binary").toPandas().sort_values(["h", "tokens"])
-    if len(picked):
-        stream = np.concatenate([np.append(np.frombuffer(x, "<u2").astype(np.int64), head) for x in picked["tokens"]])
-        network.train(np.concatenate([[head], stream])[:SAMPLE_WORDS])
-    return Model(table, c, head, total, distinct, ft, fd, ends, network), words
+    trained = _train_all(network, training, Table(keys[:head], np.arange(head)), head, total)
+    return Model(table, c, head, total, distinct, ft, fd, ends, network, trained), words
 
 
 _loaded: dict[str, Model] = {}  # of this Python worker

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.llm import langmodel as L, license_scan, matroska as M, quality as Q
 
@@ -142,6 +143,28 @@ def test_scores_beat_the_base_on_held_out_texts(spark, sf_dir):
     assert out.score.sum() > out.base_score.sum()
 
 
+def test_the_network_trains_on_every_training_token(spark):
+    """Far more words than START_WORDS, in more documents than were once drawn."""
+    docs = spark.range(0, 12_000, 1, 4).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), (F.col("id") % 50).cast("string"), F.lit(" ")), 100).alias("text"))
+    model, _ = L.learn(docs)
+    assert model.total > L.START_WORDS and model.ends > 9_000
+    assert model.trained == model.total
+
+
+def test_runs_of_a_chunk_predict_all_its_tokens():
+    net = L.Network(np.full(30 + L.FORMS, 5.0), hidden=4, classes=3)
+    targets = []
+    real = net._gradients
+    net._gradients = lambda ins, outs, h: targets.append(outs) or real(ins, outs, h)
+    for n in (2, 3, 50, 1001, 4099):
+        targets.clear()
+        chunk = np.arange(n) % len(net.cls)
+        assert net.train([chunk], n, (0.005, 0.003), streams=16, steps=8) == n - 1
+        seen = np.bincount(np.concatenate([x.ravel() for x in targets]), minlength=len(net.cls))
+        want = np.bincount(chunk[1:], minlength=len(net.cls))
+        assert (seen >= want).all() and seen.sum() - want.sum() < 16
+
+
 # -- licenses ----------------------------------------------------------------------------------
 
 
