@@ -19,13 +19,15 @@ HEAD = 2047
 HIDDEN, CLASSES = 24, 48
 #: Words whose counts every task holds: at most so many, the most frequent ones (16 MB). Rarer ones are joined by a shuffle.
 LOOKUP = 500_000
-#: The network starts on about so many words, of documents that a hash picks from the whole table. Then all training documents
+#: The network starts on about so many words, of pieces that a hash picks from the whole table. Then all training documents
 #: train it once, in rounds of a fixed share each by tasks of about TASK_WORDS; after a round the tasks' networks are averaged.
 START_WORDS, ROUNDS, TASK_WORDS = 600_000, 3, 1_000_000
 #: Words that a task holds at a time, and parallel runs through them, at the start and in rounds.
 HELD_WORDS, START_STREAMS, STREAMS, STEPS = 500_000, 64, 256, 24
 #: Rates at the start, at its end and at the end of the last round.
 RATES = 0.005, 0.003, 0.0005
+#: Words of a row of the token table: long documents stand in many rows, which a hash deals to rounds and tasks one by one.
+PIECE = 4_096
 SLICES = 32  # of a network's weights, which are summed apart
 #: Words that are scored in one go.
 AT_ONCE = 4_000_000
@@ -357,15 +359,21 @@ def count_words(training: DataFrame) -> DataFrame:
 
 
 def _encode(table: Table, head: int):
-    """Tokens of texts under the network, words of the head or forms, and the end."""
+    """Tokens of texts under the network, words of the head or forms, and the end, in numbered pieces of at most PIECE."""
     def run(batches):
         for batch in batches:
-            out = []
-            for _, w, f, first in text_words(batch.column("text")):
+            out, row, part = [], [], []
+            for begin, w, f, first in text_words(batch.column("text")):
                 at = table.find(w)
                 token = np.where((at >= 0) & (at < head), at, head + 1 + f).astype("<u2")
-                out += [np.append(token[a:b], np.array(head, "<u2")).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(out, pa.binary())], names=["h", "tokens"])
+                for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                    whole = np.append(token[a:b], np.array(head, "<u2"))
+                    pieces = [whole[i : i + PIECE].tobytes() for i in range(0, len(whole), PIECE)]
+                    out += pieces
+                    row += [begin + k] * len(pieces)
+                    part += range(len(pieces))
+            for i in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array(row[i : i + 256], pa.int64())), pa.array(part[i : i + 256], pa.int32()), pa.array(out[i : i + 256], pa.binary())], names=["h", "part", "tokens"])
 
     return run
 
@@ -422,7 +430,7 @@ def _round(rows: DataFrame, network: Network, end: int, expected: float, rates:
 
 def _train_all(network: Network, training: DataFrame, small: Table, head: int, total: int) -> int:
     """Train on every word of ``training``, of ``total`` tokens; returns the tokens of the rounds."""
-    tokens = materialize(training.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text").mapInArrow(tidy(_encode(small, head)), "h long, tokens binary"), "tokens")
+    tokens = materialize(training.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text").mapInArrow(tidy(_encode(small, head)), "h long, part int, tokens binary").select(F.xxhash64("h", "part").alias("h"), "tokens"), "tokens")
     share = min(1.0, START_WORDS / max(1, total))
     start = tokens.where(F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * share))
     _round(start.repartition(1), network, head, max(1, total * share), RATES[:2], START_STREAMS)

@@ -151,6 +151,19 @@ def test_the_network_trains_on_every_training_token(spark):
     assert model.trained == model.total
 
 
+def test_long_documents_are_dealt_in_pieces():
+    """No row of the token table is longer than PIECE, and none of a long document's words is cut."""
+    texts = ["a b " * 60_000, None, "b", "c " * (L.PIECE - 1), "a " * L.PIECE]
+    hashes = next(L.text_words(pa.array(["a b c"])))[1]
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13, 14]), pa.array(texts, pa.string())], names=["h", "text"])
+    rows = [r for out in L._encode(L.Table(hashes, np.arange(3)), 3)([batch]) for r in out.to_pylist()]
+    assert max(len(r["tokens"]) // 2 for r in rows) <= L.PIECE
+    assert len({(r["h"], r["part"]) for r in rows}) == len(rows)
+    for h, text in zip((10, 11, 12, 13, 14), texts, strict=True):
+        own = b"".join(r["tokens"] for r in sorted(rows, key=lambda r: r["part"]) if r["h"] == h)
+        assert np.frombuffer(own, "<u2").tolist() == ["abc".index(w) for w in (text or "").split()] + [3]
+
+
 def test_runs_of_a_chunk_predict_all_its_tokens():
     net = L.Network(np.full(30 + L.FORMS, 5.0), hidden=4, classes=3)
     targets = []
