@@ -1,6 +1,6 @@
-"""Joins of rows with what is known of their groups, however large a group is."""
+"""Joins of rows with what is known of their groups, and running sums, however large a group is."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Groups of at least a thousandth of all rows are hot: there can be no more than so many of them.
 PARTS = 1000
@@ -16,3 +16,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     hot = F.broadcast(groups.where(F.col(size) * PARTS >= total))
     cold = groups.where(F.col(size) * PARTS < total)
     return rows.join(hot, keys, "inner").unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
+
+
+def running_sums(df: DataFrame, sums: dict[str, str], order: list[str], span: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with, for each (name, column) of ``sums``, the sum of the column over the rows ahead in ``order``, apart for each ``by``.
+
+    ``span`` ascends with the order: sums run within a span and over spans, so no window holds more
+    rows than a span has or than there are spans.
+    """
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_span", span)
+    spans = rows.groupBy(*by, "_span").agg(*[F.sum(c).alias(f"_of_{k}") for k, c in sums.items()])
+    over = ahead(Window.partitionBy(*by).orderBy("_span"))
+    spans = spans.select(*by, "_span", *[F.coalesce(F.sum(f"_of_{k}").over(over), F.lit(0)).alias(f"_to_{k}") for k in sums])
+    within = ahead(Window.partitionBy(*by, "_span").orderBy(*order))
+    rows = rows.withColumns({k: F.coalesce(F.sum(c).over(within), F.lit(0)) for k, c in sums.items()}).join(spans, [*by, "_span"])
+    return rows.withColumns({k: F.col(k) + F.col(f"_to_{k}") for k in sums}).drop("_span", *[f"_to_{k}" for k in sums])

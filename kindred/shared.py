@@ -3,18 +3,24 @@
 import contextlib
 import ctypes
 import functools
+import re
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Only where spark.checkpoint.dir is unset and Spark runs on this machine alone, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: An Arrow batch ends with the row that brings it to so many bytes.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, else LOCAL_CHECKPOINTS."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, LOCAL_CHECKPOINTS in local mode, else an error: executors would each write their own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or LOCAL_CHECKPOINTS
 
 
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
@@ -24,25 +30,33 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     task and file costs more than such rows.
     """
     df = df.coalesce(max(8, 4 * df.sparkSession.sparkContext.defaultParallelism)) if small else df
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/kindred-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/kindred-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    at, files = _hadoop(spark, path)
+    files.deleteOnExit(at)  # of the application; discard() is for what ends sooner
+    out = spark.read.schema(df.schema).parquet(path)
     out._kindred_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing will read it again."""
-    spark, path = df.sparkSession, getattr(df, "_kindred_path", None)
-    if path:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def bound_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of at most ``rows`` rows, so that long texts fit a Python worker."""
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing will read them again."""
+    for df in tables:
+        if path := getattr(df, "_kindred_path", None):
+            at, files = _hadoop(df.sparkSession, path)
+            files.delete(at, True)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of at most ``rows`` rows and about BATCH_BYTES, so that long texts fit a Python worker; a setting of the session that other queries can share."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def tidy(run):
