@@ -1,58 +1,35 @@
-"""Line dedup: explode normalised lines, count documents per hash, drop frequent lines, reassemble by position."""
+"""Line dedup: explode normalised lines, hash, count documents per hash, drop frequent lines, reassemble by position."""
 
-import hashlib
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.operators.hot import join_groups
-from kindred.shared import bound_batches, materialize
+from kindred.shared import materialize
 
 WHITE = " \t\n\x0b\x0c\r"
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: The letters that a key has in lower case.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Positions of at most so many dropped lines are sent to all executors (16 MB); more are joined by a shuffle.
 SEND = 2_000_000
 
 
-def _key(line: str, least: int) -> bytes | None:
-    key = line.strip(WHITE)
-    return key.encode("utf-8", "surrogatepass").translate(_LOWER) if len(key) >= least else None
-
+def lines_of(text: Column) -> Column:
+    """The text cut at line feeds; null or empty has one empty line."""
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-def _lines(least: int):
-    def run(batches):
-        for batch in batches:
-            ids, row, pos, h1, h2, first = batch.column(0).to_pylist(), [], [], [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                had = set()
-                for p, line in enumerate((text or "").split("\n")):
-                    key = _key(line, least)
-                    if key is not None:
-                        d = xxhash.xxh3_128_intdigest(key)
-                        first.append(d not in had)
-                        had.add(d)
-                        row.append(r), pos.append(p), h1.append((d >> 64) - 2**63), h2.append((d & (2**64 - 1)) - 2**63)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(at), batch.column(2).take(at), pa.array(pos, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(first, pa.bool_())], names=["doc_id", "version", "pos", "h1", "h2", "first"])
 
-    return run
+def line_hashes(text: Column, least: int) -> Column:
+    """For each line in order the first 128 bits of its key's SHA-256, in hexadecimal; null for keys of fewer than ``least`` code points."""
+    # lower() is the quick way where a line is ASCII alone; elsewhere it would change more letters than A-Z.
+    lower = lambda k: F.when(F.octet_length(k) == F.char_length(k), F.lower(k)).otherwise(F.translate(k, UPPER, LOWER))
+    trimmed = F.transform(lines_of(text), lambda line: F.btrim(line, F.lit(WHITE)))
+    return F.transform(trimmed, lambda k: F.when(F.char_length(k) >= least, F.substring(F.sha2(lower(k), 256), 1, 32)))
 
 
-def _reassemble(batches):
-    for batch in batches:
-        n, dropped, sha, kept = [], [], [], []
-        for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            n.append(len(lines))
-            if drop:
-                gone = set(drop)
-                text = "\n".join(x for p, x in enumerate(lines) if p not in gone)
-            dropped.append(len(drop or ()))
-            kept.append(text or "")
-            sha.append(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha), pa.array(kept, batch.column(1).type)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text"])
+def without_lines(text: Column, drop: Column) -> Column:
+    """The text without its lines at the places ``drop`` (from 0); null drops none."""
+    # The outer transform holds the lines, so that they are cut once and not once a place.
+    kept = F.transform(F.array(lines_of(text)), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda p: F.get(lines, p)), "\n"))
+    return F.when(drop.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.get(kept, F.lit(0)))
 
 
 def line_dedup(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
@@ -61,21 +38,23 @@ def line_dedup(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFram
     A text is cut at line feeds (null or empty: one empty line). A line's key is the line without
     white space at both ends, A-Z lower-cased. A key of at least ``least`` code points that at
     least ``documents`` documents hold loses all its lines but those in the largest doc_id holding
-    it; the rest are joined again by line feeds. Keys are told apart by 128-bit hashes.
+    it; the rest are joined again by line feeds. Keys are told apart by 128 bits of their SHA-256.
 
     Each row is a document, so rows that repeat a doc_id count each, and keep or lose their lines
     alike; rows with a null doc_id are counted and, where the key is frequent, never the one that
     keeps it, unless all holders are such. An empty table gives no rows.
     """
-    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
-    lines = materialize(docs.mapInArrow(_lines(least), "doc_id long, version long, pos int, h1 long, h2 long, first boolean"), "lines")
-    # ``first`` marks a key's first line in its document, so the sum counts documents.
-    frequent = lines.groupBy("h1", "h2").agg(F.count_if("first").alias("n"), F.count("*").alias("times"), F.max("doc_id").alias("holder")).where(F.col("n") >= documents)
-    gone = join_groups(lines, frequent, ["h1", "h2"], "times", lines.count(), "inner").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
+    hashed = materialize(docs.select("doc_id", "version", line_hashes(F.col("text"), least).alias("keys")), "lines")
+    lines = hashed.select("doc_id", "version", F.posexplode("keys").alias("pos", "key")).where("key is not null")
+    # Each document counts a key once.
+    held = hashed.select("doc_id", "version", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
+    frequent = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= documents)
+    gone = join_groups(lines, materialize(frequent, "frequent"), ["key"], "n", hashed.count(), "inner").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     drops = materialize(gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("pos")).alias("drop")), "drops")
     total = drops.agg(F.sum(F.size("drop") + 4)).first()[0] or 0
     sent = F.broadcast(drops) if total <= SEND else drops
     sent = sent.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "drop")
     joined = docs.join(sent, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
-    return joined.select("doc_id", "text", "drop").mapInArrow(_reassemble, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    kept = joined.select("doc_id", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), without_lines(F.col("text"), F.col("drop")).alias("kept_text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text")
