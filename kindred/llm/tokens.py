@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from kindred.llm.words import LOWER, SPACE, U, text_bytes, word_hashes
+from kindred.llm.words import HEAD, SPACE, U, eights, padded, same_bytes, text_bytes, word_hashes
 
 
 def public_path(name: str) -> str:
@@ -19,9 +19,9 @@ def public_path(name: str) -> str:
 
 
 #: Words kept with their ids in each Python worker (at most 2**SLOT_BITS places hold them); beyond, those met least often are forgotten.
-CACHED_WORDS, SLOT_BITS = 600_000, 21
+CACHED_WORDS, SLOT_BITS = 500_000, 20
 #: Bytes of text that are encoded at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 #: Stands between words that are encoded together; words with it are encoded alone.
 MARK = "`"
 #: Words of ASCII and Latin-1 letters, in lower case alone and with the capitals that are left.
@@ -31,11 +31,8 @@ _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _STOP = np.isin(np.arange(256), [ord("."), ord(",")])
 
 
-_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)], dtype=U)
-
-
 class Slots:
-    """Numbers of keys, by open addressing, many at once; check words beside the keys tell all but equal words apart."""
+    """Numbers of keys, by open addressing, many at once; checks beside the keys tell most words of one key apart."""
 
     def __init__(self, bits: int):
         self.mask = U((1 << bits) - 1)
@@ -80,7 +77,7 @@ class Encoder:
     characters (as in word_bpe_49k.json, whose white space is dropped), so a text's ids are its
     words' ids in order, and each word needs the tokenizers library only once a cache. A full stop
     or comma after a letter and before white space is a word of its own to the tokenizer; cut so,
-    words repeat more often.
+    words repeat more often. A word that the cache finds is compared with its bytes there.
     """
 
     def __init__(self, path: str):
@@ -113,19 +110,23 @@ class Encoder:
     def _reset(self) -> None:
         self.slots, self.known = Slots(SLOT_BITS), 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.begin, self.size, self.hits = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
+        self.text, self.written = np.zeros(1 << 16, dtype=np.uint8), 0  # the bytes of all words, one after the other
+        self.begin, self.size, self.hits, self.at, self.wide = (np.zeros(1 << 14, dtype=np.int64) for _ in range(5))
         self.keys, self.checks = (np.zeros(1 << 14, dtype=U) for _ in range(2))
 
-    def _store(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, place: np.ndarray, sizes: np.ndarray, hits: int = 0) -> None:
-        n = self.known + len(keys)
+    def _store(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, place: np.ndarray, sizes: np.ndarray, low: np.ndarray, at: np.ndarray, wide: np.ndarray, hits: int = 0) -> None:
+        """Add words with their ids (``sizes`` from ``place`` of ``ids`` on) and their bytes (``wide`` from ``at`` of ``low`` on)."""
+        n, ends = self.known + len(keys), np.cumsum(wide)
         grow = lambda x, least: x if least <= len(x) else np.concatenate([x, np.zeros(max(len(x), least - len(x)), dtype=x.dtype)])
-        self.flat = grow(self.flat, self.used + len(ids))
-        self.begin, self.size, self.hits, self.keys, self.checks = (grow(x, n) for x in (self.begin, self.size, self.hits, self.keys, self.checks))
+        total = int(ends[-1]) if len(ends) else 0
+        self.flat, self.text = grow(self.flat, self.used + len(ids)), grow(self.text, self.written + total + 8)
+        self.begin, self.size, self.hits, self.at, self.wide, self.keys, self.checks = (grow(x, n) for x in (self.begin, self.size, self.hits, self.at, self.wide, self.keys, self.checks))
         self.flat[self.used : self.used + len(ids)] = ids
+        self.text[self.written : self.written + total] = low[np.arange(total) + np.repeat(at - (ends - wide), wide)]
         new = slice(self.known, n)
-        self.begin[new], self.size[new], self.hits[new], self.keys[new], self.checks[new] = self.used + place, sizes, hits, keys, checks
+        self.begin[new], self.size[new], self.hits[new], self.at[new], self.wide[new], self.keys[new], self.checks[new] = self.used + place, sizes, hits, self.written + ends - wide, wide, keys, checks
         self.slots.add(keys, checks, np.arange(self.known, n, dtype=np.int32))
-        self.known, self.used = n, self.used + len(ids)
+        self.known, self.used, self.written = n, self.used + len(ids), self.written + total
 
     def _shrink(self) -> None:
         """Forget the words that were met least often."""
@@ -133,11 +134,11 @@ class Encoder:
         while np.count_nonzero(hits >= least) > CACHED_WORDS // 2:
             least += 1
         keep = np.flatnonzero(hits >= least)
-        keys, checks, begin, size, flat = self.keys[keep], self.checks[keep], self.begin[keep], self.size[keep], self.flat
+        keys, checks, begin, size, flat, text, at, wide = self.keys[keep], self.checks[keep], self.begin[keep], self.size[keep], self.flat, self.text, self.at[keep], self.wide[keep]
         self._reset()
         if len(keep):
-            at = np.cumsum(size) - size
-            self._store(keys, checks, flat[np.arange(int(size.sum())) + np.repeat(begin - at, size)], at, size, 1)
+            place = np.cumsum(size) - size
+            self._store(keys, checks, flat[np.arange(int(size.sum())) + np.repeat(begin - place, size)], place, size, text, at, wide, 1)
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of words, where each word's begin, and how many they are."""
@@ -198,25 +199,34 @@ class Encoder:
         starts, ends = cuts[:-1][word], cuts[1:][word]
         first = np.searchsorted(starts, at)
         keys = word_hashes(raw, starts, ends)
-        # What tells words of one hash apart: their length, and their first seven bytes.
-        padded = np.concatenate([LOWER[raw], np.zeros(8, np.uint8)])
-        eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from every byte on
-        length = ends - starts
-        checks = (eight[starts] & _HEAD[np.minimum(length, 7)]) | (length.astype(U) << U(56))
+        # Most words of one hash are told apart by their length and their first seven bytes; the rest below.
+        low, length = padded(raw), ends - starts
+        checks = (eights(low)[starts] & HEAD[np.minimum(length, 7)]) | (length.astype(U) << U(56))
         place = self.slots.find(keys, checks)
-        own = np.zeros(0, dtype=np.int64)
+        alone = np.zeros(len(place), dtype=bool)  # words that are encoded alone
         angle = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
         if len(angle):  # names of special tokens are told from other text by their case: such words are encoded as they stand
-            own = np.unique(np.searchsorted(starts, angle, "right") - 1)
-            place[own] = 0
+            alone[np.searchsorted(starts, angle, "right") - 1] = True
+        had = np.flatnonzero(place >= 0)
+        sized = self.wide[place[had]] == length[had]
+        alone[had[~sized]] = True
+        had = had[sized & (length[had] > 7)]
+        alone[had[~same_bytes(low, starts[had], self.text, self.at[place[had]], length[had])]] = True
+        place[alone] = 0
         new = np.flatnonzero(place < 0)
         if len(new):
             _, one, back = np.unique(keys[new], return_index=True, return_inverse=True)
-            low = LOWER[raw].tobytes()
             picked = new[one]
-            ids, where, sizes = self._encode_words([low[a:b] for a, b in zip(starts[picked].tolist(), ends[picked].tolist(), strict=True)])
+            first_of = picked[back]
+            equal = length[first_of] == length[new]
+            equal[equal] = same_bytes(low, starts[new[equal]], low, starts[first_of[equal]], length[new[equal]])
+            low_bytes = low.tobytes()
+            ids, where, sizes = self._encode_words([low_bytes[a:b] for a, b in zip(starts[picked].tolist(), ends[picked].tolist(), strict=True)])
             place[new] = self.known + back
-            self._store(keys[picked], checks[picked], ids, where, sizes)
+            alone[new[~equal]] = True
+            self._store(keys[picked], checks[picked], ids, where, sizes, low, starts[picked], length[picked])
+        own = np.flatnonzero(alone)
+        place[own] = 0
         begin, size, flat = self.begin, self.size, self.flat
         self.hits[: self.known] += np.bincount(place, minlength=self.known)[: self.known] if self.known else 0
         if len(own):

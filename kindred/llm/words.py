@@ -8,26 +8,16 @@ import pyarrow.compute as pc
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE = _rng.integers(0, 2**64, 256, dtype=U)  # a random value for each byte
 STEP = U(0x9E3779B97F4A7C15)
-BACK = U(pow(int(STEP), -1, 2**64))
 PLACE = _rng.integers(0, 2**64, 16, dtype=U) | U(1)  # a factor for each place of a shingle
 SHORT = _rng.integers(0, 2**64, 16, dtype=U)
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes hashed at once, so that the 64-bit temporaries stay small.
-CHUNK = 1 << 21
-_powers = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK + 1), base, dtype=U)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps)
-    return have[:n]
+CHUNK = 1 << 20
+#: The bytes that count of eight, where so many are left.
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,22 +55,60 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, at)
 
 
+def padded(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased, and eight zeros behind them."""
+    return np.concatenate([LOWER[raw], np.zeros(8, np.uint8)])
+
+
+def eights(low: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte of padded() bytes on, as one number each."""
+    return np.ndarray((len(low) - 7,), dtype="<u8", buffer=low, strides=(1,))
+
+
+def _blocks(size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of eight bytes of words of these sizes, from block ``least`` on: their word, their place in it, and each word's first block."""
+    n = (size + 7) // 8 - least
+    first = np.cumsum(n) - n
+    word = np.repeat(np.arange(len(size)), n)
+    return word, np.arange(len(word)) - first[word] + least, first
+
+
+def _hashes(low: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    eight = eights(low)
+    out = mix(eight[starts] & HEAD[np.minimum(size, 8)])
+    long_ = np.flatnonzero(size > 8)
+    if len(long_):
+        word, k, first = _blocks(size[long_], 1)
+        at = 8 * k
+        x = eight[starts[long_][word] + at] & HEAD[np.minimum(size[long_][word] - at, 8)]
+        out[long_] += np.add.reduceat(mix(x + mix(k.astype(U) * STEP)), first)
+    return mix(out + size.astype(U) * STEP)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased."""
+    """A 64-bit hash of each word with A-Z lower-cased: the mixed sum of its blocks of eight bytes, each mixed with its place.
+
+    Words of at most eight bytes never share one with a word of their size; longer ones only by chance.
+    """
     out = np.empty(len(starts), dtype=U)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
-        s0, s, e = starts[i], starts[i:j], ends[i:j]
-        part = raw[s0 : e[-1]]
-        sums = np.empty(len(part) + 1, dtype=U)
-        sums[0] = 0
-        np.cumsum(BYTE[LOWER[part]] * _power(int(STEP), len(part)), out=sums[1:])
-        out[i:j] = mix((sums[e - s0] - sums[s - s0]) * _power(int(BACK), len(part))[s - s0] + (e - s).astype(U))
+        out[i:j] = _hashes(padded(raw[starts[i] : ends[j - 1]]), starts[i:j] - starts[i], ends[i:j] - starts[i:j])
         i = j
     return out
 
 
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether words of ``size`` bytes (one at least) at places of the padded() bytes ``a`` and ``b`` are equal."""
+    if not len(size):
+        return np.zeros(0, dtype=bool)
+    word, k, first = _blocks(size, 0)
+    at = 8 * k
+    differ = (eights(a)[a_at[word] + at] ^ eights(b)[b_at[word] + at]) & HEAD[np.minimum(size[word] - at, 8)]
+    return np.bitwise_or.reduceat(differ, first) == 0
+
+
 def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
     """For each text its sorted distinct hashes of k consecutive words; of fewer words, the one whole sequence; of none, nothing."""
     raw, at = text_bytes(column)

@@ -56,11 +56,31 @@ def test_cached_encoding_equals_the_library(tokenizer, monkeypatch):
         assert [x.tolist() for x in small.encode(texts)] == want
 
 
+def test_words_of_one_hash_are_told_apart(tokenizer, monkeypatch):
+    """Two long words of which polynomial hashes are equal; then with hashes that are all alike, within a text and over the cache."""
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    texts = [f"{x} {y} {y} {x}", y, x, f"{y} short", "another extraordinary sentence", "extraordinary sentences another"]
+    want = reference_ids(tokenizer, [(0, t) for t in texts])
+    enc = tokens.Encoder(tokenizer)
+    assert [e.tolist() for e in enc.encode(texts)] == want and [e.tolist() for e in enc.encode(texts[::-1])] == want[::-1]
+    monkeypatch.setattr(tokens, "word_hashes", lambda raw, starts, ends: np.full(len(starts), 7, dtype=np.uint64))
+    texts += ["abcdefg1 abcdefg2", "abcdefg2 abcdefg1", "abcdefg" * 40, "abcdefg"]
+    want = reference_ids(tokenizer, [(0, t) for t in texts])
+    alike = tokens.Encoder(tokenizer)
+    for _ in range(2):
+        assert [e.tolist() for t in texts for e in alike.encode([t])] == want
+    assert [e.tolist() for e in tokens.Encoder(tokenizer).encode(texts)] == want
+
+
 # -- token files -------------------------------------------------------------------------------
 
 
-def test_token_file_equals_the_library(odd, none, tokenizer, monkeypatch):
+@pytest.mark.parametrize("span", [256, 2])
+def test_token_file_equals_the_library(odd, none, tokenizer, monkeypatch, span):
     monkeypatch.setattr(tokenfile, "SHARD_BYTES", 10_000)
+    monkeypatch.setattr(tokenfile, "SPAN", span)
     rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     ids = reference_ids(tokenizer, rows)
     at, want = 0, []
@@ -96,8 +116,10 @@ def check_pieces(pieces, rows, ids, end=2, window=4096):
         assert n <= window and (n == window or n & (n - 1) == 0)
 
 
-def test_packing_holds_every_id_once(odd, none, tokenizer, monkeypatch):
+@pytest.mark.parametrize("span", [1024, 2])
+def test_packing_holds_every_id_once(odd, none, tokenizer, monkeypatch, span):
     monkeypatch.setattr(packing, "PART_IDS", 20_000)
+    monkeypatch.setattr(packing, "SPAN", span)
     rows = odd_rows()
     check_pieces(packing.pack(odd, tokenizer).collect(), rows, reference_ids(tokenizer, rows))
     assert packing.pack(none, tokenizer).count() == 0
@@ -138,6 +160,11 @@ def test_exponents_meet_their_aims():
     assert abs(mixing.entropy(mixing.weights(tokens_, b)) - 0.9) < 1e-6
     assert mixing.bisect_exponent(tokens_, 1e9, None, None) == 0.0
     assert mixing.bisect_exponent({}, 2.0, None, None) == 0.0
+    # Equal sources stand for one key: 3 of 1,000 tokens and 2 of 10.
+    each, one, times = {**{f"a{k}": 1000 for k in range(3)}, "b": 10, "c": 10}, {1000: 1000, 10: 10}, {1000: 3, 10: 2}
+    for limit, aim in ((1.5, None), (None, 1.4)):
+        a, b = mixing.bisect_exponent(each, limit, aim, None), mixing.bisect_exponent(one, limit, aim, None, times=times)
+        assert abs(a - b) < 1e-9 and abs(mixing.weights(each, a)["b"] - mixing.weights(one, b, times)[10]) < 1e-12
 
 
 def brute_mix(spark, df, limit, seed=1):
@@ -197,4 +224,5 @@ def test_mix_equals_brute_force(spark, odd, none, monkeypatch):
     have = Counter(r.doc_id for r in mixed.select("row.doc_id").collect())
     assert all(have[i] >= n for i, n in Counter(i for i, _ in odd_rows()).items())
     monkeypatch.setattr(mixing, "SEND", -1)
+    monkeypatch.setattr(mixing, "SEND_SOURCES", -1)
     assert sorted(((r.doc_id, r.epoch) for r in mixing.mix(df, repetition_limit=1.6).select("row.doc_id", "epoch").collect()), key=str) == want
