@@ -19,20 +19,22 @@ PLANES = [f"p{k}" for k in range(2 * S.PLANES)]
 #: Texts of at most so many candidates are picked by a broadcast list of ids (8 MB), and an eighth as many pairs are broadcast
 #: themselves; more are joined by a shuffle.
 PICK_BY_BROADCAST = 1_000_000
+#: A hub is compared by one task with about so many rows; those beyond go to other tasks with a copy of the hub.
+AT_A_HUB = 256
 
 
 def _sketches(shingle: int):
     def run(batches):
         for batch in batches:
             n, digest, regs, bits = [], [], [], []
-            for x in shingle_sets(batch.column(1), shingle):
+            for x in shingle_sets(batch.column("text"), shingle):
                 n.append(len(x))
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
                 sketch = S.registers(S.minima(x))
                 regs.append(sketch.astype("<u2").tobytes() if len(x) else None)
                 bits.append(S.planes(sketch))
             bits = np.array(bits, dtype=np.int64).reshape(len(n), len(PLANES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), *map(pa.array, np.ascontiguousarray(bits.T))], names=["doc_id", "n_shingles", "digest", "regs", *PLANES])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), *map(pa.array, np.ascontiguousarray(bits.T))], names=["doc_id", "version", "n_shingles", "digest", "regs", *PLANES])
 
     return run
 
@@ -48,37 +50,60 @@ def _bands(batches):
         )
 
 
+def _beside(pairs: DataFrame, pool: DataFrame, *more: str) -> DataFrame:
+    """Rows (a, b, n, regs, text, *more) of pairs (a, b, *more): each hub ``a`` once, with b null, and behind it its partners, in one partition.
+
+    A hub of many partners stands in several places, each with its share of them, so no task has
+    more than about AT_A_HUB rows of it and no text is repeated on every row.
+    """
+    n_pairs = pairs.count()
+    few = n_pairs <= PICK_BY_BROADCAST // 8
+    send = lambda df, n: F.broadcast(df) if n <= PICK_BY_BROADCAST // 8 else df
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / AT_A_HUB).cast("int").alias("places")).where("places > 1")
+    dealt = pairs.join(send(hot, n_pairs // AT_A_HUB), "a", "left").withColumn("place", F.pmod(F.xxhash64("b"), F.coalesce("places", F.lit(1)))).drop("places")
+    hubs = dealt.select("a", "place").distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    picked = pool.join(F.broadcast(ids) if few else ids, "rep", "left_semi").select("rep", F.col("n_shingles").alias("n"), "regs", "text")
+    first = picked.join(send(hubs, n_pairs), picked.rep == hubs.a).select("a", "place", F.lit(None).cast("long").alias("b"), "n", "regs", "text", *[F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in more])
+    rest = picked.join(send(dealt, n_pairs), picked.rep == dealt.b).select("a", "place", "b", "n", "regs", "text", *more)
+    return first.union(rest).repartition("a", "place").sortWithinPartitions("a", "place", F.col("b").isNotNull(), "b").select("a", "b", "n", "regs", "text", *more)
+
+
+def _hub_runs(batches, shingle: int):
+    """Of rows of _beside(): each batch, the places of its partners, and for each of these the number of its hub among the batch's hubs, which are (shingles, registers, set)."""
+    last = []
+    for batch in batches:
+        if batch.num_rows:
+            head = batch.column("b").is_null().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(head)
+            regs = batch.column("regs").take(pa.array(at)).to_pylist()
+            hubs = last + list(zip(batch.column("n").to_numpy()[at].tolist(), (np.frombuffer(r, "<u2") for r in regs), shingle_sets(batch.column("text").take(pa.array(at)), shingle), strict=True))
+            yield batch, np.flatnonzero(~head), (np.cumsum(head) - 1 + len(last))[~head], hubs
+            last = hubs[-1:]
+
+
 def _verified(shingle: int, percent: int):
-    """Of rows (a, b, n_a, n_b, regs_a, regs_b, text_a, text_b), sorted by a, those that likelihood allows and full sets confirm."""
+    """Of rows of _beside(), the pairs (a, b) that likelihood allows and full sets confirm."""
     def run(batches):
-        last, last_set = None, None
-        for batch in batches:
-            if not batch.num_rows:
+        for batch, rows, hub, hubs in _hub_runs(batches, shingle):
+            if not len(rows):
                 continue
-            regs = lambda k: np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(batch.num_rows, S.REGISTERS)  # noqa: E731, B023
-            batch = batch.filter(pa.array(S.plausible(regs("regs_a"), regs("regs_b"), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent / 100)[1]))
-            a = batch.column("a").to_pylist()
-            new = [i for i, x in enumerate(a) if x != (a[i - 1] if i else last)]  # a hub's set is made once
-            sets = dict(zip(new, shingle_sets(batch.column("text_a").take(pa.array(new, pa.int64())), shingle), strict=True))
-            keep = []
-            for i, other in enumerate(shingle_sets(batch.column("text_b"), shingle)):
-                last, last_set = a[i], sets.get(i, last_set)
-                at = np.searchsorted(last_set, other)
-                both = int(np.count_nonzero(last_set[np.minimum(at, len(last_set) - 1)] == other))
-                keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            regs = np.frombuffer(b"".join(batch.column("regs").take(pa.array(rows)).to_pylist()), dtype="<u2").reshape(len(rows), S.REGISTERS)
+            sizes = np.array([h[0] for h in hubs])[hub]
+            ok = S.plausible(np.stack([h[1] for h in hubs])[hub], regs, sizes, batch.column("n").to_numpy()[rows], percent / 100)[1]
+            rows, hub, keep = rows[ok], hub[ok], []
+            for k, other in zip(hub.tolist(), shingle_sets(batch.column("text").take(pa.array(rows)), shingle), strict=True):
+                own = hubs[k][2]
+                both = int(np.count_nonzero(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other))
+                keep.append(100 * both >= percent * (len(own) + len(other) - both))
+            yield batch.select(["a", "b"]).take(pa.array(rows)).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _test(pairs: DataFrame, pool: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of representatives, those whose full sets are similar."""
-    few = pairs.count() <= PICK_BY_BROADCAST // 8
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-    picked = pool.join(F.broadcast(ids.distinct()) if few else ids.distinct(), "rep", "left_semi")
-    side = lambda x: picked.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"), F.col("text").alias(f"text_{x}"))
-    joined = side("b").join(F.broadcast(pairs) if few else pairs, "b").join(side("a"), "a").sortWithinPartitions("a")
-    return materialize(joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "text_a", "text_b").mapInArrow(tidy(_verified(shingle, percent)), "a long, b long"), "links", small=True)
+    return materialize(_beside(pairs, pool).mapInArrow(tidy(_verified(shingle, percent)), "a long, b long"), "links", small=True)
 
 
 def _alike(x: Column, percent: int) -> Column:
@@ -107,26 +132,21 @@ def _around(family: DataFrame, pool: DataFrame, tested: DataFrame, shingle: int,
     LISTED rows of the family have. Of shingles in the centre a pair shares no more than its row
     with fewer of them has; the others must be shared beyond it. So a pair either shares enough of
     the short lists beyond the centre, or both its rows have k in the centre: these two joins miss
-    no similar pair, and the first grows with the rows, not with the square of a group.
+    no similar pair. The first grows with the rows, not with the square of a group. The second lists
+    every pair of rows of different components that are both central, dealt over tasks; rows that
+    central are mostly of one component already, and of its pairs none is listed.
     """
-    texts = lambda x: pool.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
-    few = family.count() <= PICK_BY_BROADCAST // 8
-    rows = texts("rep").join(F.broadcast(family) if few else family, "rep").join(texts("hub"), "hub").sortWithinPartitions("hub")
-
     def beyond(batches):
-        last, hub_set = None, None
-        for b in batches:
-            hubs = b.column("hub").to_pylist()
-            for i, x in enumerate(shingle_sets(b.column("text_rep"), shingle)):
-                if hubs[i] != last:
-                    last, hub_set = hubs[i], next(iter(shingle_sets(b.column("text_hub").slice(i, 1), shingle)))
-                at = np.minimum(np.searchsorted(hub_set, x), len(hub_set) - 1)
-                inside = hub_set[at] == x
+        for b, rows, hub, hubs in _hub_runs(batches, shingle):
+            for i, k, x in zip(rows.tolist(), hub.tolist(), shingle_sets(b.column("text").take(pa.array(rows)), shingle), strict=True):
+                own = hubs[k][2]
+                inside = own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
                 grams = pa.array(x[~inside].view(np.int64)) if not inside.all() else pa.nulls(1, pa.int64())
-                same = lambda k, n=len(grams), i=i, b=b: pa.array(np.full(n, b.column(k)[i].as_py()), pa.int64())
-                yield pa.RecordBatch.from_arrays([same("hub"), same("rep"), same("n_shingles"), same("c"), pa.array(np.full(len(grams), int(inside.sum()))), grams], names=["hub", "rep", "n", "c", "inside", "gram"])
+                same = lambda c, n=len(grams), i=i, b=b: pa.array(np.full(n, b.column(c)[i].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([same("a"), same("b"), same("n"), same("c"), pa.array(np.full(len(grams), int(inside.sum()))), grams], names=["hub", "rep", "n", "c", "inside", "gram"])
 
-    out = materialize(rows.select("hub", "rep", "n_shingles", "c", "text_rep", "text_hub").mapInArrow(tidy(beyond), "hub long, rep long, n long, c long, inside long, gram long"), "beyond")
+    rows = _beside(family.select(F.col("hub").alias("a"), F.col("rep").alias("b"), "c"), pool, "c")
+    out = materialize(rows.mapInArrow(tidy(beyond), "hub long, rep long, n long, c long, inside long, gram long"), "beyond")
     met = out.where("gram is not null").groupBy("hub", "gram").agg(F.count("*").alias("rows")).where("rows > 1")
     listed = out.join(met, ["hub", "gram"])
     often = listed.where(F.col("rows") > LISTED).groupBy("hub", "rep").agg(F.count("*").alias("often"))
@@ -141,9 +161,13 @@ def _around(family: DataFrame, pool: DataFrame, tested: DataFrame, shingle: int,
     listed_pairs = shared.join(x, (shared.hub == F.col("x.hub")) & (shared.a == F.col("x.rep"))).join(y, (shared.hub == F.col("y.hub")) & (shared.b == F.col("y.rep"))).where(sized & (F.col("shared") + F.least("x.inside", "y.inside") >= k)).select("a", "b")
     # Most rows of a family are of one component: pairs have at least one row of another.
     main = each.groupBy("hub", "c").agg(F.count("*").alias("rows")).groupBy("hub").agg(F.max_by("c", F.struct("rows", "c")).alias("main"))
-    minor = each.join(main, "hub").where("c <> main").drop("main").alias("x")
-    central = minor.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.c") != F.col("y.c")) & sized & (F.least("x.inside", "y.inside") >= k)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    return materialize(listed_pairs.union(central).distinct().join(tested, ["a", "b"], "left_anti"), "pairs", small=True)
+    places = each.groupBy("hub").agg(F.ceil(F.count("*") / AT_A_HUB).cast("int").alias("places"))
+    minor = each.join(main, "hub").where("c <> main").drop("main").join(places, "hub").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).alias("x")
+    y = each.join(places, "hub").withColumn("place", F.pmod(F.xxhash64("rep"), "places")).alias("y")
+    central = minor.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.place") == F.col("y.place")) & (F.col("x.c") != F.col("y.c")) & sized & (F.least("x.inside", "y.inside") >= k)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    pairs = materialize(listed_pairs.union(central).distinct().join(tested, ["a", "b"], "left_anti"), "pairs", small=True)
+    discard(out, each)
+    return pairs
 
 
 def _open(labelled: DataFrame, rows: int) -> DataFrame:
@@ -193,7 +217,7 @@ def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, links) of every row of ``docs`` (doc_id, text, any more columns).
+    """(doc_id, n_shingles, component_id, kept, links, version) of every row of ``docs`` (doc_id, text, any more columns).
 
     Texts are sets of ``shingle`` consecutive words (A-Z lower-cased); two are linked where
     100 * shared >= percent * united, and a component is what links connect. First, rows of equal
@@ -206,55 +230,72 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     no link between components is lost, and few within one are listed. Joins of hubs compare sizes
     and four bits of every register, which rule out what is six standard deviations away.
 
-    ``links`` counts the verified links that were needed from the row's class to others. Null or
-    empty texts and texts without words have 0 shingles and are linked with nothing; rows that repeat
-    a doc_id are taken to repeat its text; a null doc_id stands alone (component_id null, kept false). An empty table gives
-    no rows.
+    ``version`` is the xxhash64 of the row's text. ``links`` counts the verified links that were
+    needed from the row's class to others. Null or empty texts and texts without words have 0
+    shingles and are linked with nothing. Rows that repeat a doc_id are documents of their own, each
+    with the component of its own text; a null doc_id stands alone (component_id null, kept false).
+    An empty table gives no rows.
+
+    Words and shingles stand as 64-bit hashes, sets of equal shingles as 128 bits of BLAKE2.
     """
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(docs.mapInArrow(tidy(_sketches(shingle)), f"doc_id long, n_shingles long, digest binary, regs binary, {', '.join(f'{p} long' for p in PLANES)}"), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    sets = materialize(docs.mapInArrow(tidy(_sketches(shingle)), f"doc_id long, version long, n_shingles long, digest binary, regs binary, {', '.join(f'{p} long' for p in PLANES)}"), "sketches")
     first = [F.first(c).alias(c) for c in ("n_shingles", "regs", *PLANES)]
-    reps = materialize(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), *first), "classes")
+    # A class is numbered as it is written, so that numbers differ even where doc_ids repeat.
+    reps = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("doc"), F.count("*").alias("members"), *first)
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
     bands = reps.select("rep", "regs").mapInArrow(tidy(_bands), "band int, key long, rep long")
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    buckets = materialize(bands.join(shared, ["band", "key"]).join(reps.select("rep", "n_shingles", *PLANES), "rep"), "buckets")
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(bands.join(shared.select("band", "key"), ["band", "key"]).join(reps.select("rep", "n_shingles", *PLANES), "rep"), "buckets")
     # All that tests need of the rows in shared buckets: one pass over the texts.
-    wanted = buckets.select("rep").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= PICK_BY_BROADCAST else wanted
-    pool = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").join(reps.select("rep", "n_shingles", "regs"), "rep")
+    wanted = reps.select("rep", F.col("doc.doc_id").alias("doc_id"), F.col("doc.version").alias("version")).join(buckets.select("rep").distinct(), "rep", "left_semi")
+    wanted = materialize(wanted, "wanted", small=True)
+    n_wanted = wanted.count()
+    pool = docs.join(F.broadcast(wanted) if n_wanted <= PICK_BY_BROADCAST // 3 else wanted, ["doc_id", "version"]).select("rep", "text").join(reps.select("rep", "n_shingles", "regs"), "rep")
     pool = materialize(pool, "pool")
+    if pool.count() > n_wanted:  # rows that repeat doc_id and text
+        pool = materialize(pool.dropDuplicates(["rep"]), "pool")
     row = F.struct("rep", "n_shingles", *PLANES)
-    hubs = buckets.groupBy("band", "key").agg(F.min(row).alias("x"))
-    tested = _pairs(buckets.alias("y").join(hubs, ["band", "key"]).where(_alike(F.col("x"), percent) & (F.col("y.rep") != F.col("x.rep"))), None)
+    hubs = materialize(buckets.groupBy("band", "key").agg(F.min(row).alias("x"), F.count("*").alias("n")), "hubs")
+    near = join_groups(buckets, hubs, ["band", "key"], "n", buckets.count()).alias("y")
+    tested = _pairs(near.where(_alike(F.col("x"), percent) & (F.col("y.rep") != F.col("x.rep"))), None)
+    discard(hubs)
     links = _test(tested, pool, shingle, percent)
     component = materialize(connected_components(links, "a", "b"), "components", small=True)
     for last in (False, True):
         labels = component.select(F.col("member_id").alias("rep"), "component_id")
         open_ = _open(buckets.join(labels, "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id"), 2 if last else 3)
         if not last:
-            buckets = _promising(open_, pool, shingle, percent)
-            discard(open_)
+            discarded, buckets = buckets, _promising(open_, pool, shingle, percent)
+            discard(open_, discarded)
             open_ = _open(buckets, 2)
             buckets = buckets.drop("c")
         if not open_.limit(1).count():
             discard(open_)
             break
         # The member that has least of its own is a bucket's centre.
-        centre = open_.groupBy("band", "key").agg(F.min_by(F.struct("rep", "n_shingles", *PLANES, "c"), F.struct(F.col("own") / F.col("n_shingles"), "rep")).alias("x"))
-        near = open_.alias("y").join(centre, ["band", "key"])
+        centre = open_.groupBy("band", "key").agg(F.min_by(F.struct("rep", "n_shingles", *PLANES, "c"), F.struct(F.col("own") / F.col("n_shingles"), "rep")).alias("x"), F.count("*").alias("n"))
+        centre = materialize(centre, "centre", small=True)
+        near = join_groups(open_, centre, ["band", "key"], "n", open_.count()).alias("y")
         if last:
-            pairs = _around(near.select(F.col("x.rep").alias("hub"), "rep", "n_shingles", "c").distinct(), pool, tested, shingle, percent)
+            pairs = _around(near.select(F.col("x.rep").alias("hub"), "rep", "c").distinct(), pool, tested, shingle, percent)
         else:
             pairs = _pairs(near.where((F.col("x.c") != F.col("y.c")) & _alike(F.col("x"), percent)), tested)
         found = _test(pairs, pool, shingle, percent)
-        discard(open_)
+        discard(open_, centre)
         tested, links = tested.union(pairs), links.union(found)
         component = _joined(component, found)
+    discard(pool, wanted)
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    classes = reps.select("digest", "rep", "members").join(component.withColumnRenamed("member_id", "rep"), "rep", "left").join(degree, "rep", "left").select("digest", "members", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    classes = materialize(classes, "answers")
-    rows = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = join_groups(rows, classes, ["digest"], "members", sets.count())
+    classes = reps.select("digest", "rep", "doc.doc_id", "members").join(component.withColumnRenamed("member_id", "rep"), "rep", "left").join(degree, "rep", "left")
+    classes = materialize(classes.select("digest", "members", F.col("doc_id").alias("own"), "component_id", F.coalesce("links", F.lit(0)).alias("links")), "labels")
+    # A component is named by its smallest doc_id.
+    names = classes.where("component_id is not null").groupBy("component_id").agg(F.min("own").alias("name"), F.count("*").alias("n"))
+    named = join_groups(classes, names, ["component_id"], "n", classes.count()).select("digest", "members", F.coalesce("name", "own").alias("component_id"), "links")
+    answers = materialize(named, "answers")
+    discard(classes, component)
+    rows = sets.select("doc_id", "version", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    out = join_groups(rows, answers, ["digest"], "members", sets.count())
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "version")

@@ -16,11 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dedup(spark, sf_dir):
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("links")
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("links", "version")
 
 
 def op2_exact_dedup(spark, sf_dir):
-    return exactdup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("n_chunks")
+    return exactdup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("n_chunks", "version")
 
 
 def op3_token_file(spark, sf_dir):
@@ -103,12 +103,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 """
 
 _OP10 = rf"""
-WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-l AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM s),
+WITH s AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+l AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM s),
 k AS (SELECT *, translate(trim(line, {_TRIM}), {_LOWER}) AS key FROM l),
-h AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT doc_id, line, pos, holder IS NULL OR holder = doc_id AS stays FROM k LEFT JOIN h USING (key))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256 FROM m GROUP BY doc_id
+h AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+m AS (SELECT r, doc_id, line, pos, h.key IS NULL OR holder IS NOT DISTINCT FROM doc_id AS stays FROM k LEFT JOIN h USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256 FROM m GROUP BY r, doc_id
 """
 
 #: By query.

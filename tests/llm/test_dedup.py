@@ -19,19 +19,23 @@ def shingles(text, k=5):
 
 
 def brute_components(rows, percent=75):
-    sets = [(i, shingles(t)) for i, t in rows]
-    root = {i: i for i, _ in rows if i is not None}
+    """Every row is a document; a component is named by its smallest doc_id."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for (i, a), (j, b) in itertools.combinations(sets, 2):
-        if i is not None and j is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
-            x, y = find(i), find(j)
-            root[max(x, y)] = min(x, y)
-    return sorted(((i, len(s), find(i) if i is not None else None) for i, s in sets), key=str)
+    for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2):
+        if rows[i][0] is not None and rows[j][0] is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
+            root[find(i)] = find(j)
+    name = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            name[find(k)] = min(i, name.get(find(k), i))
+    return sorted(((i, len(s), name[find(k)] if i is not None else None) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
 
 
 def got(df):
@@ -72,6 +76,25 @@ def test_sketches_merge_and_estimate():
         assert (equal >= S.least_equal(0.75)) or j < 0.7
 
 
+def thue_morse(a, b, doublings=10):
+    """Two words of which polynomial hashes mod 2**64 are equal, whatever the base."""
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_word_hashes_tell_words_apart():
+    x, y = thue_morse("a", "b")
+    rnd = random.Random(9)
+    texts = [x, y, x + x, x + y, y + x, "a" * 8, "a" * 9, "a" * 16, "a" * 17, "abcdefgh" + "12345678", "12345678" + "abcdefgh", "a\x00", "a", "a\x00\x00"] + ["".join(rnd.choices("ab", k=rnd.randrange(1, 40))) for _ in range(2000)]
+    raw, at = W.text_bytes(pa.array(texts))
+    hashes = W.word_hashes(raw, at[:-1], at[1:])
+    assert len(set(hashes.tolist())) == len(set(texts))
+    low = W.padded(raw)
+    a, b = (np.array(k) for k in zip(*[(i, j) for i in range(60) for j in range(60) if len(texts[i]) == len(texts[j])], strict=True))
+    assert W.same_bytes(low, at[a], low, at[b], at[a + 1] - at[a]).tolist() == [texts[i] == texts[j] for i, j in zip(a, b, strict=True)]
+
+
 # -- near duplicates ---------------------------------------------------------------------------
 
 
@@ -109,6 +132,29 @@ def test_near_equals_brute_force(spark, monkeypatch, seed, listed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out.collect())
 
 
+def test_near_rows_that_repeat_a_doc_id_with_other_texts(spark):
+    """Each text has the component of its own, and words of equal polynomial hashes are no duplicates."""
+    x, y = thue_morse("a", "b")
+    base = [f"w{i}" for i in range(40)]
+    near = [*base[:-1], "other"]
+    rows = [(5, " ".join(base)), (2, " ".join(near)), (2, "quite another text of several words"), (2, " ".join(near)), (3, "quite another text of several words"), (8, x), (9, y), (1, f"{x} z z z z"), (4, f"{y} z z z z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert got(neardup.near_duplicates(df)) == brute_components(rows)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_hubs_of_many_rows_are_dealt_to_several_tasks(spark, monkeypatch, seed):
+    """The same answers where a hub stands beside three rows a task only."""
+    monkeypatch.setattr(neardup, "AT_A_HUB", 3)
+    rnd = random.Random(seed)
+    texts = family(rnd, 70, 100, 0.03) + family(rnd, 30, 80, 0.02)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [passage + " " + " ".join(f"q{rnd.randrange(500)}" for _ in range(rnd.randrange(5, 40))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(neardup.near_duplicates(df)) == brute_components(rows)
+
+
 # -- exact duplicates --------------------------------------------------------------------------
 
 
@@ -140,6 +186,18 @@ def test_chunks_rebuild_the_text_and_survive_a_shift(spark):
     assert len(set(cut[1]) & set(cut[2])) > 0.8 * len(cut[1])
 
 
+@pytest.mark.parametrize("letters", ["".join(chr(0x4E00 + 7 * i) for i in range(900)), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"])
+def test_chunks_resynchronise_in_text_without_marks(spark, letters):
+    """Ideographs and encoded data, cut again where they were after something is put in front."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(6)
+    text = "".join(rnd.choices(letters, k=30_000))
+    df = spark.createDataFrame([(1, text), (2, letters[:5] + text)], "doc_id long, text string")
+    cut = {r[0]: r[1] for r in df.select("doc_id", F.regexp_extract_all("text", F.lit(exactdup.CHUNK), F.lit(0))).collect()}
+    assert "".join(cut[1]) == text and len(set(cut[1]) & set(cut[2])) > 0.8 * len(cut[1])
+
+
 def test_clashing_identifiers_fall_back_on_digests(spark, monkeypatch):
     """With identifiers that say nothing, the verification digests alone tell texts apart."""
     from pyspark.sql import functions as F
