@@ -556,8 +556,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model, words = learn(docs)
     sent = spark.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # LOOKUP words and a network of fixed size
-    scored = materialize(docs.mapInArrow(tidy(_score(sent, uuid.uuid4().hex)), "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, many array<int>"), "scores")
-    scored = scored.withColumn("row", F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    scored = docs.mapInArrow(tidy(_score(sent, uuid.uuid4().hex)), "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, many array<int>")
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores")  # rows are numbered as they are written
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "many")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.many").alias("many"))
     # Words that no training document has count 0: log10(0.5), which is added for all and corrected for those found.
     zero = math.log10(0.5)

@@ -8,14 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.shared import bound_batches
+from kindred.shared import bound_batches, tidy
 
 # Element ids of the Matroska specification.
 EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, MUXING_APP, WRITING_APP, TITLE = 0x2AD7B1, 0x4D80, 0x5741, 0x7BA9
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, FLAG_LACING, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 #: Masters that end where one of these begins when their size is unknown.
@@ -160,13 +160,16 @@ def parse(data: bytes) -> dict:
     """Tables of a Matroska file: ``packets`` (track, timestamp in ms, start, size, lacing, key), ``cues`` (time, track, cluster position), ``clusters``, ``tracks``, ``info``.
 
     Positions of clusters and cues count from the segment's first data byte, byte ranges of packets
-    from the file's first byte. Elements that aren't known are skipped.
+    from the file's first byte. Times are in whole milliseconds, by the segment's TimestampScale
+    (a million nanoseconds where it has none). A block of a group is a key frame if the group
+    refers to no other block. Elements that aren't known are skipped.
     """
     out: dict = {"packets": [], "cues": [], "clusters": [], "tracks": [], "info": {}}
     number = lambda a, b: int.from_bytes(data[a:b], "big")
     base = 0
 
     def frames(a: int, b: int, start: int, key: bool | None) -> None:
+        """A block's packets; ``key`` is given for blocks of groups, and in the block's own flags otherwise."""
         track, at = read_vint(data, a)
         shift, flags = struct.unpack_from(">hB", data, at)
         kind = flags >> 1 & 3
@@ -188,16 +191,22 @@ def parse(data: bytes) -> dict:
                 walk(at, stop, own)
                 out["tracks" if id_ == TRACK_ENTRY else "cues"].append(own if id_ == TRACK_ENTRY else (own.get("time", 0), own.get("track", 0), own.get("cluster", 0)))
             elif id_ == BLOCK_GROUP:
-                walk(at, stop, within)
+                inner = list(elements(data, at, stop))
+                for _, _, x, y in (e for e in inner if e[0] == BLOCK):
+                    frames(x, y, within["time"], all(e[0] != REFERENCE_BLOCK for e in inner))
             elif id_ in MASTERS:
                 walk(at, stop, within if id_ in (AUDIO, CUE_POSITIONS) else out["info"])
-            elif id_ in (SIMPLE_BLOCK, BLOCK):
-                frames(at, stop, within["time"], None if id_ == SIMPLE_BLOCK else True)
+            elif id_ == SIMPLE_BLOCK:
+                frames(at, stop, within["time"], None)
             elif within is not None and id_ in _FIELDS:
                 name, how = _FIELDS[id_]
                 within[name] = number(at, stop) if how == "n" else data[at:stop].decode("utf-8", "replace") if how == "s" else struct.unpack(">d" if stop - at == 8 else ">f", data[at:stop])[0]
 
     walk(0, len(data), None)
+    scale = out["info"].get("scale", 1_000_000)
+    if scale != 1_000_000:
+        out["packets"] = [(track, t * scale // 1_000_000, *rest) for track, t, *rest in out["packets"]]
+        out["cues"] = [(t * scale // 1_000_000, *rest) for t, *rest in out["cues"]]
     return out
 
 
@@ -248,13 +257,13 @@ def media_column(docs: DataFrame) -> DataFrame:
     Null texts are empty; an empty text is 64 zero samples. Equal texts make equal files. An empty
     table gives no rows.
     """
-    bound_batches(docs.sparkSession, 256)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stored, "doc_id long, media binary")
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_stored), "doc_id long, media binary")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
     """What media_column()'s files hold, from their packets; a file that isn't Matroska fails the job."""
-    return media.select("doc_id", "media").mapInArrow(_digests, SCHEMA)
+    return media.select("doc_id", "media").mapInArrow(tidy(_digests), SCHEMA)
 
 
 def _packets(batches):
@@ -267,4 +276,4 @@ def _packets(batches):
 
 def packet_table(media: DataFrame) -> DataFrame:
     """One row for each packet of each file: track, timestamp, byte range in the file, lacing, key flag."""
-    return media.select("doc_id", "media").mapInArrow(_packets, "doc_id long, track int, timestamp_ms long, start long, size long, lacing int, key boolean")
+    return media.select("doc_id", "media").mapInArrow(tidy(_packets), "doc_id long, track int, timestamp_ms long, start long, size long, lacing int, key boolean")

@@ -4,14 +4,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.tokens import encoder
+from kindred.operators.hot import running_sums
 from kindred.shared import bound_batches, materialize, tidy
 
 WINDOW = 4096
 #: Ids that are packed by one task, about; also bounds its memory.
-PART_IDS = 4 << 20
+PART_IDS = 2 << 20
+#: Parts whose sums run in one window.
+SPAN = 1024
 #: A source that is due fewer ids than this waits for a later window, unless its queue ends.
 LEAST_PIECE = 64
 
@@ -115,7 +118,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, target: dict[str, flo
     also where a doc_id repeats; an empty table gives no rows. The number of sources is taken to
     be small; they are never collected.
     """
-    bound_batches(docs.sparkSession, 256)
+    bound_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64("text").alias("version"))
     tokens = materialize(named.mapInArrow(tidy(_tokens(tokenizer, end_id)), "doc_id long, source string, version long, n long, ids binary"), "ids")
     total = tokens.agg(F.sum("n")).first()[0] or 0
@@ -123,16 +126,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, target: dict[str, flo
     tokens = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "version", F.lit(1)), F.lit(parts)).cast("int")).withColumn("place", F.xxhash64("doc_id", "version", F.lit(2)))
     held = materialize(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "held")
     by_part = held.groupBy("part").agg(F.sum("n").alias("of_part"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    windows = F.floor(F.col("of_part") / WINDOW) + F.bit_count(F.col("of_part") % WINDOW)
-    by_part = by_part.select("part", "of_part", F.coalesce(F.sum("of_part").over(before), F.lit(0)).alias("before_part"), F.coalesce(F.sum(windows).over(before), F.lit(0)).alias("first_sequence"))
+    by_part = by_part.withColumn("windows", F.floor(F.col("of_part") / WINDOW) + F.bit_count(F.col("of_part") % WINDOW))
+    span = F.floor(F.col("part") / SPAN)
+    by_part = running_sums(by_part, {"before_part": "of_part", "first_sequence": "windows"}, ["part"], span).select("part", "before_part", "first_sequence")
     if target is None:
         aims = held.groupBy("source").agg((F.sum("n") / F.lit(max(total, 1))).alias("target"))
     else:
         whole = sum(target.values())
         aims = docs.sparkSession.createDataFrame([(k, v / whole) for k, v in target.items()], "source string, target double")
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = held.withColumn("had", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(aims, "source", "left").withColumn("target", F.coalesce("target", F.lit(0.0))).join(by_part, "part")
+    carry = running_sums(held, {"had": "n"}, ["part"], span, ("source",)).join(aims, "source", "left").withColumn("target", F.coalesce("target", F.lit(0.0))).join(by_part, "part")
     carry = carry.select("part", "source", "target", (F.col("target") * F.col("before_part") - F.col("had")).alias("carry"), "first_sequence")
     # Each part's documents and aims meet in one shuffle.
     return tokens.groupBy("part").cogroup(carry.groupBy("part")).applyInArrow(pack_part, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

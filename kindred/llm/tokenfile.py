@@ -5,16 +5,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm import simple8b
 from kindred.llm.tokens import encoder
+from kindred.operators.hot import running_sums
 from kindred.shared import bound_batches, materialize, tidy
 
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
 #: Bytes of text that a shard is made of, about.
 SHARD_BYTES = 32 << 20
+#: Shards whose sums run in one window.
+SPAN = 256
 MAGIC = b"S8B1"
 
 
@@ -74,7 +77,7 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     each other by text, a null doc_id comes first, null texts are empty. Each document's ids end
     with ``end_id``.
     """
-    bound_batches(docs.sparkSession, 256)
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = docs.repartitionByRange(max(1, -(-size // SHARD_BYTES), docs.sparkSession.sparkContext.defaultParallelism), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -84,19 +87,11 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 def read_token_file(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of a token file, from its decoded ids.
 
-    Starts are running sums over shards, of which there are as many as partitions, and over the
-    blocks of each.
+    Starts are running sums over blocks, in spans of SPAN shards.
     """
-    spark: SparkSession = blocks.sparkSession
-    bound_batches(spark, 256)
-    at, first = 0, []
-    for shard, n in sorted(tuple(r) for r in blocks.groupBy("shard").agg(F.sum("n_ids")).collect()):
-        first.append((shard, at))
-        at += n
-    shards = spark.createDataFrame(first, "s int, base long")
-    inner = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("shard", "block", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).join(F.broadcast(shards), F.col("shard") == F.col("s")).select(F.col("shard").alias("s"), F.col("block").alias("b"), (F.col("base") + F.col("before")).alias("base"))
-    rows = blocks.select("shard", "block", "doc_ids", "data").mapInArrow(_read, "shard int, block long, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    bound_batches(blocks.sparkSession)
+    starts = running_sums(blocks.select("shard", "block", "n_ids"), {"base": "n_ids"}, ["shard", "block"], F.floor(F.col("shard") / SPAN)).select(F.col("shard").alias("s"), F.col("block").alias("b"), "base")
+    rows = blocks.select("shard", "block", "doc_ids", "data").mapInArrow(tidy(_read), "shard int, block long, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return rows.join(starts, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -1,3 +1,4 @@
+import struct
 import math
 import re
 import zlib
@@ -224,6 +225,18 @@ def test_variable_integers_and_unknown_sizes():
         M.parse(M.mux(b"x" * 64)[:-3])
 
 
+def test_key_flags_and_the_scale_of_times():
+    """Blocks of groups are key frames unless they refer to others; times are in milliseconds whatever the file's scale."""
+    block = M.element(M.BLOCK, b"\x81" + struct.pack(">h", 3) + b"\x00" + bytes(4))
+    group = lambda *more: M.element(M.BLOCK_GROUP, block + b"".join(more))
+    cluster = M.element(M.CLUSTER, M.uint(M.TIMESTAMP, 10) + group() + group(M.element(M.REFERENCE_BLOCK, b"\xfd")) + M.element(M.SIMPLE_BLOCK, b"\x81" + struct.pack(">h", 4) + b"\x80" + bytes(4)))
+    cues = M.element(M.CUES, M.element(M.CUE_POINT, M.uint(M.CUE_TIME, 10) + M.element(M.CUE_POSITIONS, M.uint(M.CUE_TRACK, 1) + M.uint(M.CUE_CLUSTER, 0))))
+    for scale, factor in ((1_000_000, 1), (100_000_000, 100)):
+        t = M.parse(M.element(M.SEGMENT, M.element(M.INFO, M.uint(M.TIMESTAMP_SCALE, scale)) + cluster + cues))
+        assert [(p[1], p[5]) for p in t["packets"]] == [(13 * factor, True), (13 * factor, False), (14 * factor, True)]
+        assert t["cues"] == [(10 * factor, 1, 0)]
+
+
 def test_media_round_trip(odd, none):
     media = M.media_column(odd)
     rows = M.media_digests(media).collect()
