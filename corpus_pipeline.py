@@ -7,38 +7,51 @@ from kindred.llm.tokens import public_path
 from kindred.shared import materialize
 
 TOKENIZER = "word_bpe_49k.json"
-#: Ids of at most so many dropped documents are sent to all executors (16 MB); more are joined by a shuffle.
+#: Names of at most so many dropped rows are sent to all executors (16 MB); more are joined by a shuffle.
 SEND = 1_000_000
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't among ``dropped``; rows without doc_id stay."""
-    ids = materialize(dropped.select("doc_id").where("doc_id is not null").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= SEND else ids, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that aren't among ``dropped`` (doc_id, version: the text's xxhash64), so another text of a doc_id stays; rows without doc_id stay."""
+    names = materialize(dropped.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).where("_d is not null").distinct(), "dropped")
+    gone = (docs["doc_id"] == names["_d"]) & (F.xxhash64(docs["text"]) == names["_v"])
+    return docs.join(F.broadcast(names) if names.count() <= SEND else names, gone, "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, taught by ``labels``, predicts to be good."""
+    """Documents that the quality classifier, taught by ``labels``, predicts to be good; null texts count as empty, repeated rows are judged each, an empty table stays empty."""
     return quality.keep(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id."""
+    """Of equal texts, the document with the smallest doc_id.
+
+    Null texts equal empty ones; rows that repeat both doc_id and text stay or go alike; a doc_id's
+    other texts and rows without doc_id stay; an empty table stays empty.
+    """
     return _without(docs, exactdup.exact_duplicates(docs).where("not kept and keep_id is not null"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest doc_id."""
+    """Of each component of near duplicates, the document with the smallest doc_id.
+
+    Texts without words and rows without doc_id are near nothing and stay; rows that repeat both
+    doc_id and text stay or go alike; an empty table stays empty.
+    """
     return _without(docs, neardup.near_duplicates(docs).where("not kept and component_id is not null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, those of small sources up to once more, by the temperature mixture's weights."""
+    """Every document, those of small sources up to once more, by the temperature mixture's weights.
+
+    A null source is a source of its own, repeated rows are read each, texts without words once a
+    whole reading; an empty table stays empty.
+    """
     return mixing.mix(docs).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of mixed sources."""
+    """The pieces of all documents in windows of mixed sources; null texts have the end id alone, repeated rows are packed each, an empty table gives no pieces."""
     return packing.pack(docs, public_path(TOKENIZER))
 
 
