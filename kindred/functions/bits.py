@@ -63,15 +63,26 @@ def average_difference(first: Column, second: Column, limit: int, min_iterations
     return F.when((F.size(first) == 0) | (F.size(first) != F.size(second)), F.raise_error(F.lit("blocks differ in number or are empty")).cast("int")).otherwise(value)
 
 
+#: Blocks that are compared before a difference may end the comparison.
+LEAST_BLOCKS = 3
+
+
+def _comparable(first: Column, second: Column) -> Column:
+    return (F.size(first) == F.size(second)) & (F.size(first) > 0)
+
+
 def block_percentage(orientations: Column, second: Column, threshold: int) -> Column:
-    """100 - difference of the first orientation that reaches the threshold, at most 99; null if none does."""
-    scores = F.transform(orientations, lambda b: F.least(100 - average_difference(b, second, 100 - threshold), F.lit(99)))
-    return F.get(F.filter(scores, lambda s: s >= threshold), F.lit(0))
+    """100 - difference of the first orientation that reaches the threshold, at most 99; null if none does. Blocks that differ in number score 0."""
+    score = lambda b: F.when(_comparable(b, second), 100 - average_difference(b, second, 100 - threshold, LEAST_BLOCKS)).otherwise(0)
+    first = F.get(F.filter(F.transform(orientations, score), lambda s: s >= threshold), F.lit(0))
+    return F.when(first.isNotNull(), F.least(first, F.lit(99)))
 
 
 def block_similarity(orientations: Column, second: Column) -> Column:
-    """The best over all orientations, compared to the end."""
-    return F.array_max(F.transform(orientations, lambda b: F.least(100 - average_difference(b, second, 768), F.lit(99))))
+    """(similarity, orientation): 0 .. 100, the best and first over all orientations, compared to the end; 0 where blocks differ in number."""
+    score = lambda b: F.when(_comparable(b, second), F.greatest(F.lit(0), 100 - average_difference(b, second, 768, LEAST_BLOCKS))).otherwise(0)
+    best = F.array_max(F.transform(orientations, lambda b, i: F.struct(score(b).alias("similarity"), (-i).alias("o"))))
+    return F.struct(best["similarity"].alias("similarity"), F.when(best["similarity"] > 0, -best["o"]).otherwise(0).alias("orientation"))
 
 
 def dimensions_compatible(a: Column, b: Column, scaled: bool, rotated: bool) -> Column:

@@ -2,6 +2,7 @@
 
 import difflib
 import unicodedata
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -22,13 +23,19 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
+def decomposed(text: Column) -> Column:
+    """The text in canonical decomposition, null as empty; only what isn't ASCII says anything to Python."""
+    plain = F.coalesce(text, F.lit(""))
+    ascii_ = F.octet_length(plain) == F.char_length(plain)
+    return F.when(ascii_, plain).otherwise(nfd(F.when(~ascii_, plain)))
+
+
 def words(text: Column, ascii_only: bool = False) -> Column:
     """Words of a name. Separators become spaces, marks up to U+037E vanish, the cut is at single spaces; null has none.
 
     ``ascii_only`` skips the decomposition, which keeps the expression in the JVM.
     """
-    plain = F.coalesce(text, F.lit(""))
-    plain = plain if ascii_only else nfd(plain)
+    plain = F.coalesce(text, F.lit("")) if ascii_only else decomposed(text)
     spaced = F.lower(F.translate(plain, SEPARATORS, " " * len(SEPARATORS)))
     kept = F.regexp_replace(spaced, r"[^A-Za-z0-9\s\x{037F}-\x{10FFFF}]", "")
     return F.filter(F.split(kept, " "), lambda w: w != "")
@@ -36,8 +43,7 @@ def words(text: Column, ascii_only: bool = False) -> Column:
 
 def fields(text: Column, ascii_only: bool = False) -> Column:
     """Words of each part between " - "; parts without words vanish."""
-    plain = F.coalesce(text, F.lit(""))
-    plain = plain if ascii_only else nfd(plain)
+    plain = F.coalesce(text, F.lit("")) if ascii_only else decomposed(text)
     return F.filter(F.transform(F.split(plain, " - "), lambda part: words(part, ascii_only=True)), lambda w: F.size(w) > 0)
 
 
@@ -85,26 +91,36 @@ def compare_fields(first: Column, second: Column) -> Column:
     return F.when((F.size(first) != F.size(second)) | (F.size(first) == 0), 0).otherwise(least)
 
 
-def _similar_compare(first: list, second: list, similar: bool = True, weighted: bool = False) -> int:
+def taken_places(first: list, second: list, similar: bool = True) -> list[int]:
+    """Which places of ``second`` the words of ``first`` take, one after the other: the first free one of an equal word, else of the closest word."""
+    free: dict = {}
+    for k, w in enumerate(second):
+        free.setdefault(w, deque()).append(k)
+    out = []
+    for w in first:
+        if w not in free and similar:
+            w = next(iter(difflib.get_close_matches(w, list(free), 1, 0.8)), None)
+        if w in free:
+            out.append(free[w].popleft())
+            if not free[w]:
+                del free[w]
+    return out
+
+
+def words_percentage(first: list, second: list, similar: bool = True, weighted: bool = False) -> int:
+    """C4 of two word lists: twice the share that taken words have in all, 99 for all unless they are taken from the front on."""
     if not first or not second:
         return 0
-    rest = list(second)
-    total = sum(map(len, [*first, *second])) if weighted else len(first) + len(second)
-    matched, ordered = 0, True
-    for w in first:
-        hit = w if w in rest else next(iter(difflib.get_close_matches(w, rest, 1, 0.8)), None) if similar else None
-        if hit is not None:
-            ordered &= rest[0] == hit
-            rest.remove(hit)
-            matched += len(hit) if weighted else 1
-    pct = round(200 * matched / total)
-    return 99 if pct == 100 and not ordered else pct
+    places = taken_places(first, second, similar)
+    size = (lambda ws: sum(map(len, ws))) if weighted else len
+    share = round(200 * size([second[k] for k in places]) / (size(first) + size(second)))
+    return 99 if share == 100 and places != list(range(len(places))) else share
 
 
 @F.pandas_udf(IntegerType())
 def compare_similar(first: pd.Series, second: pd.Series) -> pd.Series:
     """C4 with close matches of at least 0.8 (Ratcliff-Obershelp) standing in for words that are missing."""
-    return pd.Series([_similar_compare(list(a), list(b)) if a is not None and b is not None else 0 for a, b in zip(first, second, strict=True)], dtype="int32")
+    return pd.Series([words_percentage(list(a), list(b)) if a is not None and b is not None else 0 for a, b in zip(first, second, strict=True)], dtype="int32")
 
 
 @F.pandas_udf(IntegerType())
@@ -118,7 +134,7 @@ def compare_fields_any_order(first: pd.Series, second: pd.Series) -> pd.Series:
             continue
         free, least = list(range(len(b))), 100
         for x in a:
-            scores = [_similar_compare(x, b[k], similar=False) for k in free]
+            scores = [words_percentage(x, b[k], similar=False) for k in free]
             best = max(scores)
             least = min(least, best)
             if best > 0:
@@ -167,13 +183,13 @@ UNITS = ("B", "KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")
 
 
 def format_size(size: Column, decimals: int = 0, power: int | None = None, unit: bool = True) -> Column:
-    """Size by powers of 1024, rounded up."""
+    """Size by powers of 1024; its amount is rounded up, whatever the sign."""
     p = F.lit(power) if power is not None else F.when(F.abs(size) < 1024, 0).otherwise(F.floor(F.log2(F.abs(size)) / 10)).cast("int")
     if power is None:
         for k in range(1, 7):  # logarithms may miss an exact power by one bit
             p = F.when(F.abs(size) == F.lit(float(1024**k)), k).otherwise(p)
-    value = F.ceil(size / F.pow(F.lit(1024.0), p) * 10**decimals) / 10**decimals
-    text = F.format_string(f"%.{decimals}f", value.cast("double"))
+    value = F.ceil(F.abs(size) / F.pow(F.lit(1024.0), p) * 10**decimals) / 10**decimals
+    text = F.concat(F.when(size < 0, "-").otherwise(""), F.format_string(f"%.{decimals}f", value.cast("double")))
     return F.concat(text, F.lit(" "), F.element_at(F.array(*map(F.lit, UNITS)), p + 1)) if unit else text
 
 

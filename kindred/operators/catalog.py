@@ -2,12 +2,16 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kindred.functions.digests import content_digest
+from kindred.shared import materialize
+
 # Domains of state columns.
 SCAN_STATUS = ("running", "cancelled", "complete", "completed_with_errors", "failed")
 PATH_STATES = ("active", "missing", "unreadable")
 CONTENT_STATES = ("stable", "unstable", "unreadable", "missing")
 WORK_STATUS = ("pending", "claimed", "complete", "failed")
 KEY = ["root_id", "path_key"]
+MOST_ATTEMPTS = 3
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
@@ -25,6 +29,58 @@ def in_domain(table: DataFrame, column: str, domain: tuple[str, ...]) -> DataFra
     return table.where(~F.col(column).isin(*domain) | F.col(column).isNull())
 
 
+def start_scan(scans: DataFrame, scan_id: int, roots: list[str], now: float, resume_of: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """the scans (scan_id, status, started_at, finished_at, resume_of) with a running one more, and its roots (scan_id, root)."""
+    spark = scans.sparkSession
+    row = spark.createDataFrame([(scan_id, "running", now, None, resume_of)], "scan_id long, status string, started_at double, finished_at double, resume_of long")
+    return insert_missing(scans, row, ["scan_id"]), spark.createDataFrame([(scan_id, r) for r in sorted(set(roots))], "scan_id long, root string")
+
+
+def end_scan(scans: DataFrame, scan_id: int, status: str, now: float) -> DataFrame:
+    """a running scan ends with a status; one that has ended stays as it is."""
+    mine = (F.col("scan_id") == scan_id) & (F.col("status") == "running")
+    return scans.withColumn("finished_at", F.when(mine, now).otherwise(F.col("finished_at"))).withColumn("status", F.when(mine, status).otherwise(F.col("status")))
+
+
+def finalize_scan(scans: DataFrame, scan_id: int, folders: DataFrame, errors: DataFrame, now: float) -> DataFrame:
+    """complete if every folder (scan_id, status) of the scan is and no error (scan_id) was recorded, failed if a folder failed for good, else complete with errors."""
+    mine = folders.where(F.col("scan_id") == scan_id)
+    left, lost = mine.where("status <> 'complete'").limit(1).count(), mine.where("status = 'failed'").limit(1).count()
+    bad = errors.where(F.col("scan_id") == scan_id).limit(1).count()
+    return end_scan(scans, scan_id, "failed" if lost else "completed_with_errors" if left or bad else "complete", now)
+
+
+def run_batch(items: DataFrame, contents: DataFrame, owner: str, now: float, lease: float, limit: int) -> tuple[DataFrame, DataFrame]:
+    """one batch of a worker: claims items (item_id, content_version_id, ...), digests their contents (content_version_id, content) and finishes them.
+
+    Returns the items and the new artifacts (content_version_id, algorithm, value). An item whose
+    content can't be read goes back to the queue until its attempts are used up.
+    """
+    held = claim(items, owner, now, lease, limit, ["item_id"])
+    mine = held.where((F.col("status") == "claimed") & (F.col("owner") == owner))
+    read = mine.join(contents, "content_version_id", "left").select("item_id", "content_version_id", "content")
+    done, lost = read.where("content is not null"), read.where("content is null")
+    made = done.select("content_version_id", F.lit("sha256").alias("algorithm"), content_digest(F.col("content")).alias("value")).distinct()
+    return fail(complete(held, done, owner), lost, owner, MOST_ATTEMPTS), made
+
+
+def run_batches(items: DataFrame, contents: DataFrame, owner: str, now: float, lease: float, limit: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """at most ``most`` batches, as long as items are pending; each batch's tables are written, so its lineage ends."""
+    made = []
+    for _ in range(most):
+        if not items.where("status = 'pending'").limit(1).count():
+            break
+        items, more = run_batch(items, contents, owner, now, lease, limit)
+        items = materialize(items, "items")
+        made.append(materialize(more, "artifacts"))
+    return items, made
+
+
+def journal(actions: DataFrame, more: DataFrame) -> DataFrame:
+    """Rows are only ever added; each name once."""
+    return insert_missing(actions, more, [actions.columns[0]])
+
+
 def latest_complete(scans: DataFrame) -> DataFrame:
     """F3."""
     return scans.where("status = 'complete'").orderBy(F.col("finished_at").desc(), F.col("scan_id").desc()).limit(1).select("scan_id")
@@ -55,9 +111,9 @@ def complete(items: DataFrame, done: DataFrame, owner: str, status: str = "compl
 def fail(items: DataFrame, failed: DataFrame, owner: str, most_attempts: int) -> DataFrame:
     """back to pending until the attempts are used up."""
     f = failed.select("item_id").withColumn("_f", F.lit(True))
-    mine = F.col("_f").isNotNull() & (F.col("owner") == owner) & (F.col("status") == "claimed")
+    df = items.join(f, "item_id", "left").withColumn("_f", F.coalesce(F.col("_f") & (F.col("owner") == owner) & (F.col("status") == "claimed"), F.lit(False)))
     again = F.when(F.col("attempts") + 1 < most_attempts, "pending").otherwise("failed")
-    return items.join(f, "item_id", "left").withColumn("status", F.when(mine, again).otherwise(F.col("status"))).withColumn("attempts", F.when(mine, F.col("attempts") + 1).otherwise(F.col("attempts"))).drop("_f")
+    return df.withColumn("status", F.when(F.col("_f"), again).otherwise(F.col("status"))).withColumn("attempts", F.when(F.col("_f"), F.col("attempts") + 1).otherwise(F.col("attempts"))).drop("_f")
 
 
 def observe(known: DataFrame, seen: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kindred.functions.digests import action_id, split_of, unit_id
 from kindred.functions.text import extension, file_name, without_extension
+from kindred.operators.groups import dataset_clusters
+from kindred.shared import materialize
 
 #: Assets of one selection with diversity, which is sequential by nature.
 MOST_DIVERSE = 50_000
@@ -145,3 +147,17 @@ def build_actions(members: DataFrame, destination: str) -> DataFrame:
     clash = df.where("destination is not null").groupBy("destination").agg(F.count("*").alias("n")).where("n > 1").select("destination", F.lit(True).alias("collision"))
     df = df.join(clash, "destination", "left").withColumn("collision", F.coalesce("collision", F.lit(False)))
     return df.withColumn("action_id", action_id(F.col("cluster_id").cast("string"), F.col("path"), F.col("operation")))
+
+
+def prepare(assets: DataFrame, exact: DataFrame, visual: DataFrame, weights: dict[str, float], destination: str, seed: str = "", previous: DataFrame | None = None) -> DataFrame:
+    """The actions of a dataset: assets (asset_id, path, quality, immutable) in clusters of exact and visual edges (first_id, second_id, relation), each cluster in one split.
+
+    An asset without edges is a cluster of its own. A cluster's best asset, of equal ones the first
+    by path, is its keeper; exact duplicates of it go to quarantine, all others to their split.
+    """
+    found = dataset_clusters(exact, visual).withColumnRenamed("member_id", "asset_id")
+    clusters = assets.select("asset_id").join(found, "asset_id", "left").select("asset_id", F.coalesce("cluster_id", "asset_id").alias("cluster_id"), F.coalesce("relation", F.lit("single")).alias("relation"))
+    members = materialize(assets.join(clusters, "asset_id"), "members")
+    keepers = members.groupBy("cluster_id").agg(F.min_by("asset_id", F.struct(-F.col("quality"), "path", "asset_id")).alias("keeper_id"))
+    splits = stable_split(members.select("cluster_id", F.col("asset_id").alias("member_id")), weights, seed, previous).select("cluster_id", "split")
+    return build_actions(members.join(keepers, "cluster_id").join(splits, "cluster_id"), destination)

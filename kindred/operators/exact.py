@@ -4,11 +4,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kindred.functions.digests import content_digest, partial_digest, sample_digest
+from kindred.operators.hot import join_groups
 from kindred.shared import materialize
 
 GROUP = ["size", "digest"]
 #: Rows of at most so many nominated files are sent to all executors (under 100 MB); more are joined by a shuffle.
 SEND = 500_000
+#: Members of a group that one task compares with its first.
+AT_A_FIRST = 1024
 
 
 def _several(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,12 +44,15 @@ def exact_groups(files: DataFrame, verify: bool = True, staged: bool = False, bi
     """
     digests = materialize(exact_candidates(files, staged, big).select("file_id", "size", "digest"), "digests")
     keyed = digests.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("file_id").alias("first_id")).where("members > 1")
-    rows = digests.join(keyed, GROUP)
+    rows = join_groups(digests, materialize(keyed, "keyed", small=True), GROUP, "members", digests.count(), "inner")
     if verify:
         rows = materialize(rows, "nominated")
         held = files.select("file_id", "content").join(F.broadcast(rows) if rows.count() <= SEND else rows, "file_id")
-        first = held.where(F.col("file_id") == F.col("first_id")).select(*GROUP, F.col("content").alias("_first"))
-        bad = held.join(first, GROUP).where(F.col("content") != F.col("_first")).select(*GROUP).distinct()
+        # A group's first content goes to as many tasks as its members need.
+        places = F.ceil(F.col("members") / AT_A_FIRST).cast("int")
+        first = held.where(F.col("file_id") == F.col("first_id")).select(*GROUP, F.col("content").alias("_first"), F.explode(F.sequence(F.lit(0), places - 1)).alias("_place"))
+        rest = held.withColumn("_place", F.pmod(F.xxhash64("file_id"), places).cast("int"))
+        bad = rest.join(first, [*GROUP, "_place"]).where(F.col("content") != F.col("_first")).select(*GROUP).distinct()
         rows = rows.join(bad, GROUP, "left_anti")
     return rows.select(F.concat(F.lit("sha256:"), "digest").alias("group_id"), "file_id", "size", "digest", "members", "first_id")
 

@@ -1,8 +1,8 @@
-"""Similarity joins of fingerprints within a Hamming radius."""
+"""Similarity joins of fingerprints within a Hamming radius."""
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kindred.functions.bits import dimensions_compatible, hamming, histogram_distance
+from kindred.functions.bits import hamming
 
 
 def segments(bits: int, count: int) -> list[tuple[int, int]]:
@@ -22,13 +22,14 @@ def keys(fingerprint: Column, bits: int, radius: int) -> Column:
     return F.array(*parts)
 
 
-def _candidates(left: DataFrame, right: DataFrame, bits: int, radius: int, within: Column) -> DataFrame:
-    """Pairs of entries (lid, lbits) and (rid, rbits) within the radius, each once: by its first common segment.
+def near(left: DataFrame, right: DataFrame, bits: int, radius: int, within: Column) -> DataFrame:
+    """Pairs of entries (lid, lbits) and (rid, rbits) within the radius, each once: by its first common segment.
 
-    A radius of as many bits as there are lets every pair pass, so the join is one on a single segment of no bits.
+    Radii must be below the number of bits: beyond it every pair passes, which is no search. The
+    index is selective while segments are wide, as at the usual 8 of 64 bits.
     """
-    if radius + 1 > bits:
-        return left.crossJoin(right).where(within).withColumn("distance", hamming(F.col("lbits"), F.col("rbits")))
+    if not 0 <= radius < bits:
+        raise ValueError(f"a radius of {radius} in {bits} bits")
     l = left.withColumn("_k", F.explode(keys(F.col("lbits"), bits, radius))).select("*", "_k.seg", "_k.value").drop("_k")
     r = right.withColumn("_k", F.explode(keys(F.col("rbits"), bits, radius))).select("*", "_k.seg", "_k.value").drop("_k")
     both = l.join(r, ["seg", "value"]).where(within)
@@ -49,10 +50,10 @@ def hamming_pairs(entries: DataFrame, radius: int = 8, bits: int = 64) -> DataFr
     e = entries.select(F.col("id"), F.col("fingerprint")).where("fingerprint is not null")
     classes = e.groupBy("fingerprint").agg(F.count("*").alias("n"))
     side = lambda k: classes.select(F.col("fingerprint").alias(f"{k}bits"))
-    near = _candidates(side("l"), side("r"), bits, radius, F.col("lbits") < F.col("rbits")).union(classes.where("n > 1").select("fingerprint", "fingerprint", F.lit(0)))
+    pairs = near(side("l"), side("r"), bits, radius, F.col("lbits") < F.col("rbits")).union(classes.where("n > 1").select("fingerprint", "fingerprint", F.lit(0)))
     a = e.select(F.col("id").alias("_a"), F.col("fingerprint").alias("lbits"))
     b = e.select(F.col("id").alias("_b"), F.col("fingerprint").alias("rbits"))
-    out = near.join(a, "lbits").join(b, "rbits").where((F.col("lbits") != F.col("rbits")) | (F.col("_a") < F.col("_b")))
+    out = pairs.join(a, "lbits").join(b, "rbits").where((F.col("lbits") != F.col("rbits")) | (F.col("_a") < F.col("_b")))
     return out.select(F.least("_a", "_b").alias("first_id"), F.greatest("_a", "_b").alias("second_id"), F.col("distance").cast("int").alias("distance"))
 
 
@@ -74,7 +75,7 @@ def query(entries: DataFrame, probes: DataFrame, radius: int = 8, bits: int = 64
     """(probe_id, id, distance) within the radius of each probe (probe_id, fingerprint), itself excluded."""
     l = probes.select("probe_id", F.col("fingerprint").alias("lbits"))
     r = entries.select("id", F.col("fingerprint").alias("rbits"))
-    return _candidates(l, r, bits, radius, F.col("probe_id") != F.col("id")).select("probe_id", "id", F.col("distance").cast("int").alias("distance"))
+    return near(l, r, bits, radius, F.col("probe_id") != F.col("id")).select("probe_id", "id", F.col("distance").cast("int").alias("distance"))
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -93,49 +94,7 @@ def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids, "id", "left_anti")
 
 
-def picture_candidates(pictures: DataFrame, radius: int = 8, dhash_limit: int = 12, histogram_limit: float = 0.25, scaled: bool = False, rotated: bool = False) -> DataFrame:
-    """Pairs of (id, phashes, dhashes, histogram, dimensions, is_ref) by any orientation of the first against the plain second.
-
-    Both references, incompatible dimensions, or dHash and histogram both beyond their limits rule a
-    pair out; the nearest orientation stands for it.
-    """
-    turned = F.posexplode("phashes") if rotated else F.posexplode(F.slice("phashes", 1, 1))
-    l = pictures.select(F.col("id").alias("first_id"), "dhashes", F.col("histogram").alias("lh"), F.col("dimensions").alias("ld"), F.col("is_ref").alias("lref"), turned.alias("orientation", "lbits"))
-    r = pictures.select(F.col("id").alias("second_id"), F.col("phashes")[0].alias("rbits"), F.col("dhashes")[0].alias("rdhash"), F.col("histogram").alias("rh"), F.col("dimensions").alias("rd"), F.col("is_ref").alias("rref"))
-    near = _candidates(l, r, 64, radius, F.col("first_id") < F.col("second_id")).where(~(F.col("lref") & F.col("rref"))).where(dimensions_compatible(F.col("ld"), F.col("rd"), scaled, rotated))
-    near = near.withColumn("dhash_distance", hamming(F.get("dhashes", "orientation"), F.col("rdhash"))).withColumn("histogram_distance", histogram_distance(F.col("lh"), F.col("rh")))
-    near = near.where((F.col("dhash_distance") <= dhash_limit) | (F.col("histogram_distance") <= histogram_limit))
-    best = F.min(F.struct("distance", "dhash_distance", "histogram_distance", "orientation")).alias("b")
-    return near.groupBy("first_id", "second_id").agg(best).select("first_id", "second_id", F.col("b.distance").cast("int").alias("phash_distance"), "b.dhash_distance", "b.histogram_distance", "b.orientation")
-
-
-def evidence(first_kind: Column, second_kind: Column, orientation: Column, block_orientation: Column, same_dimensions: Column, block: Column, phash: Column, dhash: Column, histogram: Column, threshold: int = 95) -> Column:
-    """(relation, score): crop, transformed, similar or related; the score is the better of blocks and fingerprints."""
-    crop = (first_kind != "whole") | (second_kind != "whole")
-    transformed = (orientation != 0) | (block_orientation != 0) | ~same_dimensions
-    prints = F.greatest(F.lit(0.0), 1 - (phash / 64 * 0.5 + dhash / 64 * 0.35 + histogram * 0.15))
-    relation = F.when(crop, "crop_candidate").when(transformed, "transformed").when(block >= threshold, "similar").otherwise("related")
-    return F.struct(relation.alias("relation"), F.bround(F.greatest(block / 100, prints), 6).alias("score"))
-
-
 def reduction(pairs: DataFrame, indexed: int) -> DataFrame:
     """H8: candidates against all possible pairs."""
     possible = indexed * (indexed - 1) // 2
     return pairs.agg(F.lit(indexed).alias("indexed"), F.lit(possible).alias("possible"), F.count("*").alias("candidates"), F.round(1 - F.count("*") / F.lit(max(possible, 1)), 6).alias("reduction_ratio"))
-
-
-def best_per_target(evidence_rows: DataFrame) -> DataFrame:
-    """The best evidence of each target, in order of score, blocks and path."""
-    w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), F.col("block_similarity").desc(), F.lower("path"))
-    return evidence_rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(F.col("score").desc(), F.col("block_similarity").desc(), F.lower("path"))
-
-
-def evidence_order() -> list[Column]:
-    """Pairs in order of ids, relation and score."""
-    return [F.col("first_id"), F.col("second_id"), F.col("relation"), F.col("score")]
-
-
-def candidate_order() -> list[Column]:
-    """A query's candidates, whole pictures before crops, nearest first."""
-    crop = (F.col("first_kind") != "whole") | (F.col("second_kind") != "whole")
-    return [F.col("rank"), crop, F.col("phash_distance"), F.col("dhash_distance"), F.col("histogram_distance"), F.col("second_id")]

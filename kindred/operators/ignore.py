@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def canonical(pairs: DataFrame, a: str = "first_path", b: str = "second_path") -> DataFrame:
-    """Each unordered pair once; a path isn't paired with itself."""
+    """Each unordered pair once, as (lo, hi); a path isn't paired with itself. A list that is canonical already will do as well."""
+    if {"lo", "hi"} <= set(pairs.columns):
+        a, b = "lo", "hi"
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
 
 

@@ -14,8 +14,9 @@ COPY_NAME = r"(?i)(?:^|[\s._-])(?:copy|backup|duplicate|resized|small|thumb|thum
 NUMBERED_COPY = r"(?i)(?:[\s._-]\d+|\(\d+\)|\[\d+\]|\{\d+\}|(?:copy|duplicate)[\s_-]*\d*)$"
 TEMPORARY_FOLDERS = ("download", "downloads", "temp", "tmp", "cache", "thumbnails", "recycle.bin")
 POINTS = {"reference": 100.0, "resolution": 30.0, "bit_depth": 20.0, "metadata": 15.0, "bitrate": 20.0, "lossless": 10.0, "file_size": 5.0, "copy_name": -20.0, "temporary_path": -50.0, "jpeg_artifacts": -30.0}
-MESSAGES = {"resolution": "higher resolution", "bit_depth": "higher bit depth", "metadata": "more metadata retained", "bitrate": "higher bitrate", "file_size": "larger source file", "copy_name": "copy/backup-style filename", "temporary_path": "temporary/download folder", "jpeg_artifacts": "JPEG recompression artifacts"}
-WEAKER = {"resolution": "lower resolution than the keeper", "bit_depth": "lower bit depth than the keeper", "metadata": "less metadata retained than the keeper", "bitrate": "lower bitrate than the keeper", "lossless": "less preferred file format than the keeper", "file_size": "smaller source file than the keeper"}
+#: What a member's points are called, for and against it, and what it lacks beside the keeper.
+MESSAGES = {"resolution": "more pixels", "bit_depth": "deeper colour", "metadata": "richer metadata", "bitrate": "denser encoding", "file_size": "most bytes", "copy_name": "named like a copy", "temporary_path": "lies in a folder for passing files", "jpeg_artifacts": "shows JPEG block edges"}
+WEAKER = {"resolution": "fewer pixels", "bit_depth": "shallower colour", "metadata": "poorer metadata", "bitrate": "thinner encoding", "lossless": "weaker file format", "file_size": "fewer bytes"}
 
 _COLUMNS = {"pixels": "double", "bit_depth": "double", "metadata_count": "double", "bitrate": "double", "size": "double", "jpeg_artifact_score": "double", "is_ref": "boolean", "comparison_pool": "string", "name": "string", "path": "string"}
 
@@ -61,17 +62,17 @@ def explanations(ranked: DataFrame) -> DataFrame:
     """Why the keeper stays, and what speaks against each other member."""
     k = ranked.where("rank = 0").select("group_id", F.col("points").alias("_k"), F.col("score").alias("_ks"))
     df = ranked.join(k, "group_id")
-    reference = F.when(F.col("comparison_pool") == "protected", "protected library").when(F.col("comparison_pool") == "compare_only", "immutable Compare Only source").otherwise("reference source")
-    raw = F.when(extension(F.col("name")).isin(*RAW_EXTENSIONS), "camera RAW").otherwise("lossless format")
-    label = lambda c: reference if c == "reference" else raw if c == "lossless" else F.lit("more specific library path") if c == "path_context" else F.lit(MESSAGES[c])
+    reference = F.when(F.col("comparison_pool") == "protected", "in a protected folder").when(F.col("comparison_pool") == "compare_only", "in a folder for comparison alone").otherwise("a reference")
+    raw = F.when(extension(F.col("name")).isin(*RAW_EXTENSIONS), "raw camera data").otherwise("format without loss")
+    label = lambda c: reference if c == "reference" else raw if c == "lossless" else F.lit("deeper path") if c == "path_context" else F.lit(MESSAGES[c])
     order = [*POINTS, "path_context"]
     some = lambda test, text: F.filter(F.array(*[F.when(test(c), text(c)) for c in order if text(c) is not None]), lambda x: x.isNotNull())
     good = some(lambda c: F.col(f"points.{c}") > 0, label)
     bad = some(lambda c: F.col(f"points.{c}") < 0, label)
     weaker = F.filter(F.array(*[F.when(F.col(f"_k.{c}") > F.col(f"points.{c}") + 1e-9, F.lit(t)) for c, t in WEAKER.items()]), lambda x: x.isNotNull())
     against = F.concat(bad, weaker)
-    lower = F.array(F.format_string("lower aggregate policy score (%.3f vs %.3f)", "score", "_ks"))
-    text = F.when(F.col("rank") == 0, F.concat(F.lit("Keep candidate: "), F.array_join(F.when(F.size(good) > 0, good).otherwise(F.array(F.lit("stable tie-break"))), ", "))).otherwise(F.concat(F.lit("Review candidate: "), F.array_join(F.when(F.size(against) > 0, against).otherwise(lower), ", ")))
+    lower = F.array(F.format_string("fewer points in all (%.3f of %.3f)", "score", "_ks"))
+    text = F.when(F.col("rank") == 0, F.concat(F.lit("keep: "), F.array_join(F.when(F.size(good) > 0, good).otherwise(F.array(F.lit("first in order"))), ", "))).otherwise(F.concat(F.lit("review: "), F.array_join(F.when(F.size(against) > 0, against).otherwise(lower), ", ")))
     return df.withColumn("explanation", text).drop("_k", "_ks")
 
 

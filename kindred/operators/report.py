@@ -101,7 +101,7 @@ def check_jsonl(lines: DataFrame) -> DataFrame:
     kind = F.get_json_object("value", "$.record")
     df = lines.select(kind.alias("record"), F.get_json_object("value", "$.value.group_id").alias("group_id"), F.get_json_object("value", "$.value.members").cast("long").alias("members"), F.size(F.from_json(F.get_json_object("value", "$.value.files"), "array<struct<rank:int>>")).alias("files"))
     one = df.groupBy().agg(F.count_if(F.col("record") == "header").alias("h"), F.count_if(F.col("record") == "summary").alias("s")).where("h <> 1 or s <> 1").select(F.lit("header or summary isn't single").alias("problem"))
-    g = df.where("group_id is not null").groupBy("group_id").agg(F.count_if(F.col("record") == "group_header").alias("h"), F.count_if(F.col("record") == "group_end").alias("e"), F.max("members").alias("m"), F.sum(F.when(F.col("record") == "member_chunk", F.col("files"))).alias("f"))
+    g = df.where("group_id is not null").groupBy("group_id").agg(F.count_if(F.col("record") == "group_header").alias("h"), F.count_if(F.col("record") == "group_end").alias("e"), F.max("members").alias("m"), F.coalesce(F.sum(F.when(F.col("record") == "member_chunk", F.col("files"))), F.lit(0)).alias("f"))
     return one.union(g.where("h <> 1 or e <> 1 or m <> f").select(F.concat(F.lit("group "), "group_id").alias("problem")))
 
 

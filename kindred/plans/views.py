@@ -1,6 +1,6 @@
 """The driver's tables as files, names, fingerprints, sequences and snapshots, in Spark and in DuckDB SQL."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kindred.functions.bits import sign_bits
 from kindred.functions.text import words
@@ -48,12 +48,59 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words(F.col("text")).alias("words"))
 
 
+def _code(text: Column) -> Column:
+    """The first 64 bits of a text's MD5."""
+    half = lambda at: F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+def _flips(over: Column) -> Column:
+    """A bit for each of 64 values over 0."""
+    return sign_bits(over)
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 64-bit fingerprint of each embedding: the signs of its values."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_bits(F.slice(F.col("embedding").cast("array<double>"), 1, 64)).alias("fingerprint"), "label")
+    """A 64-bit fingerprint of each embedding: five in a row are variants of one code, in which large values flip bits."""
+    e = table(spark, sf_dir, "embeddings")
+    values = F.slice(F.col("embedding").cast("array<double>"), 1, 64)
+    return e.select(F.col("vec_id").alias("id"), _code(F.floor(F.col("vec_id") / 5).cast("string")).bitwiseXOR(_flips(F.transform(values, lambda v: v - 0.2))).alias("fingerprint"), "label", values.alias("values"))
+
+
+def _flips_sql(test: str) -> str:
+    return f"list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, 65), lambda i: CASE WHEN {test} THEN (1::HUGEINT << (i - 1)) ELSE 0::HUGEINT END)), lambda a, b: a + b)"
+
+
+_CODE_SQL = "('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 16))::UBIGINT::HUGEINT"
+PRINTS = f"prints AS (SELECT vec_id AS id, xor({_CODE_SQL.format('vec_id // 5')}, {_flips_sql('embedding[i]::DOUBLE > 0.2::DOUBLE')}) AS fingerprint, label FROM embeddings)"
+
+#: The turned side of a picture has other fingerprints, by these codes.
+TURN = 0x00F0F00F0FF0A55A
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as the features of a picture: the plain and the turned side, coarse blocks, a histogram, two crops; every third is stored turned, every fourth is a reference."""
+    f = fingerprints(spark, sf_dir)
+    odd = F.col("id") % 3 == 0
+    both = lambda x: F.when(odd, F.array(x.bitwiseXOR(F.lit(TURN)), x)).otherwise(F.array(x, x.bitwiseXOR(F.lit(TURN))))
+    dhash = _code(F.concat(F.lit("d"), F.floor(F.col("id") / 5).cast("string"))).bitwiseXOR(_flips(F.transform("values", lambda v: -v - 0.15)))
+    base = F.floor(F.col("id") / 5)
+    gray = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: (F.lit(40) + (base * 7 + i * 13) % 150 + F.floor(F.element_at("values", i) * 40)).cast("int"))
+    blocks = F.transform(gray, lambda g: F.struct(g.alias("r"), (g + 1).alias("g"), (g + 2).alias("b")))
+    width, height = (F.lit(100) + base % 2 * 20).cast("int"), F.lit(80)
+    return f.select(
+        "id", both(F.col("fingerprint")).alias("phashes"), both(dhash).alias("dhashes"), F.transform("values", lambda v: F.floor((v + 1) * 16).cast("int")).alias("histogram"),
+        F.struct(F.when(odd, height).otherwise(width).alias("w"), F.when(odd, width).otherwise(height).alias("h")).alias("dimensions"), (F.col("id") % 4 == 0).alias("is_ref"),
+        F.when(odd, F.array(F.reverse(blocks), blocks)).otherwise(F.array(blocks, F.reverse(blocks))).alias("blocks"),
+        F.array(F.struct(F.lit("center").alias("kind"), _code(F.concat(F.lit("t"), F.floor(F.col("id") / 7).cast("string"))).alias("phash"), dhash.alias("dhash")), F.struct(F.lit("edge").alias("kind"), F.col("fingerprint").alias("phash"), dhash.alias("dhash"))).alias("tiles"),
+    )
 
 
-PRINTS = "prints AS (SELECT vec_id AS id, list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)) ELSE 0::HUGEINT END)), lambda a, b: a + b) AS fingerprint, label FROM embeddings)"
+PICTURES = PRINTS + f""",
+basis AS (SELECT id, id // 5 AS base, id % 3 = 0 AS odd, fingerprint AS p, xor({_CODE_SQL.format("'d' || (id // 5)")}, {_flips_sql('-(embedding[i]::DOUBLE) > 0.15::DOUBLE')}) AS d, embedding AS e FROM prints JOIN embeddings ON vec_id = id),
+gray AS (SELECT *, list_transform(range(1, 17), lambda i: CAST(40 + (base * 7 + i * 13) % 150 + floor(e[i]::DOUBLE * 40) AS INT)) AS blocks FROM basis),
+pics AS (SELECT id, CASE WHEN odd THEN [xor(p, {TURN}::HUGEINT), p] ELSE [p, xor(p, {TURN}::HUGEINT)] END AS phashes, CASE WHEN odd THEN [xor(d, {TURN}::HUGEINT), d] ELSE [d, xor(d, {TURN}::HUGEINT)] END AS dhashes,
+  list_transform(e, lambda v: CAST(floor((v::DOUBLE + 1) * 16) AS INT)) AS histogram, CASE WHEN odd THEN 80 ELSE 100 + base % 2 * 20 END AS w, CASE WHEN odd THEN 100 + base % 2 * 20 ELSE 80 END AS h, id % 4 = 0 AS is_ref,
+  CASE WHEN odd THEN [list_reverse(blocks), blocks] ELSE [blocks, list_reverse(blocks)] END AS blocks, [['center'::VARCHAR, CAST({_CODE_SQL.format("'t' || (id // 7)")} AS VARCHAR), CAST(d AS VARCHAR)], ['edge'::VARCHAR, CAST(p AS VARCHAR), CAST(d AS VARCHAR)]] AS tiles FROM gray)"""
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
+import difflib
+
 import numpy as np
+import pandas as pd
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import Row, functions as F
 
 from kindred.functions import bits, digests, media, text
@@ -29,7 +33,7 @@ def test_compare(spark, a, b, weighted, pct):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     assert df.select(text.compare(F.col("a"), F.col("b"), weighted)).first()[0] == pct
     if not weighted:
-        assert text._similar_compare(a, b, similar=False) == pct
+        assert text.words_percentage(a, b, similar=False) == pct
 
 
 def test_compare_variants(spark):
@@ -57,6 +61,46 @@ def test_display(spark):
     assert tuple(r) == ("1 KB", "1.1 KB", "01:01:01", "03:24", "3.4 minutes", True, True, "---")
 
 
+def test_sizes_of_either_sign_are_rounded_up(spark):
+    df = spark.createDataFrame([(-1536,), (1536,), (-1024,), (-1,), (0,), (1025,)], "n long")
+    assert [r[0] for r in df.select(text.format_size(F.col("n"))).collect()] == ["-2 KB", "2 KB", "-1 KB", "-1 B", "0 B", "2 KB"]
+
+
+def close_words(first, second, weighted):
+    """The rule told word by word over what is left of the second."""
+    left, size, head = list(second), 0, True
+    for w in first:
+        found = w if w in left else (difflib.get_close_matches(w, left, 1, 0.8) or [None])[0]
+        if found is None:
+            continue
+        head = head and left.index(found) == 0
+        left.pop(left.index(found))
+        size += len(found) if weighted else 1
+    whole = sum(map(len, [*first, *second])) if weighted else len(first) + len(second)
+    p = round(200 * size / whole) if first and second else 0
+    return 99 if p == 100 and not head else p
+
+
+@given(st.lists(st.sampled_from(["house", "houses", "mouse", "mouses", "a", "bb", "horse"]), max_size=7), st.lists(st.sampled_from(["house", "houses", "mouse", "housex", "a", "bb", "horses"]), max_size=7), st.booleans())
+@settings(max_examples=300, deadline=None)
+def test_similar_words_equal_brute_force(first, second, weighted):
+    assert text.words_percentage(first, second, True, weighted) == close_words(first, second, weighted)
+
+
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=3), min_size=1, max_size=4), st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=3), min_size=1, max_size=4))
+@settings(max_examples=30, deadline=None)
+def test_fields_in_any_order_equal_brute_force(first, second):
+    """Each field of the first, in turn, takes the best field that is left."""
+    got = text.compare_fields_any_order.func(pd.Series([first]), pd.Series([second]))[0]
+    left, worst = list(range(len(second))), 100
+    for f in first if len(first) == len(second) else []:
+        scores = [text.words_percentage(f, second[k], similar=False) for k in left]
+        worst = min(worst, max(scores))
+        if max(scores):
+            del left[scores.index(max(scores))]
+    assert got == (worst if len(first) == len(second) else 0)
+
+
 def test_digests(spark):
     small, large = b"x" * 100, bytes(range(256)) * 300
     df = spark.createDataFrame([(bytearray(small),), (bytearray(large),)], "c binary")

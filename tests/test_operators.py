@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from kindred.functions.text import words
-from kindred.operators import catalog, dataset, exact, files as fs, folders, groups, hamming, ignore, match, rank, report, sequence
+from kindred.operators import catalog, dataset, exact, files as fs, folders, groups, hamming, ignore, match, pictures, rank, report, sequence
 from kindred.operators.components import connected_components
 
 
@@ -57,9 +57,19 @@ def test_matches_equal_brute_force(spark):
     names = [" ".join(rnd.choices(["a", "b", "c", "dd", "ee", "fff"], k=rnd.randint(1, 4))) for _ in range(30)]
     o = objects(spark, names)
     got = rows(match.matches(o, 60), "first_id", "second_id", "percentage")
-    from kindred.functions.text import _similar_compare
 
-    want = [(i, j, p) for i, j in itertools.combinations(range(30), 2) if set(names[i].split()) & set(names[j].split()) and (p := _similar_compare(names[i].split(), names[j].split(), similar=False)) >= 60]
+    def percentage(a, b):
+        """Words struck off a copy of the second, one by one."""
+        rest, shared, ordered = list(b), 0, True
+        for k, w in enumerate(a):
+            if w in rest:
+                ordered = ordered and rest.index(w) == 0
+                del rest[rest.index(w)]
+                shared += 1
+        p = round(200 * shared / (len(a) + len(b)))
+        return 99 if p == 100 and not ordered else p
+
+    want = [(i, j, p) for i, j in itertools.combinations(range(30), 2) if set(names[i].split()) & set(names[j].split()) and (p := percentage(names[i].split(), names[j].split())) >= 60]
     assert got == want
 
 
@@ -84,7 +94,7 @@ def test_timestamps(spark):
 # -- fingerprints ------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("bits, radius", [(16, 3), (12, 2), (64, 8), (4, 5)])
+@pytest.mark.parametrize("bits, radius", [(16, 3), (12, 2), (64, 8), (4, 3)])
 def test_hamming_pairs_equal_brute_force(spark, bits, radius):
     rnd = random.Random(bits)
     prints = [rnd.getrandbits(bits) for _ in range(60)]
@@ -99,11 +109,28 @@ def test_hamming_pairs_equal_brute_force(spark, bits, radius):
         hamming.guarded(hamming.hamming_pairs(e, radius, bits), len(want) - 1)
 
 
+def test_radii_beyond_the_bits_are_no_search(spark):
+    e = spark.createDataFrame([(1, 1), (2, 2)], "id long, fingerprint long")
+    with pytest.raises(ValueError):
+        hamming.hamming_pairs(e, 4, 4)
+
+
 def test_picture_candidates(spark):
     flat = [0] * 63 + [1024]
-    p = spark.createDataFrame([(1, [0, 7], [0, 0], flat, (10, 20), False), (2, [7], [0], flat, (20, 10), False), (3, [0], [0], flat, (10, 20), True), (4, [0], [0], flat, (10, 20), True)], "id long, phashes array<long>, dhashes array<long>, histogram array<int>, dimensions struct<w:int,h:int>, is_ref boolean")
-    assert rows(hamming.picture_candidates(p, 0), "first_id", "second_id") == [(1, 3), (1, 4)]
-    assert (1, 2, 1) in rows(hamming.picture_candidates(p, 0, rotated=True), "first_id", "second_id", "orientation")
+    kind = "id long, phashes array<long>, dhashes array<long>, histogram array<int>, dimensions struct<w:int,h:int>, is_ref boolean, tiles array<struct<kind:string,phash:long,dhash:long>>, blocks array<array<struct<r:int,g:int,b:int>>>"
+    grid, other = [(10, 10, 10)] * 4, [(200, 10, 10)] * 4
+    p = spark.createDataFrame(
+        [(1, [0, 7], [0, 0], flat, (10, 20), False, [("center", 2**40, 0)], [grid, other]), (2, [7], [0], flat, (20, 10), False, [], [other]), (3, [0], [0], flat, (10, 20), True, [], [grid]), (4, [0], [0], flat, (10, 20), True, [], [other]), (5, [2**40], [0], flat, (5, 5), False, [], [grid])],
+        kind,
+    )
+    assert rows(pictures.candidates(p, radius=0, references=False), "first_id", "second_id") == [(1, 3), (1, 4)]
+    assert (1, 2, 1) in rows(pictures.candidates(p, radius=0, rotated=True), "first_id", "second_id", "orientation")
+    assert (1, 5, "center", "whole") in rows(pictures.candidates(p, radius=0, crops=True), "first_id", "second_id", "first_kind", "second_kind")
+    found, receipt = pictures.matches(p, 95, radius=0)
+    assert rows(found, "first_id", "second_id", "percentage") == [(1, 3, 99)] and rows(receipt, "stage", "kept", "complete") == [("candidates", 2, True), ("matches", 1, True)]
+    told = {(r.first_id, r.second_id): (r.relation, r.block_similarity) for r in pictures.evidence(p, radius=0, rotated=True, related=True).collect()}
+    assert told[1, 3] == ("similar", 100) and told[1, 2] == ("transformed", 100) and told[3, 4] == ("related", 0)
+    assert rows(pictures.evidence(p.where("id = 4"), p, radius=0, related=True), "second_id") == [(1,), (3,)]
 
 
 # -- groups ------------------------------------------------------------------------------------
@@ -137,9 +164,47 @@ def test_components_and_invariants(spark):
 
 
 def test_group_percentage(spark):
+    """The best match, 2 and 3, makes the group; 2, its first member, is the reference, so 90 and 99 count."""
     m = spark.createDataFrame([(1, 2, 90), (1, 3, 81), (2, 3, 99)], "first_id long, second_id long, percentage int")
     g = groups.clique_groups(m)
-    assert rows(groups.group_percentage(g, m), "percentage") in ([(85,)], [(94,)], [(90,)])
+    assert rows(g, "member_id", "rank") == [(1, 2), (2, 0), (3, 1)]
+    assert rows(groups.group_percentage(g, m), "percentage") == [(94,)]
+
+
+def brute_groups(edges):
+    """The rule as it is told: matches from the best on; a file is claimed by one group at first sight, is a member once it matches all members; what touches no member is grouped again."""
+    todo, out = sorted(edges, key=lambda e: (-e[2], e[0], e[1])), []
+    while todo:
+        owner, member, match = {}, [], set()
+        for a, b, _ in todo:
+            if a not in owner and b not in owner:
+                owner[a] = owner[b] = len(member)
+                member.append([])
+            elif a not in owner:
+                owner[a] = owner[b]
+            elif b not in owner:
+                owner[b] = owner[a]
+            if owner[a] != owner[b]:
+                continue
+            match |= {(a, b), (b, a)}
+            g = member[owner[a]]
+            g += [x for x in (a, b) if x not in g and all((x, o) in match for o in g)] if not g or len({a, b} - set(g)) == 1 else []
+        good = [g for g in member if len(g) > 1]
+        out += good
+        used = {x for g in good for x in g}
+        rest = [e for e in todo if not {e[0], e[1]} & used]
+        if len(rest) == len(todo):
+            break
+        todo = rest
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.integers(80, 84)), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_greedy_groups_equal_brute_force(edges):
+    known = {(min(a, b), max(a, b)): p for a, b, p in edges if a != b}
+    todo = [(a, b, p) for (a, b), p in known.items()]
+    assert [sorted(g) for g in groups.greedy_cliques(todo)] == [sorted(g) for g in brute_groups(todo)]
 
 
 # -- ranking -----------------------------------------------------------------------------------
@@ -154,7 +219,7 @@ def test_keepers(spark):
     got = {r.file_id: r for r in rank.choose_keepers(m).collect()}
     assert [got[i]["rank"] for i in range(4)] == [1, 2, 3, 0]
     text = {r.file_id: r.explanation for r in rank.explanations(rank.choose_keepers(m)).collect()}
-    assert text[3].startswith("Keep candidate: reference source") and "copy/backup-style filename" in text[1]
+    assert text[3].startswith("keep: a reference") and "named like a copy" in text[1]
 
 
 def test_filters_marks_and_removal(spark):
@@ -271,16 +336,47 @@ def test_selection(spark):
 # -- sequences ---------------------------------------------------------------------------------
 
 
-def brute_alignment(x, y, most):
-    best, n, m = 0.0, len(x), len(y)
-    s = np.zeros((n + 1, m + 1))
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d = (int(x[i - 1]) ^ int(y[j - 1])).bit_count()
-            gain = 2.0 * (1 - d / (most + 1)) if d <= most else sequence.MISMATCH
-            s[i, j] = max(0, s[i - 1, j - 1] + gain, s[i - 1, j] + sequence.GAP, s[i, j - 1] + sequence.GAP)
-            best = max(best, s[i, j])
-    return best
+def brute_alignment(x, y, most, band=None, offset=0):
+    """Cell by cell in plain Python: each holds its score and the pairs of its best path; diagonal before up before left."""
+    n, m = len(x), len(y)
+    cell = {}
+    best = (0.0, None, ())
+    for i in range(n):
+        for j in range(m):
+            if band is not None and not i + offset - band <= j <= i + offset + band:
+                continue
+            d = (int(x[i]) ^ int(y[j])).bit_count()
+            zero = (0.0, ())
+            diagonal, up, left = (cell.get(k, zero) for k in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
+            moves = [
+                (diagonal[0] + (2.0 * (1 - d / (most + 1)) if d <= most else sequence.MISMATCH), (*diagonal[1], (i, j, d)) if d <= most else diagonal[1]),
+                (up[0] + sequence.GAP, up[1]),
+                (left[0] + sequence.GAP, left[1]),
+            ]
+            top = max(moves[0][0], moves[1][0])
+            chosen = moves[0] if moves[0][0] >= moves[1][0] else moves[1]
+            chosen = moves[2] if moves[2][0] > max(top, 0.0) + 1e-12 else chosen
+            cell[i, j] = chosen if chosen[0] > 0 else zero
+            if cell[i, j][0] > best[0] + 1e-12:
+                best = (cell[i, j][0], (i, j), cell[i, j][1])
+    pairs = best[2]
+    if not pairs:
+        return (0, None, None)
+    return (len(pairs), (*pairs[0][:2], *pairs[-1][:2]), round(sum(p[2] for p in pairs) / len(pairs), 9))
+
+
+def told(a):
+    return (a[2], a[6:10] if a[2] else None, round(a[5], 9) if a[2] else None)
+
+
+@given(st.lists(st.integers(0, 15), max_size=14), st.lists(st.integers(0, 15), max_size=14), st.integers(0, 2), st.one_of(st.none(), st.integers(1, 4)), st.integers(-3, 3))
+@settings(max_examples=400, deadline=None)
+def test_alignments_equal_brute_force(x, y, most, band, offset):
+    a = sequence.align(np.array(x, dtype=np.uint64), np.array(y, dtype=np.uint64), most, 10_000, band, offset)
+    if x and y:
+        assert a[0] == "complete" and told(a) == brute_alignment(x, y, most, band, offset)
+        if a[2]:
+            assert abs(a[1] - min(1.0, (1 - a[5] / (most + 1)) * (0.85 + 0.15 * max(a[2] / len(x), a[2] / len(y)) ** 0.5))) < 1e-9
 
 
 def test_alignment_cases():
@@ -316,6 +412,38 @@ def test_frame_plan():
     assert len(plan) == 14 and plan == sorted(plan)
 
 
+@given(st.floats(1, 500), st.lists(st.floats(-5, 505), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_frame_plans_equal_brute_force(duration, scenes):
+    """Twelve middles of equal parts within the margins; then, one by one, the cut farthest from all that are chosen, the earlier of two, while it is a fifth of a second away."""
+    inner = duration * 0.98
+    chosen = [duration * 0.01 + inner * (2 * k + 1) / 24 for k in range(12)]
+    cuts = {t for t in scenes if 0 <= t <= duration}
+    while cuts and len(chosen) < 32:
+        gap, t = max((min(abs(t - u) for u in chosen), -t) for t in cuts)
+        if gap < 0.20:
+            break
+        chosen.append(-t)
+        cuts.discard(-t)
+    got = sequence.frame_plan(duration, scenes)
+    assert len(got) == len(chosen) and np.allclose(got, sorted(chosen), atol=1e-9)
+
+
+def test_large_groups_are_compared_by_several_tasks(spark, monkeypatch):
+    """One file of a hundred differs from a first that it shares a digest with: the bucket is withheld, whichever task meets it."""
+    monkeypatch.setattr(exact, "AT_A_FIRST", 8)
+    monkeypatch.setattr(exact, "content_digest", lambda c: F.lit("same"))
+    f = spark.createDataFrame([(i, bytearray(b"ab" if i == 77 else b"aa")) for i in range(100)] + [(200 + i, bytearray(b"zzz")) for i in range(20)], "file_id long, content binary")
+    assert exact.exact_groups(f).count() == 20
+
+
+def test_spans_of_videos_are_dealt_to_several_tasks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, (100.0 + i % 7, 1920, 1080, 30.0, "h264", "x")) for i in range(60)], "id int, meta struct<duration_seconds:double,width:int,height:int,frame_rate:double,video_codec:string,pixel_format:string>")
+    want = rows(sequence.metadata_candidates(v), "first_id", "second_id", "kind")
+    monkeypatch.setattr(sequence, "AT_A_SPAN", 5)
+    assert rows(sequence.metadata_candidates(v), "first_id", "second_id", "kind") == want and len(want) == 60 * 59 // 2
+
+
 # -- reports -----------------------------------------------------------------------------------
 
 
