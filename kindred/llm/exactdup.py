@@ -51,7 +51,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     clashes = entry.where("min_v1 <> max_v1 or min_v2 <> max_v2").limit(1).count()
     ordered = F.col("recipe") if clashes else F.transform("recipe", lambda c: c["id"])
     lists = made.select("doc_id", "version", "text_sha256", F.size("recipe").alias("n_chunks"), ordered.alias("ids")).withColumn("h", F.xxhash64("ids"))
-    groups = lists.groupBy("h", "ids").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1 or keep_id is null")
-    out = join_groups(lists, groups, ["h", "ids"], "group_size", made.count())
+    groups = lists.groupBy("h", "text_sha256", "ids").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1 or keep_id is null")
+    # Rows meet what became of their group by the list's hash and the text's digest, which are short however long the list.
+    out = join_groups(lists.drop("ids"), materialize(groups.drop("ids"), "groups"), ["h", "text_sha256"], "group_size", made.count())
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(False)).alias("kept"), "text_sha256", "n_chunks", "version")

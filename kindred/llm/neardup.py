@@ -20,7 +20,7 @@ PLANES = [f"p{k}" for k in range(2 * S.PLANES)]
 #: themselves; more are joined by a shuffle.
 PICK_BY_BROADCAST = 1_000_000
 #: A hub is compared by one task with about so many rows; those beyond go to other tasks with a copy of the hub.
-AT_A_HUB = 256
+AT_A_HUB = 64
 
 
 def _sketches(shingle: int):
