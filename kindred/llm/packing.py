@@ -13,6 +13,8 @@ from kindred.shared import bound_batches, materialize, tidy
 WINDOW = 4096
 #: Ids that are packed by one task, about; also bounds its memory.
 PART_IDS = 2 << 20
+#: Rows of one doc_id and text that may lie in one part.
+COPIES = 10_000
 #: Parts whose sums run in one window.
 SPAN = 1024
 #: A source that is due fewer ids than this waits for a later window, unless its queue ends.
@@ -120,10 +122,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, target: dict[str, flo
     """
     bound_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64("text").alias("version"))
-    tokens = materialize(named.mapInArrow(tidy(_tokens(tokenizer, end_id)), "doc_id long, source string, version long, n long, ids binary"), "ids")
+    tokens = named.mapInArrow(tidy(_tokens(tokenizer, end_id)), "doc_id long, source string, version long, n long, ids binary")
+    tokens = materialize(tokens.withColumn("row", F.monotonically_increasing_id()), "ids")
+    # Rows that repeat doc_id and text hash alike: many of them are dealt out one by one, which is the same whichever goes where.
+    many = materialize(tokens.groupBy("doc_id", "version").agg(F.count("*").alias("copies")).where(F.col("copies") > COPIES), "copies", small=True)
+    if many.limit(1).count():
+        known = F.broadcast(many.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "copies"))  # a COPIES-th of all rows at most
+        tokens = tokens.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left").withColumn("row", F.when(F.col("copies").isNotNull(), F.col("row"))).drop("d", "v", "copies")
+    else:
+        tokens = tokens.withColumn("row", F.lit(None).cast("long"))
     total = tokens.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // PART_IDS))
-    tokens = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "version", F.lit(1)), F.lit(parts)).cast("int")).withColumn("place", F.xxhash64("doc_id", "version", F.lit(2)))
+    tokens = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "version", "row", F.lit(1)), F.lit(parts)).cast("int")).withColumn("place", F.xxhash64("doc_id", "version", F.lit(2))).drop("row")
     held = materialize(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "held")
     by_part = held.groupBy("part").agg(F.sum("n").alias("of_part"))
     by_part = by_part.withColumn("windows", F.floor(F.col("of_part") / WINDOW) + F.bit_count(F.col("of_part") % WINDOW))

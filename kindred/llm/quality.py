@@ -61,8 +61,8 @@ def _features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     w = word_hashes(raw, starts, ends)
     distinct, top = _shares(w, first)
     threes = w[:-2] * np.uint64(3) + w[1:-1] * np.uint64(5) + w[2:] * np.uint64(7) if len(w) > 2 else np.zeros(0, np.uint64)
-    first3 = np.minimum(first, len(threes))
-    distinct3, _ = _shares(threes, first3)
+    within = np.arange(len(threes)) + 2 < np.repeat(first[1:], n_words)[: len(threes)]  # not over a text's end
+    distinct3, _ = _shares(threes[within], np.concatenate([[0], np.cumsum(np.maximum(n_words - 2, 0))]))
     of_words = lambda flags: per(_sums(flags, first), n_words)
     has_letter = np.concatenate([[0], np.cumsum(LETTER[raw], dtype=np.int64)])
     letterless = has_letter[ends] == has_letter[starts]
@@ -194,7 +194,8 @@ def remainder(name: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame) -> AdditiveModel:
     """The model of labelled documents whose remainder() isn't 0: all, or about TRAIN_ROWS that a hash of doc_id picks from the whole table.
 
-    ``labels`` has doc_id and quality (0 or 1; rows of null are left out). Without labels, or with
+    Of rows that repeat a doc_id one is learned from, by a hash of its text, so that no doc_id can
+    fill the driver. ``labels`` has doc_id and quality (0 or 1; rows of null are left out). Without labels, or with
     labels all alike, every text gets the share of label 1 (a half without labels).
     """
     bound_batches(docs.sparkSession)
@@ -207,16 +208,17 @@ def train(docs: DataFrame, labels: DataFrame) -> AdditiveModel:
     def run(batches):
         for b in batches:
             x = features(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), b.column("quality"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["doc_id", "version", "quality", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").mapInArrow(tidy(run), "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").join(known, "doc_id").mapInArrow(tidy(run), "doc_id long, version long, quality int, x array<double>")
+    rows = made.groupBy("doc_id").agg(F.min_by(F.struct("quality", "x"), "version").alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
     order = np.lexsort((*x.T, rows["doc_id"].to_numpy()))
     return fit(x[order], rows["quality"].to_numpy(dtype=np.float64)[order])
 
 
 def keep(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, whatever its columns, whose text scores ``threshold`` or more. Null texts are empty."""
+    """The rows of ``docs``, whatever its columns, whose text scores ``threshold`` or more; null texts are empty, repeated rows are judged each."""
     bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -230,7 +232,10 @@ def keep(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> DataF
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text, any more columns), by a model of ``labels``.
 
-    A row's remainder() 0 holds it out of learning. An empty table gives no rows.
+    A row's remainder() 0 holds it out of learning. Features are counted over whole texts, however
+    long. Null texts are empty, and an empty text has a score by its features like any other. Each
+    row is scored by its own text, also where a doc_id repeats or is null; equal texts score alike.
+    In learning, one row of a labelled doc_id counts, and of its several labels the largest. An empty table gives no rows.
     """
     model = train(docs, labels)
 

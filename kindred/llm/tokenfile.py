@@ -74,13 +74,14 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """The token file of ``docs`` (doc_id, text): blocks (shard, block, doc_ids, n_ids, data) in the shared folder.
 
     Texts are sorted by doc_id over shards of about SHARD_BYTES; rows that repeat a doc_id follow
-    each other by text, a null doc_id comes first, null texts are empty. Each document's ids end
-    with ``end_id``.
+    each other by a hash of their text and, where that repeats too, as they come, so that they can
+    fill several shards. A null doc_id comes first, null texts are empty. Each document's ids end
+    with ``end_id``. The folder lasts as long as the application; copy it to keep it.
     """
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"), F.monotonically_increasing_id().alias("row"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = docs.repartitionByRange(max(1, -(-size // SHARD_BYTES), docs.sparkSession.sparkContext.defaultParallelism), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(max(1, -(-size // SHARD_BYTES), docs.sparkSession.sparkContext.defaultParallelism), "doc_id", "version", "row").sortWithinPartitions("doc_id", "version", "row").select("doc_id", "text")
     return materialize(ordered.mapInArrow(tidy(_write(tokenizer, end_id)), "shard int, block long, doc_ids array<long>, n_ids long, data binary"), "tokens")
 
 

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from kindred.llm import quality
 from kindred.shared import materialize
@@ -49,3 +51,16 @@ def test_stages_on_odd_rows(spark, odd, none, sf_dir, tmp_path):
     assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
     for _, stage in C.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_no_text_of_a_repeated_doc_id_is_lost(spark):
+    """Rows are dropped by doc_id and text: what only document 2 has stays, though another text of its doc_id goes."""
+    rows = [(1, "alpha"), (2, "alpha"), (2, "another text"), (3, "another  text"), (None, "alpha"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_d", F.lit(1)).withColumn("_v", F.lit(2))
+    out = C.exact_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(rows_of(out), key=str) == sorted([(1, "alpha"), (2, "another text"), (None, "alpha"), (4, None)], key=str)
+    words = " ".join(f"w{i}" for i in range(60))
+    near = [(1, words), (2, words + " end"), (2, "quite another text of its own"), (3, "quite another text of its own!")]
+    out = C.near_stage(spark, spark.createDataFrame(near, "doc_id long, text string"), "")
+    assert sorted(rows_of(out)) == [(1, words), (2, "quite another text of its own"), (3, "quite another text of its own!")]

@@ -81,7 +81,9 @@ def test_words_of_one_hash_are_told_apart(tokenizer, monkeypatch):
 def test_token_file_equals_the_library(odd, none, tokenizer, monkeypatch, span):
     monkeypatch.setattr(tokenfile, "SHARD_BYTES", 10_000)
     monkeypatch.setattr(tokenfile, "SPAN", span)
-    rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    from pyspark.sql import functions as F
+
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text", F.xxhash64("text").alias("v")).orderBy("doc_id", "v").collect()]
     ids = reference_ids(tokenizer, rows)
     at, want = 0, []
     for (doc, _), x in zip(rows, ids, strict=True):
@@ -125,6 +127,16 @@ def test_packing_holds_every_id_once(odd, none, tokenizer, monkeypatch, span):
     assert packing.pack(none, tokenizer).count() == 0
 
 
+def test_many_copies_of_a_row_fill_several_parts(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "PART_IDS", 2_000)
+    monkeypatch.setattr(packing, "COPIES", 20)
+    rows = [(7, "the same words again and again")] * 900 + [(i, f"words of document {i}") for i in range(100, 160)] + [(None, None)] * 30
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    pieces = packing.pack(df, tokenizer).collect()
+    check_pieces(pieces, rows, reference_ids(tokenizer, rows))
+    assert len({p.sequence_id for p in pieces if p.doc_id == 7}) > 3
+
+
 def test_windows_follow_the_target():
     left = np.array([400_000, 100_000, 50_000])
     target = left / left.sum()
