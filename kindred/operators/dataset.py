@@ -8,8 +8,8 @@ from kindred.functions.text import extension, file_name, without_extension
 from kindred.operators.groups import dataset_clusters
 from kindred.shared import materialize
 
-#: Assets of one selection with diversity, which is sequential by nature.
-MOST_DIVERSE = 50_000
+#: Assets, and distances between them, of one selection with diversity, which is sequential by nature.
+MOST_DIVERSE, MOST_DISTANCES = 50_000, 5_000_000
 
 
 def bundles(primaries: DataFrame, sidecars: DataFrame, extensions: tuple[str, ...], required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -98,11 +98,11 @@ def greedy_diverse(ids: list, score: list[float], near: dict, weight: float, slo
 def select_diverse(assets: DataFrame, distances: DataFrame, rules: list[tuple[str, float, bool]], most: int, weight: float) -> DataFrame:
     """G12 with diversity: (asset_id, step, quality, diversity, marginal) of the selected assets.
 
-    Each step depends on all before it, so one task does the selection; more than MOST_DIVERSE assets raise.
+    Each step depends on all before it, so one task does the selection; more than MOST_DIVERSE assets or MOST_DISTANCES distances raise.
     """
     df = quality(assets, rules).select("asset_id", "quality")
-    if df.limit(MOST_DIVERSE + 1).count() > MOST_DIVERSE:
-        raise ValueError(f"more than {MOST_DIVERSE} assets to select from with diversity")
+    if df.limit(MOST_DIVERSE + 1).count() > MOST_DIVERSE or distances.limit(MOST_DISTANCES + 1).count() > MOST_DISTANCES:
+        raise ValueError(f"more than {MOST_DIVERSE} assets or {MOST_DISTANCES} distances to select from with diversity")
     rows = df.select("asset_id", "quality", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("distance"), F.lit(0).alias("one"))
     edges = distances.select(F.least("first_id", "second_id").alias("asset_id"), F.lit(None).cast("double").alias("quality"), F.greatest("first_id", "second_id").alias("other"), "distance", F.lit(0).alias("one"))
 

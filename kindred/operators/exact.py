@@ -1,15 +1,17 @@
 """Exact duplicates by content."""
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kindred.functions.digests import content_digest, partial_digest, sample_digest
-from kindred.operators.hot import join_groups
+from kindred.operators.hot import join_groups, ranked
 from kindred.shared import materialize
 
 GROUP = ["size", "digest"]
 #: Rows of at most so many nominated files are sent to all executors (under 100 MB); more are joined by a shuffle.
 SEND = 500_000
+#: Pairs that pairs() lists unless told otherwise.
+MOST_PAIRS = 50_000_000
 #: Members of a group that one task compares with its first.
 AT_A_FIRST = 1024
 
@@ -65,8 +67,11 @@ def require_equal(files: DataFrame) -> DataFrame:
     return exact_groups(files)
 
 
-def pairs(groups: DataFrame) -> DataFrame:
-    """All pairs at 100; only where asked for, as their number grows with the square of a group."""
+def pairs(groups: DataFrame, most: int | None = MOST_PAIRS) -> DataFrame:
+    """All pairs at 100; only where asked for, as their number grows with the square of a group: more than ``most`` are an error before the join."""
+    n = pair_count(groups).agg(F.sum("pairs")).first()[0] or 0
+    if most is not None and n > most:
+        raise ValueError(f"{n} pairs; at most {most}: groups say the same")
     a, b = groups.alias("a"), groups.alias("b")
     return a.join(b, F.col("a.group_id") == F.col("b.group_id")).where("a.file_id < b.file_id").select(F.col("a.file_id").alias("first_id"), F.col("b.file_id").alias("second_id"), F.lit(100).alias("percentage"))
 
@@ -133,4 +138,4 @@ def stats(members: DataFrame, marked: str = "marked") -> DataFrame:
 
 def ranked_first(members: DataFrame, order: list) -> DataFrame:
     """Each group's members in order, references first; rank 0 is the reference."""
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.col("is_ref").desc(), *order)) - 1)
+    return ranked(members, "group_id", [F.col("is_ref").desc(), *order])

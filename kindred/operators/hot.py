@@ -2,6 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kindred.shared import materialize
+
+#: Rows of a group that one window task ranks; larger groups are ranked by a sort of all their rows.
+MOST_IN_WINDOW = 1_000_000
 #: Groups of at least a thousandth of all rows are hot: there can be no more than so many of them.
 PARTS = 1000
 
@@ -32,3 +36,34 @@ def running_sums(df: DataFrame, sums: dict[str, str], order: list[str], span: Co
     within = ahead(Window.partitionBy(*by, "_span").orderBy(*order))
     rows = rows.withColumns({k: F.coalesce(F.sum(c).over(within), F.lit(0)) for k, c in sums.items()}).join(spans, [*by, "_span"])
     return rows.withColumns({k: F.col(k) + F.col(f"_to_{k}") for k in sums}).drop("_span", *[f"_to_{k}" for k in sums])
+
+
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """Rows of a sorted ``ordered`` with their places from 0: the rows of the partitions before, and of the partition's rows before.
+
+    No window holds more rows than there are partitions.
+    """
+    rows = materialize(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    # The lower 33 bits of these ids count the rows of a partition.
+    return rows.join(F.broadcast(parts), "_part").withColumn(name, F.col("_ahead") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_row", "_ahead")
+
+
+def ranked(rows: DataFrame, by: str, order: list, name: str = "rank") -> DataFrame:
+    """``rows`` with their places from 0 in the group ``by``, in an ``order`` that is a total one.
+
+    Groups of up to MOST_IN_WINDOW rows are one window's work each; the rows of larger ones are
+    sorted over all tasks, and places count from the group's first row.
+    """
+    window = (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).alias(name)
+    hot = materialize(rows.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > MOST_IN_WINDOW).select(by), "hot", small=True)
+    if not hot.limit(1).count():
+        return rows.select("*", window)
+    keys = F.broadcast(hot)  # at most a MOST_IN_WINDOW-th of all rows
+    sorted_ = rows.join(keys, by, "left_semi").repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    placed = numbered(sorted_, "_at")
+    first = placed.groupBy(by).agg(F.min("_at").alias("_first"))
+    placed = placed.join(F.broadcast(first), by).withColumn(name, (F.col("_at") - F.col("_first")).cast("int")).drop("_at", "_first")
+    return rows.join(keys, by, "left_anti").select("*", window).unionByName(placed)

@@ -3,12 +3,16 @@
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.functions.text import compare
+from kindred.operators.hot import join_groups
+from kindred.shared import materialize
 
 #: Words in so many objects or more are common; most comparisons and matches of a run, beyond which it fails rather than answer in part.
-COMMON, MOST_COMPARISONS, MOST_MATCHES = 50, 2_000_000, 1_000_000
+COMMON, MOST_COMPARISONS, MOST_TIMESTAMPS = 50, 2_000_000, 50_000_000
+#: Words that are merged by one task, whose work grows with their square.
+MOST_WORDS = 200_000
 
 
 class MatchLimit(ValueError):
@@ -36,8 +40,12 @@ def uncommon_postings(objects: DataFrame, common: int = COMMON) -> DataFrame:
 def similar_words(vocabulary: DataFrame) -> DataFrame:
     """(word, canonical): shortest words first take up to 100 close matches (0.8) among what is left.
 
-    Sequential by nature: one task over a vocabulary, for collections whose distinct names fit one.
+    Sequential by nature: one task over a vocabulary; more than MOST_WORDS different words are an
+    error before it.
     """
+    if vocabulary.select("word").distinct().limit(MOST_WORDS + 1).count() > MOST_WORDS:
+        raise MatchLimit(f"more than {MOST_WORDS} words to merge")
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         left = sorted(sorted(pdf["word"]), key=len)
         out = {}
@@ -73,10 +81,13 @@ def matches(objects: DataFrame, least: int = 80, score=compare, common: int = CO
     return scored.select("first_id", "second_id", score(F.col("_first"), F.col("_second")).alias("percentage")).where(F.col("percentage") >= least)
 
 
-def timestamp_matches(pictures: DataFrame, scaled: bool = True) -> DataFrame:
-    """Pairs (id, ts, dimensions) of one known timestamp at 100; equal dimensions unless ``scaled``."""
+def timestamp_matches(pictures: DataFrame, scaled: bool = True, most: int | None = MOST_TIMESTAMPS) -> DataFrame:
+    """Pairs (id, ts, dimensions) of one known timestamp at 100; equal dimensions unless ``scaled``. More than ``most`` are an error before the join; timestamp_groups() says the same in rows."""
     p = pictures.where("ts is not null and ts <> '' and ts <> '0000:00:00 00:00:00'")
     keys = ["ts"] if scaled else ["ts", "dimensions"]
+    n = p.groupBy(*keys).agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")).agg(F.sum("n")).first()[0] or 0
+    if most is not None and n > most:
+        raise MatchLimit(f"{n:.0f} matches; at most {most}")
     a, b = p.alias("a"), p.alias("b")
     same: Column = F.lit(True)
     for k in keys:
@@ -87,7 +98,8 @@ def timestamp_matches(pictures: DataFrame, scaled: bool = True) -> DataFrame:
 def timestamp_groups(pictures: DataFrame) -> DataFrame:
     """D8 without pairs: members of each timestamp that several pictures share."""
     p = pictures.where("ts is not null and ts <> '' and ts <> '0000:00:00 00:00:00'")
-    return p.withColumn("members", F.count("*").over(Window.partitionBy("ts"))).where("members > 1")
+    many = materialize(p.groupBy("ts").agg(F.count("*").alias("members")).where("members > 1"), "timestamps", small=True)
+    return join_groups(p, many, ["ts"], "members", many.agg(F.sum("members")).first()[0] or 0, "inner")
 
 
 def discarded(matched: DataFrame, grouped: DataFrame) -> DataFrame:

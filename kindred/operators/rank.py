@@ -1,8 +1,10 @@
 """Ranking within groups: keepers, priorities, deltas, marks, filters."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.functions.text import extension, without_extension
+from kindred.operators.hot import join_groups, ranked
+from kindred.shared import materialize
 
 # File kinds, name patterns, folders and points of the keeper score.
 RAW_EXTENSIONS = (
@@ -27,8 +29,9 @@ def keeper_points(members: DataFrame) -> DataFrame:
     for c, kind in _COLUMNS.items():
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(kind))
-    maxima = df.groupBy("group_id").agg(*[F.max(c).alias(f"_m_{c}") for c in ("pixels", "bit_depth", "metadata_count", "bitrate", "size")])
-    df = df.join(maxima, "group_id")
+    maxima = df.groupBy("group_id").agg(F.count("*").alias("_n"), *[F.max(c).alias(f"_m_{c}") for c in ("pixels", "bit_depth", "metadata_count", "bitrate", "size")])
+    maxima = materialize(maxima, "maxima", small=True)
+    df = join_groups(df, maxima, ["group_id"], "_n", maxima.agg(F.sum("_n")).first()[0] or 0, "inner").drop("_n")
     ratio = lambda c, k: F.when((F.col(c) > 0) & (F.col(f"_m_{c}") > 0), POINTS[k] * F.least(F.col(c) / F.col(f"_m_{c}"), F.lit(1.0)))
     ext, stem = extension(F.col("name")), without_extension(F.coalesce("name", F.lit("")))
     parts = F.filter(F.split(F.coalesce("path", F.lit("")), "/"), lambda p: p != "")
@@ -54,8 +57,7 @@ def keeper_points(members: DataFrame) -> DataFrame:
 
 def choose_keepers(members: DataFrame) -> DataFrame:
     """Members with score and rank; rank 0 is the keeper: references first, then score, then path."""
-    w = Window.partitionBy("group_id").orderBy(F.col("is_ref").desc_nulls_last(), F.col("score").desc(), F.lower(F.coalesce("path", F.lit(""))), "file_id")
-    return keeper_points(members).withColumn("rank", F.row_number().over(w) - 1)
+    return ranked(keeper_points(members), "group_id", [F.col("is_ref").desc_nulls_last(), F.col("score").desc(), F.lower(F.coalesce("path", F.lit(""))), F.col("file_id")])
 
 
 def explanations(ranked: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def explanations(ranked: DataFrame) -> DataFrame:
 
 def prioritize(members: DataFrame, keys: list[Column], tie: str = "file_id") -> DataFrame:
     """Ranks members anew, references first, then by the keys."""
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.col("is_ref").desc(), *keys, tie)) - 1)
+    return ranked(members.drop("rank"), "group_id", [F.col("is_ref").desc(), *keys, F.col(tie)])
 
 
 def legacy_keys() -> list[Column]:
@@ -176,4 +178,5 @@ def switch_reference(members: DataFrame, wanted: DataFrame) -> DataFrame:
     want = wanted.select("file_id").distinct().withColumn("_w", F.lit(True))
     df = members.join(want, "file_id", "left").join(held.withColumn("_h", F.lit(True)), "group_id", "left")
     first = F.coalesce(F.col("_w") & F.col("_h").isNull(), F.lit(False))
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(first.desc(), "rank")) - 1).drop("_w", "_h")
+    df = df.withColumn("_first", first).withColumnRenamed("rank", "_rank")
+    return ranked(df, "group_id", [F.col("_first").desc(), F.col("_rank")]).drop("_w", "_h", "_first", "_rank")

@@ -1,10 +1,11 @@
 """Reports, plans and their records."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.functions.digests import action_id
 from kindred.functions.text import scalar_text
 from kindred.operators.exact import exact_groups
+from kindred.operators.hot import numbered
 from kindred.operators.rank import choose_keepers
 
 MOST_ACTIONS = 250_000
@@ -63,7 +64,7 @@ def csv_cell(c: Column) -> Column:
 
 def csv_rows(members: DataFrame, columns: list[str]) -> DataFrame:
     """The cells of an export, groups numbered in order."""
-    order = members.select("group_id").distinct().withColumn("Group ID", F.dense_rank().over(Window.orderBy("group_id")) - 1)
+    order = numbered(members.select("group_id").distinct().orderBy("group_id"), "Group ID").withColumn("Group ID", F.col("Group ID").cast("int"))
     return members.join(order, "group_id").select("Group ID", *[csv_cell(F.col(c)).alias(c) for c in columns])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.bits import dimensions_compatible
 from kindred.operators import catalog, dataset, exact, files as fs, folders, groups, ignore, rank, report
+from kindred.operators.hot import numbered
 from kindred.plans import views as v
 from kindred.plans.queries import query
 from kindred.shared import shared_folder
@@ -128,29 +129,23 @@ def legacy_ranking(spark, sf_dir):
     return rank.prioritize(_orders(spark, sf_dir), rank.legacy_keys()).select("group_id", "file_id", "rank")
 
 
+def _placed(ordered, name: str):
+    return numbered(ordered, name).withColumn(name, F.col(name) + 1)
+
+
 @query(_W + _ORDERS + ", o AS (SELECT group_id, count(*) AS n, max(size) FILTER (rank = 0) AS top FROM r GROUP BY group_id) SELECT r.group_id, file_id, rank, CAST(row_number() OVER (ORDER BY n DESC, r.group_id, rank) AS BIGINT) AS by_size, CAST(row_number() OVER (ORDER BY top, r.group_id, rank) AS BIGINT) AS by_reference FROM r JOIN o ON o.group_id = r.group_id")
 def sorted_groups(spark, sf_dir):
     """Places in either order, taken from the sorted rows themselves."""
     m = _orders(spark, sf_dir)
-    by_size = _places(rank.sort_groups(m, "size", False), "by_size")
-    return by_size.join(_places(rank.sort_groups(m.withColumn("top", F.col("size")), "top"), "by_reference").select("file_id", "by_reference"), "file_id").select("group_id", "file_id", "rank", "by_size", "by_reference")
-
-
-def _places(ordered, name: str):
-    """Sorted rows with their places from 1: numbers of the partitions before, and of the rows before in each."""
-    from pyspark.sql import Window
-
-    part = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))
-    ahead = sizes.withColumn("_a", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return part.join(F.broadcast(ahead), "_p").withColumn(name, F.col("_a") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_p", "_i", "_n", "_a")
+    by_size = _placed(rank.sort_groups(m, "size", False), "by_size")
+    return by_size.join(_placed(rank.sort_groups(m.withColumn("top", F.col("size")), "top"), "by_reference").select("file_id", "by_reference"), "file_id").select("group_id", "file_id", "rank", "by_size", "by_reference")
 
 
 @query(_W + _ORDERS + ", f AS (SELECT group_id, size AS own FROM r WHERE rank = 0) SELECT file_id, CAST(row_number() OVER (ORDER BY size, file_id) AS BIGINT) AS place, CAST(row_number() OVER (ORDER BY size - own DESC, file_id) AS BIGINT) AS delta_place FROM r JOIN f USING (group_id) WHERE rank > 0")
 def sorted_members(spark, sf_dir):
     """Members by a column and by its difference from the reference's."""
     m = _orders(spark, sf_dir)
-    return _places(rank.sort_members(m, "size"), "place").select("file_id", "place").join(_places(rank.sort_members(m, "size", False, True), "delta_place").select("file_id", "delta_place"), "file_id")
+    return _placed(rank.sort_members(m, "size"), "place").select("file_id", "place").join(_placed(rank.sort_members(m, "size", False, True), "delta_place").select("file_id", "delta_place"), "file_id")
 
 
 @query("SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL")

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from kindred.functions.text import words
-from kindred.operators import catalog, dataset, exact, files as fs, folders, groups, hamming, ignore, match, pictures, rank, report, sequence
+from kindred.operators import catalog, dataset, exact, files as fs, folders, groups, hamming, hot, ignore, match, pictures, rank, report, sequence
 from kindred.operators.components import connected_components
 
 
@@ -207,6 +207,54 @@ def test_greedy_groups_equal_brute_force(edges):
     assert [sorted(g) for g in groups.greedy_cliques(todo)] == [sorted(g) for g in brute_groups(todo)]
 
 
+# -- large groups ------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [10**6, 5])
+def test_ranks_in_windows_and_by_a_sort_are_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(hot, "MOST_IN_WINDOW", most)
+    rnd = random.Random(8)
+    data = [(rnd.choice("aaaab"), rnd.randrange(10), i) for i in range(60)]
+    df = spark.createDataFrame(data, "g string, v int, i int").repartition(3)
+    want = {}
+    for g in "ab":
+        for k, (_, _, i) in enumerate(sorted((r for r in data if r[0] == g), key=lambda r: (-r[1], r[2]))):
+            want[i] = k
+    got = hot.ranked(df, "g", [F.col("v").desc(), F.col("i")])
+    assert got.schema["rank"].dataType.simpleString() == "int"
+    assert {r.i: r["rank"] for r in got.collect()} == want
+    assert hot.ranked(df.limit(0), "g", ["i"]).count() == 0
+
+
+def test_running_sums_and_numbers_over_spans(spark):
+    rnd = random.Random(4)
+    data = [(rnd.choice("xy"), i, rnd.randrange(9)) for i in range(80)]
+    df = spark.createDataFrame(data, "k string, at int, n int").repartition(3)
+    for by in ((), ("k",)):
+        got = hot.running_sums(df, {"before": "n"}, ["at"], F.floor(F.col("at") / 7), by)
+        want = {i: sum(n for c, j, n in data if j < i and (not by or c == k)) for k, i, _ in data}
+        assert {r.at: r.before for r in got.collect()} == want
+    assert [(r.at, r.place) for r in hot.numbered(df.orderBy("at"), "place").orderBy("place").collect()] == [(i, i) for i in range(80)]
+
+
+def test_hot_groups_join_as_others_do(spark, monkeypatch):
+    monkeypatch.setattr(hot, "PARTS", 4)
+    df = spark.createDataFrame([("a" if i % 3 else f"g{i}", i) for i in range(60)] + [(None, 99)], "k string, i int")
+    sizes = df.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    got = {r.i: r.n for r in hot.join_groups(df, sizes, ["k"], "n", 61).collect()}
+    assert got == {**{i: 40 if i % 3 else None for i in range(60)}, 99: None}
+
+
+def test_pairs_are_guarded(spark):
+    f = spark.createDataFrame([(i, bytearray(b"aa")) for i in range(10)], "file_id long, content binary")
+    g = exact.exact_groups(f)
+    assert exact.pairs(g).count() == 45
+    with pytest.raises(ValueError):
+        exact.pairs(g, most=44)
+    with pytest.raises(match.MatchLimit):
+        match.timestamp_matches(spark.createDataFrame([(i, "2020", "a") for i in range(4)], "id long, ts string, dimensions string"), most=5)
+
+
 # -- ranking -----------------------------------------------------------------------------------
 
 
