@@ -29,8 +29,10 @@ RATES = 0.005, 0.003, 0.0005
 #: Words of a row of the token table: long documents stand in many rows, which a hash deals to rounds and tasks one by one.
 PIECE = 4_096
 SLICES = 32  # of a network's weights, which are summed apart
-#: Words that are scored in one go.
-AT_ONCE = 4_000_000
+#: Tokens that are scored in one go.
+AT_ONCE = 2_000_000
+#: Logits up to here have an exp, and sums of it, that 32-bit floats hold.
+SAFE = 60.0
 END = U(0x5EED0E11D0C00001)  # stands for the end of a document, among word hashes
 _LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 
@@ -85,18 +87,21 @@ class Table:
         return out
 
 
-def _softmax_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = x - x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    return x, e.sum(axis=1)
+def _sums(x: np.ndarray) -> np.ndarray:
+    """The sum of each row: by a product, which is quicker than a reduction where rows are short."""
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """The softmax of each row, in place of ``x``."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+def _top(weights: np.ndarray, bias: np.ndarray) -> float:
+    """What no logit of a state in -1 .. 1 can pass."""
+    return float((np.abs(weights).sum(axis=0) + np.abs(bias)).max()) if bias.size else 0.0
+
+
+def _exp(x: np.ndarray, top: float) -> np.ndarray:
+    """exp(x) in place, less the largest of each row where exp alone might overflow; rows keep their proportions."""
+    if top > SAFE:
+        x -= x.max(axis=1, keepdims=True)
+    return np.exp(x, out=x)
 
 
 class Network:
@@ -125,35 +130,56 @@ class Network:
         self.p["b"][:hidden] = -1.0
         self.hidden = hidden
 
-    def step(self, token: np.ndarray, h: np.ndarray) -> tuple:
+    def step(self, token: np.ndarray, h: np.ndarray, biased: np.ndarray | None = None) -> tuple:
+        """The next state, and the parts that gradients need; ``biased`` is E + b where it is at hand."""
         n, p = self.hidden, self.p
-        x = p["E"][token] + p["b"]
-        u = h @ p["U"][:, : 2 * n]
-        zr = np.tanh((x[:, : 2 * n] + u) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+        x = np.take(p["E"], token, axis=0) + p["b"] if biased is None else np.take(biased, token, axis=0)
+        zr = h @ p["U"][:, : 2 * n]
+        zr += x[:, : 2 * n]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :n], zr[:, n:]
         rh = r * h
-        c = np.tanh(x[:, 2 * n :] + rh @ p["U"][:, 2 * n :])
-        return h + z * (c - h), z, r, c, rh
-
-    def token_logs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
+        c = rh @ p["U"][:, 2 * n :]
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c, rh
+
+    def _heads(self) -> list[tuple]:
+        """Of each class with several members its weights, bias and what its logits can't pass."""
+        w, b = self.p["W"], self.p["wb"]
+        return [(np.ascontiguousarray(w[m].T), b[m], _top(w[m].T, b[m])) if len(m) > 1 else None for m in self.members]
+
+    def token_logs(self, h: np.ndarray, token: np.ndarray, heads: list | None = None) -> np.ndarray:
         """Natural logarithm of each token's probability after the state h."""
         p, c = self.p, self.cls[token]
-        x, s = _softmax_parts(h @ p["C"] + p["cb"])
-        out = (x[np.arange(len(c)), c] - np.log(s)).astype(np.float64)
+        heads = self._heads() if heads is None else heads
+        e = _exp(h @ p["C"] + p["cb"], _top(p["C"], p["cb"]))
+        share = e[np.arange(len(c)), c] / _sums(e)
         order = np.argsort(c, kind="stable")
         cuts = np.searchsorted(c[order], np.arange(len(self.members) + 1))
-        for k, m in enumerate(self.members):
+        inner = np.ones(len(c), h.dtype)
+        for k, head in enumerate(heads):
             rows = order[cuts[k] : cuts[k + 1]]
-            if len(m) > 1 and len(rows):
-                x, s = _softmax_parts(h[rows] @ p["W"][m].T + p["wb"][m])
-                out[rows] += x[np.arange(len(rows)), self.place[token[rows]]] - np.log(s)
-        return out
+            if head is not None and len(rows):
+                x = h[rows] @ head[0]
+                x += head[1]
+                e = _exp(x, head[2])
+                inner[rows] = e[np.arange(len(rows)), self.place[token[rows]]] / _sums(e)
+        tiny = np.finfo(np.float32).tiny
+        return np.log(np.maximum(share, tiny)).astype(np.float64) + np.log(np.maximum(inner, tiny))
 
     def score(self, docs: list[np.ndarray], window: int = 64) -> np.ndarray:
         """The natural log-probability of each whole token sequence; states are carried from window to window."""
         out = np.zeros(len(docs))
         size = np.array([len(d) for d in docs], dtype=np.int64)
         order = np.argsort(-size, kind="stable")
+        heads, biased = self._heads(), self.p["E"] + self.p["b"]
         for a in range(0, len(order), 1024):
             own = order[a : a + 1024]
             n = size[own]
@@ -170,12 +196,12 @@ class Network:
                 states, tokens, rows = [], [], []
                 for t in range(span):
                     k = int(np.searchsorted(-lens, -t, "left"))  # those with a token at t
-                    h[:k] = self.step(last[:k], h[:k])[0]
-                    states.append(h[:k].copy())
+                    states.append(self.step(last[:k], h[:k], biased)[0])
+                    h[:k] = states[-1]
                     last[:k] = grid[:k, t]
                     tokens.append(grid[:k, t])
                     rows.append(np.arange(k))
-                logs = self.token_logs(np.concatenate(states), np.concatenate(tokens))
+                logs = self.token_logs(np.concatenate(states), np.concatenate(tokens), heads)
                 out[own] += np.bincount(np.concatenate(rows), logs, minlength=len(own))
         return out
 
@@ -230,20 +256,23 @@ class Network:
 
     def _gradients(self, ins: np.ndarray, outs: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         p, n, (B, T) = self.p, self.hidden, ins.shape
-        kept, states = [], []
+        kept, states, biased = [], np.empty((T + 1, B, n), h.dtype), p["E"] + p["b"]
+        states[0] = h
         for t in range(T):
-            before = h
-            h, z, r, c, rh = self.step(ins[:, t], h)
-            kept.append((before, z, r, c, rh))
-            states.append(h)
-        H, y = np.concatenate(states), outs.T.ravel()
-        rows = np.arange(len(y))
-        scale = np.float32(1.0 / B)
+            states[t + 1], *parts = self.step(ins[:, t], states[t], biased)
+            kept.append(parts)
+        H, y = states[1:].reshape(-1, n), outs.T.ravel()
+        scale = h.dtype.type(1.0 / B)
+
+        def off(e: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Of exponentials the softmax less one at the right place, over the runs."""
+            e *= (scale / _sums(e))[:, None]
+            e[np.arange(len(at)), at] -= scale
+            return e
+
         c = self.cls[y]
-        d = _softmax(H @ p["C"] + p["cb"])
-        d[rows, c] -= 1
-        d *= scale
-        grad = {"C": H.T @ d, "cb": d.sum(axis=0)}
+        d = off(_exp(H @ p["C"] + p["cb"], _top(p["C"], p["cb"])), c)
+        grad = {"C": H.T @ d, "cb": _sums(d.T)}
         dH = d @ p["C"].T
         gW, gb = {}, []
         order = np.argsort(c, kind="stable")
@@ -252,35 +281,46 @@ class Network:
             own = order[cuts[k] : cuts[k + 1]]
             if len(m) < 2 or not len(own):
                 continue
-            Hk, Wk = H[own], p["W"][m]
-            d = _softmax(Hk @ Wk.T + p["wb"][m])
-            d[np.arange(len(own)), self.place[y[own]]] -= 1
-            d *= scale
+            Hk, Wk, bk = H[own], p["W"][m], p["wb"][m]
+            d = off(_exp(Hk @ Wk.T + bk, _top(Wk.T, bk)), self.place[y[own]])
             gW[k] = d.T @ Hk
             gb.append(d.sum(axis=0))
             dH[own] += d @ Wk
         if gW:
             at = np.concatenate([self.members[k] for k in gW])
             grad["W"], grad["wb"] = (at, np.concatenate(list(gW.values()))), (at, np.concatenate(gb))
-        dU, dx = np.zeros_like(p["U"]), np.empty((T, B, 3 * n), np.float32)
-        back = np.zeros((B, n), np.float32)
+        dx = np.empty((T, B, 3 * n), h.dtype)
+        back = np.zeros((B, n), h.dtype)
+        dzr, dc = np.empty((B, 2 * n), h.dtype), np.empty((B, n), h.dtype)
+        dz, dr = dzr[:, :n], dzr[:, n:]
+        Uzr, Uc = np.ascontiguousarray(p["U"][:, : 2 * n].T), np.ascontiguousarray(p["U"][:, 2 * n :].T)
         for t in range(T - 1, -1, -1):
-            before, z, r, c, rh = kept[t]
-            dh = dH[t * B : (t + 1) * B] + back
-            dc = dh * z * (1 - c * c)
-            drh = dc @ p["U"][:, 2 * n :].T
-            dz, dr = dh * (c - before) * z * (1 - z), drh * before * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
+            z, r, c, _ = kept[t]
+            before = states[t]
+            dh = dH[t * B : (t + 1) * B]
+            dh += back
+            np.multiply(dh, z, out=dc)
+            dc *= 1 - c * c
+            drh = dc @ Uc
+            np.multiply(dh, c - before, out=dz)
+            dz *= z * (1 - z)
+            np.multiply(drh, before, out=dr)
+            dr *= r * (1 - r)
             dx[t, :, : 2 * n], dx[t, :, 2 * n :] = dzr, dc
-            dU[:, : 2 * n] += before.T @ dzr
-            dU[:, 2 * n :] += rh.T @ dc
-            back = dh * (1 - z) + drh * r + dzr @ p["U"][:, : 2 * n].T
-        grad["U"], grad["b"] = dU, dx.sum(axis=(0, 1))
+            dh *= 1 - z
+            drh *= r
+            back = dzr @ Uzr
+            back += dh
+            back += drh
+        flat = dx.reshape(-1, 3 * n)
+        rh = np.concatenate([k[3] for k in kept])
+        grad["U"] = np.concatenate([states[:T].reshape(-1, n).T @ flat[:, : 2 * n], rh.T @ flat[:, 2 * n :]], axis=1)
+        grad["b"] = _sums(flat.T)
         token = ins.T.ravel()
         order = np.argsort(token, kind="stable")
         used, first = np.unique(token[order], return_index=True)
-        grad["E"] = (used, np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0))
-        return grad, h
+        grad["E"] = (used, np.add.reduceat(np.take(flat, order, axis=0), first, axis=0))
+        return grad, states[T].copy()
 
 
 def text_words(column: pa.Array):
@@ -328,7 +368,7 @@ def _counts(batches):
 
 @dataclass
 class Model:
-    """What a task needs: the counts of frequent words, the totals of all words, and the network."""
+    """What tasks need: the counts of frequent words and the totals of all words; and the network."""
 
     table: Table  # word -> place in counts; the first HEAD places at most are the network's tokens
     counts: np.ndarray
@@ -338,8 +378,8 @@ class Model:
     form_total: np.ndarray  # of words that aren't
     form_distinct: np.ndarray
     ends: int  # training documents
-    network: Network
-    trained: int  # tokens that the rounds trained it on
+    network: Network | None = None
+    trained: int = 0  # tokens that the rounds trained it on
 
     def base_floor(self) -> float:
         return math.log10(self.total + 0.5 * (self.distinct + 1))
@@ -358,26 +398,71 @@ def count_words(training: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("word").agg(F.first("form").alias("form"), F.sum("n").alias("c")), "words")
 
 
-def _encode(table: Table, head: int):
-    """Tokens of texts under the network, words of the head or forms, and the end, in numbered pieces of at most PIECE."""
+_loaded: dict[str, object] = {}  # of this Python worker
+
+
+def _load(sent, name: str):
+    if name not in _loaded:
+        _loaded.clear()
+        _loaded[name] = pickle.loads(sent.value)
+    return _loaded[name]
+
+
+def _prepare(sent, name: str):
+    """Of rows (doc_id, h, text), whole texts as the network's tokens with their end, and all of a score that counts give.
+
+    ``base`` and ``inner`` leave out the counts of words that the table doesn't have: these come by a
+    join with ``rare``, which says how many times each stands in the text.
+    """
     def run(batches):
+        model: Model = _load(sent, name)
+        end = model.head
+        known_c = np.log10(model.counts + 0.5)
+        form_floor, base_floor = model.form_floor(), model.base_floor()
+        log_end = math.log10(model.ends + 0.5)
         for batch in batches:
-            out, row, part = [], [], []
             for begin, w, f, first in text_words(batch.column("text")):
-                at = table.find(w)
-                token = np.where((at >= 0) & (at < head), at, head + 1 + f).astype("<u2")
-                for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    whole = np.append(token[a:b], np.array(head, "<u2"))
-                    pieces = [whole[i : i + PIECE].tobytes() for i in range(0, len(whole), PIECE)]
-                    out += pieces
-                    row += [begin + k] * len(pieces)
-                    part += range(len(pieces))
-            for i in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array(row[i : i + 256], pa.int64())), pa.array(part[i : i + 256], pa.int32()), pa.array(out[i : i + 256], pa.binary())], names=["h", "part", "tokens"])
+                n = np.diff(first)
+                doc = np.repeat(np.arange(len(n)), n)
+                at = model.table.find(w)
+                have, in_head = at >= 0, (at >= 0) & (at < model.head)
+                token = np.where(in_head, at, end + 1 + f).astype("<u2")
+                log_c = np.where(have, known_c[np.maximum(at, 0)], 0.0)
+                sums = lambda x: np.bincount(doc, x, minlength=len(n))  # noqa: E731, B023
+                base = sums(log_c) - (n + 1) * base_floor + log_end
+                inner = sums(np.where(in_head, 0.0, log_c - form_floor[f]))
+                known = sums(have).astype(np.int64) + (1 if model.ends else 0)
+                far = np.flatnonzero(~have)
+                d, k = doc[far], w[far].view(np.int64)
+                order = np.lexsort((k, d))
+                d, k = d[order], k[order]
+                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])) if len(d) else np.zeros(0, np.int64)
+                times, cut = np.diff(np.append(new, len(d))).astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(d[new], minlength=len(n)))]).astype(np.int32)
+                whole = [np.append(t, np.array(end, "<u2")).tobytes() for t in np.split(token, first[1:-1])]
+                rows = [batch.column(c).slice(begin, len(n)) for c in ("doc_id", "h")]
+                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (k[new], times)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(n + 1), pa.array(known), pa.array(base, pa.float64()), pa.array(inner, pa.float64()), *lists, pa.array(whole, pa.binary())], names=["doc_id", "h", "n_tokens", "known", "base", "inner", "rare", "many", "tokens"])
 
     return run
 
 
+PREPARED = "doc_id long, h long, n_tokens long, known long, base double, inner double, rare array<long>, many array<int>, tokens binary"
+
+
+def _pieces(batches):
+    """Rows (h, tokens) in numbered pieces of at most PIECE tokens."""
+    for batch in batches:
+        out, row, part = [], [], []
+        for r, x in enumerate(batch.column("tokens")):
+            raw = memoryview(x.as_buffer())
+            mine = [bytes(raw[i : i + 2 * PIECE]) for i in range(0, len(raw), 2 * PIECE)]
+            out += mine
+            row += [r] * len(mine)
+            part += range(len(mine))
+        for i in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array(row[i : i + 256], pa.int64())), pa.array(part[i : i + 256], pa.int32()), pa.array(out[i : i + 256], pa.binary())], names=["h", "part", "tokens"])
+
+
 def _chunks(batches, end: int):
     """The tokens of rows in arrays of about HELD_WORDS, each headed by the token before it (the end before all)."""
     held, size, before = [], 0, np.array([end])
@@ -428,9 +513,9 @@ def _round(rows: DataFrame, network: Network, end: int, expected: float, rates:
     return parts[0].n if parts else 0
 
 
-def _train_all(network: Network, training: DataFrame, small: Table, head: int, total: int) -> int:
-    """Train on every word of ``training``, of ``total`` tokens; returns the tokens of the rounds."""
-    tokens = materialize(training.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text").mapInArrow(tidy(_encode(small, head)), "h long, part int, tokens binary").select(F.xxhash64("h", "part").alias("h"), "tokens"), "tokens")
+def _train_all(network: Network, prepared: DataFrame, head: int, total: int) -> int:
+    """Train on every token of the prepared training rows, of ``total`` tokens; returns the tokens of the rounds."""
+    tokens = materialize(prepared.select("h", "tokens").mapInArrow(tidy(_pieces), "h long, part int, tokens binary").select(F.xxhash64("h", "part").alias("h"), "tokens"), "tokens")
     share = min(1.0, START_WORDS / max(1, total))
     start = tokens.where(F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * share))
     _round(start.repartition(1), network, head, max(1, total * share), RATES[:2], START_STREAMS)
@@ -443,8 +528,8 @@ def _train_all(network: Network, training: DataFrame, small: Table, head: int, t
     return trained
 
 
-def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and all word counts of the documents of ``docs`` (doc_id, text) whose remainder() isn't 1."""
+def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model and all word counts of the documents of ``docs`` (doc_id, text) whose remainder() isn't 1, and all rows as _prepare() makes them, numbered in ``row``."""
     training = docs.where(remainder() != 1)
     words = count_words(training)
     end = np.int64(END.view(np.int64))
@@ -475,63 +560,33 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
             fd[r.form] += r.v
     np.subtract.at(ft, f[:head], c[:head])
     np.subtract.at(fd, f[:head], 1)
-    network = Network(np.concatenate([c[:head], [ends], np.maximum(ft, 0)]).astype(np.float64))
-    table = Table(keys, np.arange(len(keys)))
-    trained = _train_all(network, training, Table(keys[:head], np.arange(head)), head, total)
-    return Model(table, c, head, total, distinct, ft, fd, ends, network, trained), words
-
-
-_loaded: dict[str, Model] = {}  # of this Python worker
+    model = Model(Table(keys, np.arange(len(keys))), c, head, total, distinct, ft, fd, ends)
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # LOOKUP words
+    prepared = docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text").mapInArrow(tidy(_prepare(sent, uuid.uuid4().hex)), PREPARED)
+    prepared = materialize(prepared.withColumn("row", F.monotonically_increasing_id()), "prepared")  # rows are numbered as they are written
+    sent.destroy()
+    model.network = Network(np.concatenate([c[:head], [ends], np.maximum(ft, 0)]).astype(np.float64))
+    model.trained = _train_all(model.network, prepared.where(remainder() != 1), head, total)
+    return model, words, prepared
 
 
 def _score(sent, name: str):
+    """Of prepared rows the network's log10-probability of all their tokens, AT_ONCE of them at a time."""
     def run(batches):
-        if name not in _loaded:
-            _loaded.clear()
-            _loaded[name] = pickle.loads(sent.value)
-        model: Model = _loaded[name]
-        end = model.head
-        known_c = np.log10(model.counts + 0.5)
-        form_floor, base_floor = model.form_floor(), model.base_floor()
-        log_end = math.log10(model.ends + 0.5)
-        held: list[tuple] = []
-        words = 0
+        network: Network = _load(sent, name)
+        held, size = [], 0
 
         def flush():
-            docs = [t for _, _, ts, *_ in held for t in ts]
-            logs = model.network.score(docs) / math.log(10.0)
-            ids = pa.concat_arrays([h[0] for h in held])
-            out = [np.concatenate([h[k] for h in held]) for k in (1, 3, 4, 5)]
-            rare, many = ([x for h in held for x in h[k]] for k in (6, 7))
-            return pa.RecordBatch.from_arrays(
-                [ids, pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), pa.array(logs + out[3]), pa.array(rare, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "known", "base", "score", "rare", "many"]
-            )
+            docs = [np.frombuffer(x.as_buffer(), "<u2") for b in held for x in b.column("tokens")]
+            row, unseen = (pa.concat_arrays([b.column(k) for b in held]) for k in ("row", "inner"))
+            return pa.RecordBatch.from_arrays([row, pa.array(network.score(docs) / math.log(10.0) + unseen.to_numpy())], names=["row", "score"])
 
         for batch in batches:
-            for begin, w, f, first in text_words(batch.column("text")):
-                n = np.diff(first)
-                doc = np.repeat(np.arange(len(n)), n)
-                at = model.table.find(w)
-                have, in_head = at >= 0, (at >= 0) & (at < model.head)
-                token = np.where(in_head, at, end + 1 + f).astype(np.uint16)
-                log_c = np.where(have, known_c[np.maximum(at, 0)], 0.0)
-                sums = lambda x: np.bincount(doc, x, minlength=len(n))  # noqa: E731, B023
-                # The count part of a rare word comes by the join; what all share is added here.
-                base = sums(log_c) - (n + 1) * base_floor + log_end
-                inner = sums(np.where(in_head, 0.0, log_c - form_floor[f]))
-                known = sums(have).astype(np.int64) + (1 if model.ends else 0)
-                far = np.flatnonzero(~have)
-                d, k = doc[far], w[far].view(np.int64)
-                order = np.lexsort((k, d))
-                d, k = d[order], k[order]
-                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])) if len(d) else np.zeros(0, np.int64)
-                times, cut = np.diff(np.append(new, len(d))).astype(np.int32), np.searchsorted(d[new], np.arange(1, len(n)))
-                tokens = [np.append(t, np.uint16(end)) for t in np.split(token, first[1:-1])]
-                held.append((batch.column("doc_id").slice(begin, len(n)), n + 1, tokens, known, base, inner, np.split(k[new], cut), np.split(times, cut)))
-                words += int(n.sum()) + len(n)
-                if words >= AT_ONCE:
-                    yield flush()
-                    held, words = [], 0
+            held.append(batch)
+            size += batch.column("tokens").nbytes // 2
+            if size >= AT_ONCE:
+                yield flush()
+                held, size = [], 0
         if held:
             yield flush()
 
@@ -554,14 +609,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model, words = learn(docs)
-    sent = spark.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # LOOKUP words and a network of fixed size
-    scored = docs.mapInArrow(tidy(_score(sent, uuid.uuid4().hex)), "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, many array<int>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores")  # rows are numbered as they are written
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "many")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.many").alias("many"))
+    model, words, prepared = learn(docs)
+    sent = spark.sparkContext.broadcast(pickle.dumps(model.network, protocol=5))  # of fixed size
+    scored = materialize(prepared.select("row", "inner", "tokens").mapInArrow(tidy(_score(sent, uuid.uuid4().hex)), "row long, score double"), "scores")
+    sent.destroy()
+    rare = prepared.select("row", F.explode(F.arrays_zip("rare", "many")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.many").alias("many"))
     # Words that no training document has count 0: log10(0.5), which is added for all and corrected for those found.
     zero = math.log10(0.5)
     found = rare.join(words.select("word", "c"), "word").groupBy("row").agg(F.sum(F.col("many") * (F.log10(F.col("c") + 0.5) - F.lit(zero))).alias("more"), F.sum("many").alias("seen"))
     unseen = F.aggregate("many", F.lit(0).cast("long"), lambda a, x: a + x) * F.lit(zero) + F.coalesce("more", F.lit(0.0))
-    out = scored.select("row", "doc_id", "n_tokens", "known", "base", "score", "many").join(found, "row", "left")
+    out = prepared.select("row", "doc_id", "n_tokens", "known", "base", "many").join(scored, "row").join(found, "row", "left")
     return out.select("doc_id", (remainder() == 1).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + unseen).alias("base_score"), (F.col("score") + unseen).alias("score"))

@@ -1,6 +1,6 @@
-import struct
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -60,6 +60,46 @@ def test_training_never_sees_held_out_labels(spark, sf_dir):
     assert np.array_equal(a, b)
 
 
+def brute_features(text):
+    """FEATURES of one text, counted in plain Python over its bytes and words."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    share = lambda x, y: x / max(y, 1)
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    odd = set(b"#$%&*+<=>@[]^_{|}~\\/")
+    distinct = lambda xs: len(set(xs)) / len(xs) if xs else 1.0
+    lines = [Counter(bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.findall(rb"[^\x20\x09-\x0D]+", line)) for line in raw.split(b"\n")]
+    lines = [frozenset(x.items()) for x in lines if x]
+    n = len(words)
+    return [
+        math.log1p(len(raw)), math.log1p(n), share(sum(map(len, words)), n), share(sum(65 <= c <= 90 for c in raw), sum(map(letter, raw))), share(sum(48 <= c <= 57 for c in raw), len(raw)), share(sum(33 <= c <= 126 and not letter(c) and not 48 <= c <= 57 for c in raw), len(raw)),
+        share(sum(c in odd for c in raw), len(raw)), share(raw.count(b"!"), n), share(raw.count(b"|"), n), share(sum(c >= 128 for c in raw), len(raw)), distinct(low), share(max(Counter(low).values(), default=0), n), distinct([*zip(low, low[1:], low[2:], strict=False)]),
+        share(sum(not any(map(letter, w)) for w in words), n), share(sum(len(w) <= 2 for w in words), n), share(sum(65 <= w[0] <= 90 for w in words), n), share(n, sum(c in b".!?" for c in raw)), share(n, raw.count(b"\n") + 1), distinct(lines), share(sum(w[-1] in odd or w[-1:] == b"!" for w in words), n),
+    ]
+
+
+def brute_score(model, x):
+    """Walks the lookup tables, one entry after the other."""
+    cell = lambda edges, v: sum(v >= e for e in edges)
+    total = model.intercept + sum(float(model.tables[f][cell(model.edges[f], v)]) for f, v in enumerate(x))
+    for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+        total += float(table[cell(model.coarse[a], x[a])][cell(model.coarse[b], x[b])])
+    return 1 / (1 + math.exp(-max(-30, min(30, total))))
+
+
+def test_quality_scores_equal_brute_force(spark, sf_dir):
+    """Every row of classify(): features, bins, tables, the held-out flag and the threshold; odd rows and repeated doc_ids as well."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.train(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    extra = spark.createDataFrame([*[(-i, t) for i, (_, t) in enumerate(odd_rows(), 1)], (-1, "other text of the same doc_id"), (None, "x y z")], "doc_id long, text string")
+    rows += [(r.doc_id, r.text) for r in extra.collect()]
+    got = Q.classify(docs.select("doc_id", "text").union(extra), labels).collect()
+    want = [(i, zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 0, round(p, 7), int(p >= 0.3)) for i, t in rows for p in [brute_score(model, brute_features(t))]]
+    assert sorted(((r.doc_id, r.held_out, round(r.score, 7), r.predicted) for r in got), key=str) == sorted(want, key=str)
+
+
 # -- language model ----------------------------------------------------------------------------
 
 
@@ -138,6 +178,59 @@ def test_base_scores_equal_brute_force(odd, none, monkeypatch, lookup):
     assert L.score_documents(none).count() == 0
 
 
+def brute_network_scores(model, docs):
+    """Each text token by token in plain Python: the gates, the two softmaxes, and the share of a rarer word within its form."""
+    net, end = model.network, model.head
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    n = net.hidden
+    words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").translate(LOW).encode())
+    count = Counter(w for i, t in docs if zlib.crc32(str(i).encode() if i is not None else b"") % 5 != 1 for w in words(t))
+    place = {w: int(model.table.find(L.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])))[0]) for w in {w for _, t in docs for w in words(t)}}
+    groups = [b"aeiou", b"n", b"t", b"s", b"r", b"dgh", b"ly", b",.;:!?"]
+    form = lambda w: next((k for k, g in enumerate(groups) if w[-1] in g), len(groups)) + (len(groups) + 1) * any(c >= 128 for c in w)
+    rare = [w for w in count if not 0 <= place[w] < end]
+    of_form, kinds = Counter(), Counter(form(w) for w in rare)
+    for w in rare:
+        of_form[form(w)] += count[w]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    dot = lambda row, h, c: sum(h[i] * row[i][c] for i in range(n))
+    out = []
+    for _, t in docs:
+        h, last, total = [0.0] * n, end, 0.0
+        for w in [*words(t), None]:
+            inside = w is not None and 0 <= place[w] < end
+            token = end if w is None else place[w] if inside else end + 1 + form(w)
+            x = [e + b for e, b in zip(p["E"][last], p["b"], strict=True)]
+            z = [sigmoid(x[c] + dot(p["U"], h, c)) for c in range(n)]
+            r = [sigmoid(x[n + c] + dot(p["U"], h, n + c)) * h[c] for c in range(n)]
+            new = [math.tanh(x[2 * n + c] + dot(p["U"], r, 2 * n + c)) for c in range(n)]
+            h = [a + g * (b - a) for a, b, g in zip(h, new, z, strict=True)]
+            classes = [math.exp(dot(p["C"], h, c) + p["cb"][c]) for c in range(len(p["cb"]))]
+            own = int(net.cls[token])
+            members = [m for m in range(len(net.cls)) if net.cls[m] == own]
+            weights = [math.exp(sum(h[i] * p["W"][m][i] for i in range(n)) + p["wb"][m]) for m in members]
+            total += math.log10(classes[own] / sum(classes)) + (math.log10(weights[members.index(token)] / sum(weights)) if len(members) > 1 else 0.0)
+            if w is not None and not inside:
+                total += math.log10((count[w] + 0.5) / (of_form[form(w)] + 0.5 * (kinds[form(w)] + 1)))
+            last = token
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("lookup", [L.LOOKUP, 3])
+def test_scores_equal_an_independent_scorer(spark, sf_dir, monkeypatch, lookup):
+    """Frequent words, words beyond HEAD, words that only the join knows, words never seen, empty and null texts."""
+    monkeypatch.setattr(L, "LOOKUP", lookup)
+    monkeypatch.setattr(L, "HEAD", 40)
+    docs = [(r.doc_id, " ".join((r.text or "").split()[:60])) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(40).collect()] + [(1001, None), (1002, ""), (1003, "Ünseen wörds, never! seen")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    held, learn = [], L.learn
+    monkeypatch.setattr(L, "learn", lambda d: held.append(learn(d)) or held[-1])
+    got = {r.doc_id: r.score for r in L.score_documents(df).collect()}
+    want = brute_network_scores(held[0][0], docs)
+    assert all(abs(got[i] - s) < 2e-3 + 1e-5 * abs(s) for (i, _), s in zip(docs, want, strict=True))
+
+
 def test_scores_beat_the_base_on_held_out_texts(spark, sf_dir):
     r = L.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas()
     out = r[r.held_out]
@@ -147,7 +240,8 @@ def test_scores_beat_the_base_on_held_out_texts(spark, sf_dir):
 def test_the_network_trains_on_every_training_token(spark):
     """Far more words than START_WORDS, in more documents than were once drawn."""
     docs = spark.range(0, 12_000, 1, 4).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), (F.col("id") % 50).cast("string"), F.lit(" ")), 100).alias("text"))
-    model, _ = L.learn(docs)
+    model, _, prepared = L.learn(docs)
+    assert prepared.count() == 12_000
     assert model.total > L.START_WORDS and model.ends > 9_000
     assert model.trained == model.total
 
@@ -155,9 +249,9 @@ def test_the_network_trains_on_every_training_token(spark):
 def test_long_documents_are_dealt_in_pieces():
     """No row of the token table is longer than PIECE, and none of a long document's words is cut."""
     texts = ["a b " * 60_000, None, "b", "c " * (L.PIECE - 1), "a " * L.PIECE]
-    hashes = next(L.text_words(pa.array(["a b c"])))[1]
-    batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13, 14]), pa.array(texts, pa.string())], names=["h", "text"])
-    rows = [r for out in L._encode(L.Table(hashes, np.arange(3)), 3)([batch]) for r in out.to_pylist()]
+    tokens = [np.array(["abc".index(w) for w in (t or "").split()] + [3], "<u2").tobytes() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13, 14]), pa.array(tokens, pa.binary())], names=["h", "tokens"])
+    rows = [r for out in L._pieces([batch]) for r in out.to_pylist()]
     assert max(len(r["tokens"]) // 2 for r in rows) <= L.PIECE
     assert len({(r["h"], r["part"]) for r in rows}) == len(rows)
     for h, text in zip((10, 11, 12, 13, 14), texts, strict=True):
