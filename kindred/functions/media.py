@@ -74,22 +74,23 @@ def bit_depth(mode: Column, bits: Column | None = None, other: int = 0) -> Colum
     return table if bits is None else F.coalesce(bits, table)
 
 
-# Argument lists for decoders, where an executor has them.
-
-
 def probe_command(program: str, path: str) -> list[str]:
+    """What asks a decoder for a file's streams, where an executor has one."""
     return [program, "-v", "error", "-print_format", "json", "-show_format", "-show_streams", path]
 
 
 def scene_command(program: str, path: str, threshold: float) -> list[str]:
+    """For the times of scene cuts."""
     return [program, "-nostdin", "-i", path, "-vf", f"select='gt(scene,{threshold})',showinfo", "-an", "-f", "null", "-"]
 
 
 def frame_command(program: str, path: str, at: float, width: int = 32, height: int = 32) -> list[str]:
+    """For one gray frame."""
     return [program, "-nostdin", "-ss", f"{at:.6f}", "-i", path, "-frames:v", "1", "-vf", f"scale={width}:{height}", "-pix_fmt", "gray", "-f", "rawvideo", "-"]
 
 
 def audio_command(program: str, path: str, seconds: int) -> list[str]:
+    """For an audio fingerprint."""
     return [program, "-raw", "-json", "-length", str(seconds), path]
 
 

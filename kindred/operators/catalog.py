@@ -81,6 +81,16 @@ def journal(actions: DataFrame, more: DataFrame) -> DataFrame:
     return insert_missing(actions, more, [actions.columns[0]])
 
 
+def integrity(paths: DataFrame, versions: DataFrame, artifacts: DataFrame, scans: DataFrame) -> DataFrame:
+    """what is wrong with a catalog's tables, as (problem, id): states beyond their domain, repeated keys, references to nothing; empty for a sound one."""
+    told = lambda problem, df, c: df.select(F.lit(problem).alias("problem"), F.col(c).cast("string").alias("id"))
+    repeated = lambda df, c: df.groupBy(c).agg(F.count("*").alias("n")).where("n > 1")
+    out = told("scan status", in_domain(scans, "status", SCAN_STATUS), "scan_id").union(told("path state", in_domain(paths, "state", PATH_STATES), "path_id")).union(told("content state", in_domain(versions, "state", CONTENT_STATES), "content_version_id"))
+    out = out.union(told("repeated path", repeated(paths, "path_id"), "path_id")).union(told("repeated version", repeated(versions, "content_version_id"), "content_version_id"))
+    v = versions.select("content_version_id").distinct()
+    return out.union(told("path without content", paths.join(v, "content_version_id", "left_anti"), "path_id")).union(told("artifact without content", artifacts.join(v, "content_version_id", "left_anti"), "content_version_id"))
+
+
 def latest_complete(scans: DataFrame) -> DataFrame:
     """F3."""
     return scans.where("status = 'complete'").orderBy(F.col("finished_at").desc(), F.col("scan_id").desc()).limit(1).select("scan_id")

@@ -119,6 +119,13 @@ def without_hardlinks(files: DataFrame) -> DataFrame:
     return first_of(files.where(known), F.struct("device", "inode")).unionByName(files.where(~known))
 
 
+def scan_candidates(files: DataFrame, least_size: int = 1) -> tuple[DataFrame, DataFrame]:
+    """M2: files of at least ``least_size`` bytes, each physical file once, and the issues (path, issue) of files whose size or identity couldn't be read."""
+    known = F.col("size").isNotNull() & F.col("device").isNotNull() & F.col("inode").isNotNull()
+    issues = files.where(~known).select("path", F.when(F.col("size").isNull(), "unreadable").otherwise("no identity").alias("issue"))
+    return without_hardlinks(size_between(files.where(known), least_size)), issues
+
+
 def eligible(members: DataFrame) -> DataFrame:
     """Rows that may be marked: verified in a complete scan, incoming, not the reference, and pool unchanged for it and its keeper; ``batch_ok`` if all may."""
     ok = F.col("scan_complete") & (F.col("verification_kind") == "verified_exact") & ~F.col("is_ref") & (F.col("comparison_pool") == "incoming") & (F.col("comparison_pool") == F.col("current_pool")) & F.col("keeper_pool_unchanged")

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from kindred.functions import bits, media
+from kindred.functions import bits, media, pixels
 from kindred.operators import pictures, sequence
 from kindred.plans import views as v
 from kindred.plans.queries import query
+from kindred.shared import materialize
 
 # -- pictures ----------------------------------------------------------------------------------
 
@@ -148,6 +149,21 @@ def color_histograms(spark, sf_dir):
     return e.select("vec_id", F.array_join(bits.color_histogram(F.col("c")), ",").alias("histogram"), F.array_join(flat, ",").alias("colours"))
 
 
+@query()
+def pixel_features(spark, sf_dir):
+    """A10, C16-C18, C20, C25-C28, of pixel grids; held against plain loops in the tests."""
+    f = pixels.image_features(v.pixel_grids(spark, sf_dir))
+    kinds = F.transform("tiles", lambda t: F.struct(t["kind"], t["phash"], t["dhash"], t["box"]))
+    return f.select("id", "dimensions.w", "dimensions.h", "phashes", "dhashes", "blocks", "histogram", kinds.alias("tiles"), "jpeg_artifact_score", "thumbnail")
+
+
+@query()
+def gray_frames(spark, sf_dir):
+    """Of frames of gray values; held against plain loops in the tests."""
+    g = v.pixel_grids(spark, sf_dir).select("id", F.transform(F.slice("pixels", 1, 16), lambda row: F.transform(F.slice(row, 1, 16), lambda p: p[0].cast("double"))).alias("luma"))
+    return materialize(g, "gray").select("id", bits.dct_phash("luma").alias("phash"))
+
+
 # -- videos ------------------------------------------------------------------------------------
 
 

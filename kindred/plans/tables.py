@@ -110,6 +110,25 @@ def nested_folders(spark, sf_dir):
     return folders.suppress_nested(g)
 
 
+@query("SELECT min(l_orderkey * 10 + l_linenumber) AS file_id FROM lineitem WHERE l_quantity >= 5 AND l_suppkey % 7 <> 0 GROUP BY l_suppkey, l_partkey HAVING l_partkey % 11 <> 0 UNION ALL SELECT l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_quantity >= 5 AND l_suppkey % 7 <> 0 AND l_partkey % 11 = 0")
+def scan_candidates(spark, sf_dir):
+    """M2, B4, D24."""
+    return _scanned(spark, sf_dir)[0].select("file_id")
+
+
+@query("SELECT '/l/' || (l_orderkey * 10 + l_linenumber) AS path, 'no identity' AS issue FROM lineitem WHERE l_suppkey % 7 = 0")
+def scan_issues(spark, sf_dir):
+    """M2."""
+    return _scanned(spark, sf_dir)[1]
+
+
+def _scanned(spark, sf_dir):
+    l = v.table(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    f = l.select(key.alias("file_id"), F.concat(F.lit("/l/"), key.cast("string")).alias("path"), F.col("l_quantity").cast("long").alias("size"), F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey") + 1).alias("device"), F.when(F.col("l_partkey") % 11 == 0, 0).otherwise(F.col("l_partkey") + 1).alias("inode"))
+    return fs.scan_candidates(f, 5)
+
+
 # -- rankings ----------------------------------------------------------------------------------
 
 _ORDERS = "m AS (SELECT o_custkey AS group_id, o_orderkey AS file_id, 'f' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN ' copy' ELSE '' END || '.txt' AS name, '/' || o_orderstatus || CASE o_orderkey % 2 WHEN 0 THEN '/deep' ELSE '' END || '/f' || o_orderkey AS path, CAST(floor(o_totalprice / 10000) AS BIGINT) AS size, o_orderkey % 10 = 0 AS is_ref FROM orders), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY is_ref DESC, size DESC, file_id) - 1 AS INT) AS rank FROM m)"
@@ -367,6 +386,18 @@ def change_ids(spark, sf_dir):
     return report.change_records(catalog.scan_changes(*v.snapshots(spark, sf_dir)), 1, 2).select("change_id", "path_key")
 
 
+@query("""SELECT 'scan status' AS problem, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 100 = 3 UNION ALL SELECT 'path state', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 100 = 5 UNION ALL SELECT 'content state', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 100 = 7
+UNION ALL SELECT 'repeated path', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 100 = 9 UNION ALL SELECT 'path without content', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 100 = 11 UNION ALL SELECT 'artifact without content', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 100 = 11""")
+def catalog_problems(spark, sf_dir):
+    """F21."""
+    k = F.col("o_orderkey")
+    o = v.table(spark, sf_dir, "orders")
+    odd = lambda at, good: F.when(k % 100 == at, "odd").otherwise(good)
+    paths = o.select(k.alias("path_id"), k.alias("content_version_id"), odd(5, "active").alias("state"))
+    versions = o.where(k % 100 != 11).select(k.alias("content_version_id"), odd(7, "stable").alias("state"))
+    return catalog.integrity(paths.union(paths.where("path_id % 100 = 9")), versions, o.select(k.alias("content_version_id")), o.select(k.alias("scan_id"), odd(3, "complete").alias("status")))
+
+
 # -- groups and datasets -----------------------------------------------------------------------
 
 def _edges(spark, sf_dir):
@@ -512,8 +543,8 @@ def state_policy(spark, sf_dir):
 def table_backup(spark, sf_dir):
     """A copy under a new path, read back."""
     path = _path(spark, "backup")
-    documents.backup(v.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), path)
-    return spark.read.parquet(path)
+    documents.backup(v.table(spark, sf_dir, "customer"), path)
+    return documents.open_catalog(spark, path, ["c_custkey", "c_name", "c_nationkey"])
 
 
 @query("SELECT o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'cached' ELSE 'computed' END AS origin FROM orders")

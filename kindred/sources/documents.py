@@ -98,6 +98,14 @@ def backup(table: DataFrame, path: str) -> None:
     table.write.mode("errorifexists").parquet(path)
 
 
+def open_catalog(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A table of a catalog for reading; an error unless it has the columns."""
+    df = spark.read.parquet(path)
+    if missing := sorted(set(columns) - set(df.columns)):
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return df.select(*columns)
+
+
 def cached(files: DataFrame, cache: DataFrame, keys: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
     """Files with values that a cache holds for their whole generation key, and files that must be computed."""
     same = files.join(cache.select(*keys, *values), keys, "left")

@@ -1,10 +1,13 @@
+import re
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from kindred.__main__ import main
 from kindred.functions.tags import audio_tags, tags
 from kindred.operators import video
+from kindred.sources import documents
 
 
 def frame(name, text, size=lambda n: struct.pack(">I", n)):
@@ -63,4 +66,14 @@ def test_commands(spark, tmp_path, capsys):
     assert len(plan) == 1 and plan[0].reference.endswith("a.txt")
     assert main(["query", f"{out}/groups", "--path", str(src / "b.txt")], spark) == 0
     assert "b.txt" in capsys.readouterr().out
+    assert main(["groups", f"{out}/groups"], spark) == 0
+    assert capsys.readouterr().out.count("sha256:") == 2
+    assert main(["backup", f"{out}/groups", str(tmp_path / "copy")], spark) == 0
+    assert documents.open_catalog(spark, str(tmp_path / "copy"), ["group_id", "path"]).count() == 2
+    with pytest.raises(ValueError):
+        documents.open_catalog(spark, str(tmp_path / "copy"), ["group_id", "colour"])
+    spark.createDataFrame([("pending",), ("failed",), ("pending",)], "status string").write.parquet(str(tmp_path / "items"))
+    capsys.readouterr()
+    assert main(["status", str(tmp_path / "items")], spark) == 0
+    assert re.search(r"2\|\s*0\|\s*0\|\s*1\|\s*3", capsys.readouterr().out)
     assert main(["doctor"], spark) == 0
