@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from kindred.shared import materialize
+
 #: Phrases that count only where their words stand consecutively, and their labels.
 PHRASES = (
     ("cc by", "cc-by"),
@@ -23,6 +25,8 @@ NOTICES = (
 NOTICE_SHARE = 0.75
 #: Diagonals at most so far apart are one span: words may be missing or put in.
 SLACK = 2
+#: Stands behind a text's last word, where its place says how many words there are; no word, as words have no such character.
+END = "\0"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -37,8 +41,9 @@ def words(text: Column) -> Column:
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(g, w1, w2, tpos, template, label, exact, pairs): every rolling pair of template words; as many rows as templates have words."""
+    """(g, w1, w2, tpos, template, label, exact, pairs): every rolling pair of template words, and the end of a text; as many rows as templates have words."""
     rows = [(a, b, i, t, label, exact, len(w) - 1) for t, (text, label, exact) in enumerate([(*x, True) for x in phrases] + [(*x, False) for x in notices]) for w in [text.split()] for i, (a, b) in enumerate(zip(w, w[1:], strict=False))]
+    rows.append((END, END, 0, -1, None, False, 0))
     made = spark.createDataFrame(rows, "w1 string, w2 string, tpos int, template int, label string, exact boolean, pairs int")
     return made.select(F.xxhash64("w1", "w2").alias("g"), "*")
 
@@ -59,10 +64,13 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
-    placed = base.where(F.size("words") > 1).select("doc_id", "version", "words", F.posexplode("words").alias("pos", "w1"))
-    pairs = placed.where(F.col("pos") < F.size("words") - 1).select("doc_id", "version", "pos", "w1", F.element_at("words", F.col("pos") + 2).alias("w2")).withColumn("g", F.xxhash64("w1", "w2"))
+    placed = base.select("doc_id", "version", "words", F.posexplode(F.concat("words", F.array(F.lit(END)))).alias("pos", "w1")).where(F.col("pos") != F.size("words") - 1)
+    after = F.when(F.col("pos") < F.size("words"), F.get("words", F.col("pos") + 1)).otherwise(F.lit(END))
+    pairs = placed.select("doc_id", "version", "pos", "w1", after.alias("w2")).withColumn("g", F.xxhash64("w1", "w2"))
     t = F.broadcast(templates(spark, phrases, notices))
-    votes = pairs.join(t, (pairs.g == t.g) & (pairs.w1 == t.w1) & (pairs.w2 == t.w2)).select("doc_id", "version", "pos", "tpos", "template", "label", "exact", "pairs")
+    # One pass over the texts: the votes, and one row a text for its end.
+    found = materialize(pairs.join(t, (pairs.g == t.g) & (pairs.w1 == t.w1) & (pairs.w2 == t.w2)).select("doc_id", "version", "pos", "tpos", "template", "label", "exact", "pairs"), "votes")
+    votes, sizes = found.where("template >= 0"), found.where("template < 0").select("doc_id", "version", F.col("pos").cast("long").alias("n_words"))
     # A text given twice votes twice: distinct pairs count.
     each = votes.withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy("doc_id", "version", "template", "label", "exact", "pairs", "diagonal").agg(F.collect_set("tpos").alias("hit"), F.min("pos").alias("start"), F.max("pos").alias("stop"))
     order = Window.partitionBy("doc_id", "version", "template").orderBy("diagonal")
@@ -81,6 +89,5 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame
         F.sort_array(F.collect_list(F.when(F.col("whole"), F.struct("label", "start", "end")))).alias("spans"),
     )
     found = found.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
-    sizes = base.select("doc_id", "version", F.size("words").cast("long").alias("n_words"))
     out = sizes.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("spans", F.array().cast("array<struct<label:string,start:int,end:int>>")).alias("spans"))
