@@ -35,7 +35,7 @@ def exact_group_members(spark, sf_dir):
 
 @query(_W + v.GROUPS + " SELECT group_id, file_id, size, digest, members, first_id FROM m")
 def exact_staged(spark, sf_dir):
-    return exact.exact_groups(v.files(spark, sf_dir), staged=True, big=1 << 20)
+    return exact.exact_groups(v.files(spark, sf_dir), staged=True, big=1000)
 
 
 @query(_W + v.GROUPS + " SELECT group_id, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM m GROUP BY group_id")
@@ -190,19 +190,19 @@ def folder_manifests(spark, sf_dir):
     return folders.folder_digests(f.select("path", "size", digests.content_digest(F.col("content")).alias("digest")))
 
 
-_TREE = """l AS (SELECT *, '/s' || l_suppkey AS f1, '/s' || l_suppkey || '/' || l_returnflag || l_linestatus AS f2 FROM (SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus, l_quantity::INT AS q FROM lineitem)),
+_TREE = """l AS (SELECT *, '/p' || l_partkey AS f1, '/p' || l_partkey || '/' || l_returnflag || l_linestatus AS f2 FROM (SELECT DISTINCT l_partkey, l_returnflag, l_linestatus, l_quantity::INT % 3 AS q FROM lineitem)),
 a AS (SELECT f2 AS folder, f1, count(*) AS size, sha256(string_agg(sha256(CAST(q AS VARCHAR)), '' ORDER BY f2 || '/' || q)) AS digest FROM l GROUP BY ALL),
 b AS (SELECT f1 AS folder, CAST(sum(size) AS BIGINT) AS size, sha256(string_agg(digest, '' ORDER BY folder)) AS digest FROM a GROUP BY f1),
-u AS (SELECT folder, size, digest, false AS is_ref FROM a UNION ALL SELECT folder, size, digest, false FROM b),
+u AS (SELECT folder, size, digest FROM a UNION ALL SELECT folder, size, digest FROM b),
 g AS (SELECT size || ':' || digest AS group_id, folder FROM u QUALIFY count(*) OVER (PARTITION BY size, digest) > 1),
-n AS (SELECT group_id, folder, EXISTS (SELECT 1 FROM g h WHERE g.folder LIKE h.folder || '/%') AS nested FROM g)"""
+n AS (SELECT group_id, folder, folder LIKE '/%/%' AND regexp_extract(folder, '^/[^/]+') IN (SELECT folder FROM g) AS nested FROM g)"""
 
 
 @query(_W + _TREE + " SELECT group_id, folder FROM n WHERE group_id NOT IN (SELECT group_id FROM n GROUP BY group_id HAVING bool_and(nested))")
 def folder_manifest_groups(spark, sf_dir):
-    """Suppliers as folders, of their line items' flags as folders, of quantities as files."""
-    l = v.table(spark, sf_dir, "lineitem").select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("flags"), F.col("l_quantity").cast("int").cast("string").alias("q")).distinct()
-    f = l.select(F.concat(F.lit("/s"), F.col("l_suppkey").cast("string"), F.lit("/"), "flags", F.lit("/"), "q").alias("path"), F.lit(1).cast("long").alias("size"), F.sha2("q", 256).alias("digest"))
+    """Parts as folders, of their line items' flags as folders, of quantities by thirds as files."""
+    l = v.table(spark, sf_dir, "lineitem").select("l_partkey", F.concat("l_returnflag", "l_linestatus").alias("flags"), (F.col("l_quantity").cast("int") % 3).cast("string").alias("q")).distinct()
+    f = l.select(F.concat(F.lit("/p"), F.col("l_partkey").cast("string"), F.lit("/"), "flags", F.lit("/"), "q").alias("path"), F.lit(1).cast("long").alias("size"), F.sha2("q", 256).alias("digest"))
     g = exact.manifest_groups(folders.folder_digests(f).withColumn("is_ref", F.lit(False))).withColumn("group_id", F.concat_ws(":", F.col("size").cast("string"), "digest"))
     return folders.suppress_nested(g.select("group_id", "folder"))
 
@@ -251,11 +251,11 @@ def similar_word_match(spark, sf_dir):
     return match.matches(o, 50, text.compare_similar, similar=merged)
 
 
-@query(_W + "names AS (SELECT min(p_partkey) AS id, p_type || ' - ' || p_name AS name, string_split(lower(p_type || ' ' || p_name), ' ') AS words, string_split(lower(p_type), ' ') AS f1, string_split(lower(p_name), ' ') AS f2 FROM part GROUP BY p_type, p_name), " + "x AS (SELECT a.id AS first_id, b.id AS second_id, a.f1 AS a1, a.f2 AS a2, b.f1 AS b1, b.f2 AS b2 FROM names a JOIN names b ON a.id < b.id AND len(list_intersect(a.words, b.words)) > 0), y AS (SELECT *, " + ", ".join(f"CAST(round_even(200.0 * coalesce(list_sum(list_transform(list_distinct(a{k}), lambda x: least(len(list_filter(a{k}, lambda y: y = x)), len(list_filter(b{k}, lambda y: y = x))))), 0) / (len(a{k}) + len(b{k})), 0) AS INT) AS p{k}" for k in (1, 2)) + " FROM x) SELECT first_id, second_id, least(CASE WHEN p1 = 100 AND a1 <> b1 THEN 99 ELSE p1 END, CASE WHEN p2 = 100 AND a2 <> b2 THEN 99 ELSE p2 END) AS percentage FROM y WHERE least(CASE WHEN p1 = 100 AND a1 <> b1 THEN 99 ELSE p1 END, CASE WHEN p2 = 100 AND a2 <> b2 THEN 99 ELSE p2 END) >= 50")
+@query(_W + "names AS (SELECT min(p_partkey) AS id, p_type || ' - ' || p_name AS name, string_split(lower(p_type || ' ' || p_name), ' ') AS words, string_split(lower(p_type), ' ') AS f1, string_split(lower(p_name), ' ') AS f2 FROM part GROUP BY p_type, p_name), " + _POSTINGS.format("names") + ", " + "s AS (SELECT DISTINCT l.id AS i, r.id AS j FROM u l JOIN u r ON l.word = r.word AND l.id < r.id), x AS (SELECT i AS first_id, j AS second_id, a.f1 AS a1, a.f2 AS a2, b.f1 AS b1, b.f2 AS b2 FROM s JOIN names a ON a.id = i JOIN names b ON b.id = j), y AS (SELECT *, " + ", ".join(f"CAST(round_even(200.0 * coalesce(list_sum(list_transform(list_distinct(a{k}), lambda x: least(len(list_filter(a{k}, lambda y: y = x)), len(list_filter(b{k}, lambda y: y = x))))), 0) / (len(a{k}) + len(b{k})), 0) AS INT) AS p{k}" for k in (1, 2)) + " FROM x) SELECT first_id, second_id, least(CASE WHEN p1 = 100 AND a1 <> b1 THEN 99 ELSE p1 END, CASE WHEN p2 = 100 AND a2 <> b2 THEN 99 ELSE p2 END) AS percentage FROM y WHERE least(CASE WHEN p1 = 100 AND a1 <> b1 THEN 99 ELSE p1 END, CASE WHEN p2 = 100 AND a2 <> b2 THEN 99 ELSE p2 END) >= 50")
 def field_match_pairs(spark, sf_dir):
     p = v.table(spark, sf_dir, "part").groupBy("p_type", "p_name").agg(F.min("p_partkey").alias("id"))
     o = p.select("id", text.fields(F.concat("p_type", F.lit(" - "), "p_name")).alias("fields"))
-    return match.matches(o.withColumn("words", F.flatten("fields")), 50, text.compare_fields, column="fields", common=1 << 30, guard=False)
+    return match.matches(o.withColumn("words", F.flatten("fields")), 50, text.compare_fields, column="fields")
 
 
 _PASSAGE = words_sql("strip_accents(text)")
