@@ -59,14 +59,19 @@ def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Give memory that a Python process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run):
     """A function over batches that gives what it no longer needs back to the system at its end: Python workers live on between stages."""
     @functools.wraps(run)
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
 
     return wrapped
 
