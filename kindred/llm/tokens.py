@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from kindred.llm.words import HEAD, SPACE, U, eights, padded, same_bytes, text_bytes, word_hashes
+from kindred.shared import trim
 
 
 def public_path(name: str) -> str:
@@ -20,6 +21,8 @@ def public_path(name: str) -> str:
 
 #: Words kept with their ids in each Python worker (at most 2**SLOT_BITS places hold them); beyond, those met least often are forgotten.
 CACHED_WORDS, SLOT_BITS = 500_000, 20
+#: Bytes of words that are kept; beyond, words are forgotten likewise.
+CACHED_BYTES = 16 << 20
 #: Bytes of text that are encoded at once.
 AT_ONCE = 1 << 19
 #: Stands between words that are encoded together; words with it are encoded alone.
@@ -95,6 +98,8 @@ class Encoder:
             self.ends[[k for w, k in vocab.items() if w.endswith(suffix)]] = True
         self.fast = self._letters_only(Tokenizer) if suffix else None
         self._reset()
+        del vocab
+        trim()  # what reading the file left behind
 
     def _letters_only(self, kind):
         """The same model for words of _BARE between spaces, which the known normalisers and pre-tokenizers leave as they are."""
@@ -111,8 +116,7 @@ class Encoder:
         self.slots, self.known = Slots(SLOT_BITS), 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.text, self.written = np.zeros(1 << 16, dtype=np.uint8), 0  # the bytes of all words, one after the other
-        self.begin, self.size, self.hits, self.at, self.wide = (np.zeros(1 << 14, dtype=np.int64) for _ in range(5))
-        self.keys, self.checks = (np.zeros(1 << 14, dtype=U) for _ in range(2))
+        self.begin, self.size, self.hits, self.at, self.wide = (np.zeros(1 << 14, dtype=np.int32) for _ in range(5))
 
     def _store(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, place: np.ndarray, sizes: np.ndarray, low: np.ndarray, at: np.ndarray, wide: np.ndarray, hits: int = 0) -> None:
         """Add words with their ids (``sizes`` from ``place`` of ``ids`` on) and their bytes (``wide`` from ``at`` of ``low`` on)."""
@@ -120,21 +124,24 @@ class Encoder:
         grow = lambda x, least: x if least <= len(x) else np.concatenate([x, np.zeros(max(len(x), least - len(x)), dtype=x.dtype)])
         total = int(ends[-1]) if len(ends) else 0
         self.flat, self.text = grow(self.flat, self.used + len(ids)), grow(self.text, self.written + total + 8)
-        self.begin, self.size, self.hits, self.at, self.wide, self.keys, self.checks = (grow(x, n) for x in (self.begin, self.size, self.hits, self.at, self.wide, self.keys, self.checks))
+        self.begin, self.size, self.hits, self.at, self.wide = (grow(x, n) for x in (self.begin, self.size, self.hits, self.at, self.wide))
         self.flat[self.used : self.used + len(ids)] = ids
         self.text[self.written : self.written + total] = low[np.arange(total) + np.repeat(at - (ends - wide), wide)]
         new = slice(self.known, n)
-        self.begin[new], self.size[new], self.hits[new], self.at[new], self.wide[new], self.keys[new], self.checks[new] = self.used + place, sizes, hits, self.written + ends - wide, wide, keys, checks
+        self.begin[new], self.size[new], self.hits[new], self.at[new], self.wide[new] = self.used + place, sizes, hits, self.written + ends - wide, wide
         self.slots.add(keys, checks, np.arange(self.known, n, dtype=np.int32))
         self.known, self.used, self.written = n, self.used + len(ids), self.written + total
 
     def _shrink(self) -> None:
-        """Forget the words that were met least often."""
+        """Forget the words that were met least often, and of words that are long all but the most frequent ones."""
         hits, least = self.hits[: self.known], 2
-        while np.count_nonzero(hits >= least) > CACHED_WORDS // 2:
+        while (often := hits >= least).any() and (np.count_nonzero(often) > CACHED_WORDS // 2 or int(self.wide[: self.known][often].sum(dtype=np.int64)) > CACHED_BYTES // 2):
             least += 1
-        keep = np.flatnonzero(hits >= least)
-        keys, checks, begin, size, flat, text, at, wide = self.keys[keep], self.checks[keep], self.begin[keep], self.size[keep], self.flat, self.text, self.at[keep], self.wide[keep]
+        keep = np.flatnonzero(often)
+        number, slot = np.unique(self.slots.values, return_index=True)
+        slot = slot[np.searchsorted(number, keep)]
+        keys, checks = self.slots.keys[slot], self.slots.checks[slot]
+        begin, size, flat, text, at, wide = self.begin[keep].astype(np.int64), self.size[keep].astype(np.int64), self.flat, self.text, self.at[keep].astype(np.int64), self.wide[keep].astype(np.int64)
         self._reset()
         if len(keep):
             place = np.cumsum(size) - size
@@ -183,7 +190,7 @@ class Encoder:
     def _encode(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         if not len(raw):
             return [np.zeros(0, dtype=np.uint32)] * (len(at) - 1)
-        if self.known > CACHED_WORDS:
+        if self.known > CACHED_WORDS or self.written > CACHED_BYTES:
             self._shrink()
         solid = ~SPACE[raw]
         edge = np.zeros(len(raw) + 1, dtype=bool)  # before a byte: another word or text begins
@@ -211,7 +218,7 @@ class Encoder:
         sized = self.wide[place[had]] == length[had]
         alone[had[~sized]] = True
         had = had[sized & (length[had] > 7)]
-        alone[had[~same_bytes(low, starts[had], self.text, self.at[place[had]], length[had])]] = True
+        alone[had[~same_bytes(low, starts[had], self.text, self.at[place[had]].astype(np.int64), length[had])]] = True
         place[alone] = 0
         new = np.flatnonzero(place < 0)
         if len(new):
@@ -234,7 +241,7 @@ class Encoder:
             ids, where, sizes = self._encode_words([exact[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
             place[own] = self.known + np.arange(len(own))
             begin, size, flat = np.concatenate([begin[: self.known], self.used + where]), np.concatenate([size[: self.known], sizes]), np.concatenate([flat[: self.used], ids])
-        n = size[place]
+        n = size[place].astype(np.int64)
         stops = np.cumsum(n)
         total = int(stops[-1]) if len(stops) else 0
         ids = flat[np.arange(total) + np.repeat(begin[place] - (stops - n), n)]

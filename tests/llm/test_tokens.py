@@ -54,6 +54,12 @@ def test_cached_encoding_equals_the_library(tokenizer, monkeypatch):
     small = tokens.Encoder(tokenizer)
     for _ in range(2):
         assert [x.tolist() for x in small.encode(texts)] == want
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 10**6)
+    monkeypatch.setattr(tokens, "CACHED_BYTES", 300)
+    short = tokens.Encoder(tokenizer)
+    for _ in range(3):
+        assert [x.tolist() for x in short.encode(texts)] == want
+    assert short.written < 20_000 or len(max("".join(t or "" for t in texts).split(), key=len)) > 20_000
 
 
 def test_words_of_one_hash_are_told_apart(tokenizer, monkeypatch):
