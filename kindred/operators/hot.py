@@ -15,11 +15,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
     Hot groups are at most PARTS by their sizes, so they are broadcast and their rows stay where
     they are; the rest is shuffled, and no key of it has more than a PARTS-th of all rows. Null
-    keys meet nothing. ``rows`` is read twice.
+    keys meet nothing. Where there are hot groups, ``rows`` is read twice; ``groups`` is read
+    several times, so it should be a written table.
     """
-    hot = F.broadcast(groups.where(F.col(size) * PARTS >= total))
+    hot = groups.where(F.col(size) * PARTS >= total)
+    if not hot.limit(1).count():
+        return rows.join(groups, keys, how)
     cold = groups.where(F.col(size) * PARTS < total)
-    return rows.join(hot, keys, "inner").unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
+    return rows.join(F.broadcast(hot), keys, "inner").unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
 
 
 def running_sums(df: DataFrame, sums: dict[str, str], order: list[str], span: Column, by: tuple[str, ...] = ()) -> DataFrame:
