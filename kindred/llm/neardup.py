@@ -291,10 +291,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     classes = reps.select("digest", "rep", "doc.doc_id", "members").join(component.withColumnRenamed("member_id", "rep"), "rep", "left").join(degree, "rep", "left")
     classes = materialize(classes.select("digest", "members", F.col("doc_id").alias("own"), "component_id", F.coalesce("links", F.lit(0)).alias("links")), "labels")
     # A component is named by its smallest doc_id.
-    names = classes.where("component_id is not null").groupBy("component_id").agg(F.min("own").alias("name"), F.count("*").alias("n"))
+    names = materialize(classes.where("component_id is not null").groupBy("component_id").agg(F.min("own").alias("name"), F.count("*").alias("n")), "names", small=True)
     named = join_groups(classes, names, ["component_id"], "n", classes.count()).select("digest", "members", F.coalesce("name", "own").alias("component_id"), "links")
     answers = materialize(named, "answers")
-    discard(classes, component)
+    discard(classes, component, names)
     rows = sets.select("doc_id", "version", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     out = join_groups(rows, answers, ["digest"], "members", sets.count())
     component = F.coalesce("component_id", "doc_id")
