@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Only where spark.checkpoint.dir is unset and Spark runs on this machine alone, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: An Arrow batch ends with the row that brings it to so many bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,10 +66,24 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def tidy(run):
-    """A function over batches that gives what it no longer needs back to the system at its end: Python workers live on between stages."""
+#: What a Python worker keeps from task to task, by its use: tables of an encoder, a loaded model.
+KEPT: dict[str, dict] = {}
+
+
+def forget(use: str | None) -> None:
+    """Drop what KEPT has of any other use; a function of this module, so that it is the worker's own KEPT."""
+    for other in [k for k in KEPT if k != use]:
+        del KEPT[other]
+
+
+def tidy(run, use: str | None = None):
+    """A function over batches that gives what it no longer needs back to the system: Python workers live on between stages.
+
+    At its start it drops what tasks of another ``use`` have left in KEPT, at its end it trims the process.
+    """
     @functools.wraps(run)
     def wrapped(batches):
+        forget(use)
         yield from run(batches)
         trim()
 
