@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.quality import remainder
 from kindred.llm.words import CHUNK, LOWER, U, text_bytes, word_hashes, word_spans
-from kindred.shared import bound_batches, discard, materialize, tidy
+from kindred.shared import KEPT, bound_batches, discard, materialize, tidy
 
 #: Words that the network tells apart; all others are told apart within their form by their counts.
 HEAD = 2047
@@ -398,14 +398,16 @@ def count_words(training: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("word").agg(F.first("form").alias("form"), F.sum("n").alias("c")), "words")
 
 
-_loaded: dict[str, object] = {}  # of this Python worker
+#: The use of tasks that hold a model, as tidy() has it.
+USE = "language model"
 
 
 def _load(sent, name: str):
-    if name not in _loaded:
-        _loaded.clear()
-        _loaded[name] = pickle.loads(sent.value)
-    return _loaded[name]
+    held = KEPT.setdefault(USE, {})
+    if name not in held:
+        held.clear()
+        held[name] = pickle.loads(sent.value)
+    return held[name]
 
 
 def _prepare(sent, name: str):
@@ -562,7 +564,7 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     np.subtract.at(fd, f[:head], 1)
     model = Model(Table(keys, np.arange(len(keys))), c, head, total, distinct, ft, fd, ends)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # LOOKUP words
-    prepared = docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text").mapInArrow(tidy(_prepare(sent, uuid.uuid4().hex)), PREPARED)
+    prepared = docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text").mapInArrow(tidy(_prepare(sent, uuid.uuid4().hex), USE), PREPARED)
     prepared = materialize(prepared.withColumn("row", F.monotonically_increasing_id()), "prepared")  # rows are numbered as they are written
     sent.destroy()
     model.network = Network(np.concatenate([c[:head], [ends], np.maximum(ft, 0)]).astype(np.float64))
@@ -611,7 +613,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model, words, prepared = learn(docs)
     sent = spark.sparkContext.broadcast(pickle.dumps(model.network, protocol=5))  # of fixed size
-    scored = materialize(prepared.select("row", "inner", "tokens").mapInArrow(tidy(_score(sent, uuid.uuid4().hex)), "row long, score double"), "scores")
+    scored = materialize(prepared.select("row", "inner", "tokens").mapInArrow(tidy(_score(sent, uuid.uuid4().hex), USE), "row long, score double"), "scores")
     sent.destroy()
     rare = prepared.select("row", F.explode(F.arrays_zip("rare", "many")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.many").alias("many"))
     # Words that no training document has count 0: log10(0.5), which is added for all and corrected for those found.

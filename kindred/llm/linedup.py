@@ -8,7 +8,7 @@ from kindred.shared import materialize
 WHITE = " \t\n\x0b\x0c\r"
 #: The letters that a key has in lower case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Positions of at most so many dropped lines are sent to all executors (16 MB); more are joined by a shuffle.
+#: Positions of at most so many dropped lines, and names of their rows, are sent to all executors (about 100 MB); more are joined by a shuffle.
 SEND = 2_000_000
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.llm.tokens import encoder
+from kindred.llm.tokens import USE, encoder
 from kindred.operators.hot import running_sums
 from kindred.shared import bound_batches, materialize, tidy
 
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, target: dict[str, flo
     """
     bound_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64("text").alias("version"))
-    tokens = named.mapInArrow(tidy(_tokens(tokenizer, end_id)), "doc_id long, source string, version long, n long, ids binary")
+    tokens = named.mapInArrow(tidy(_tokens(tokenizer, end_id), USE), "doc_id long, source string, version long, n long, ids binary")
     tokens = materialize(tokens.withColumn("row", F.monotonically_increasing_id()), "ids")
     # Rows that repeat doc_id and text hash alike: many of them are dealt out one by one, which is the same whichever goes where.
     many = materialize(tokens.groupBy("doc_id", "version").agg(F.count("*").alias("copies")).where(F.col("copies") > COPIES), "copies", small=True)

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm import simple8b
-from kindred.llm.tokens import encoder
+from kindred.llm.tokens import USE, encoder
 from kindred.operators.hot import running_sums
 from kindred.shared import bound_batches, materialize, tidy
 
@@ -82,7 +82,7 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"), F.monotonically_increasing_id().alias("row"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = docs.repartitionByRange(max(1, -(-size // SHARD_BYTES), docs.sparkSession.sparkContext.defaultParallelism), "doc_id", "version", "row").sortWithinPartitions("doc_id", "version", "row").select("doc_id", "text")
-    return materialize(ordered.mapInArrow(tidy(_write(tokenizer, end_id)), "shard int, block long, doc_ids array<long>, n_ids long, data binary"), "tokens")
+    return materialize(ordered.mapInArrow(tidy(_write(tokenizer, end_id), USE), "shard int, block long, doc_ids array<long>, n_ids long, data binary"), "tokens")
 
 
 def read_token_file(blocks: DataFrame) -> DataFrame:

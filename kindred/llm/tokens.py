@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from kindred.llm.words import HEAD, SPACE, U, eights, padded, same_bytes, text_bytes, word_hashes
-from kindred.shared import trim
+from kindred.shared import KEPT, trim
 
 
 def public_path(name: str) -> str:
@@ -24,7 +24,7 @@ CACHED_WORDS, SLOT_BITS = 500_000, 20
 #: Bytes of words that are kept; beyond, words are forgotten likewise.
 CACHED_BYTES = 16 << 20
 #: Bytes of text that are encoded at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
 #: Stands between words that are encoded together; words with it are encoded alone.
 MARK = "`"
 #: Words of ASCII and Latin-1 letters, in lower case alone and with the capitals that are left.
@@ -248,11 +248,13 @@ class Encoder:
         return np.split(ids, np.concatenate([[0], stops])[first[1:-1]])
 
 
-_encoders: dict[str, Encoder] = {}
+#: The use of tasks that encode, as tidy() has it.
+USE = "encoder"
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each file and Python worker, as long as the worker's tasks encode."""
+    held = KEPT.setdefault(USE, {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]

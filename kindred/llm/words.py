@@ -15,7 +15,7 @@ SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes hashed at once, so that the 64-bit temporaries stay small.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: The bytes that count of eight, where so many are left.
 HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 

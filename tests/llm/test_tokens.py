@@ -80,6 +80,29 @@ def test_words_of_one_hash_are_told_apart(tokenizer, monkeypatch):
     assert [e.tolist() for e in tokens.Encoder(tokenizer).encode(texts)] == want
 
 
+def test_workers_keep_an_encoder_only_while_they_encode(spark, tokenizer):
+    """One worker encodes twice and keeps the encoder in between; a task of another use drops it."""
+    import pyarrow as pa
+
+    from kindred import shared
+
+    def told(use):
+        def run(batches):
+            from kindred import shared as own
+
+            had = [k for k, v in own.KEPT.items() if v]
+            if use:
+                tokens.encoder(tokenizer)
+            for _ in batches:
+                yield pa.RecordBatch.from_pydict({"had": [",".join(had)]})
+
+        return run
+
+    seen = lambda use: spark.range(0, 1, 1, 1).mapInArrow(shared.tidy(told(use), use), "had string").first()[0]
+    first, second, other, third = seen(tokens.USE), seen(tokens.USE), seen(None), seen(tokens.USE)
+    assert second in ("", tokens.USE) and other == "" and third in ("", tokens.USE)
+
+
 # -- token files -------------------------------------------------------------------------------
 
 
