@@ -92,7 +92,7 @@ def read_token_file(blocks: DataFrame) -> DataFrame:
     """
     bound_batches(blocks.sparkSession)
     starts = running_sums(blocks.select("shard", "block", "n_ids"), {"base": "n_ids"}, ["shard", "block"], F.floor(F.col("shard") / SPAN)).select(F.col("shard").alias("s"), F.col("block").alias("b"), "base")
-    rows = blocks.select("shard", "block", "doc_ids", "data").mapInArrow(tidy(_read), "shard int, block long, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    rows = blocks.select("shard", "block", "doc_ids", "data").mapInArrow(tidy(_read, USE), "shard int, block long, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return rows.join(starts, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 

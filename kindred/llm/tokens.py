@@ -20,7 +20,7 @@ def public_path(name: str) -> str:
 
 
 #: Words kept with their ids in each Python worker (at most 2**SLOT_BITS places hold them); beyond, those met least often are forgotten.
-CACHED_WORDS, SLOT_BITS = 220_000, 19
+CACHED_WORDS, SLOT_BITS = 350_000, 20
 #: Bytes of words that are kept; beyond, words are forgotten likewise.
 CACHED_BYTES = 16 << 20
 #: Bytes of text that are encoded at once.
