@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kindred.functions.digests import action_id, split_of, unit_id
 from kindred.functions.text import extension, file_name, without_extension
 from kindred.operators.groups import dataset_clusters
-from kindred.shared import materialize
+from kindred.shared import discard, materialize
 
-#: Assets, and distances between them, of one selection with diversity, which is sequential by nature.
+#: Assets, and distances between them, up to which one task makes a whole selection with diversity; beyond, each step is a job of its own.
 MOST_DIVERSE, MOST_DISTANCES = 50_000, 5_000_000
 
 
@@ -95,14 +95,38 @@ def greedy_diverse(ids: list, score: list[float], near: dict, weight: float, slo
     return out
 
 
+def _diverse_steps(df: DataFrame, distances: DataFrame, weight: float, slots: int) -> DataFrame:
+    """greedy_diverse() of assets (asset_id, quality) in a job for each step; of the distances, only those to the asset just chosen are read out, and nothing but the chosen assets goes to the driver."""
+    left = materialize(df.withColumn("far", F.lit(0.0)), "left", small=True)
+    marginal = F.col("quality") + F.lit(weight) * F.col("far")
+    out = []
+    while len(out) < slots:
+        best = left.agg(F.min(F.struct((-marginal).alias("m"), (-F.col("quality")).alias("q"), "asset_id", "quality", "far")).alias("b")).first()["b"]
+        if best is None:
+            break
+        out.append((best.asset_id, len(out), best.quality, best.far, -best.m))
+        if len(out) == slots:
+            break
+        ends = [distances.where(F.col(x) == best.asset_id).select(F.col(y).alias("asset_id"), "distance") for x, y in (("first_id", "second_id"), ("second_id", "first_id"))]
+        near = ends[0].union(ends[1]).groupBy("asset_id").agg(F.coalesce(F.min("distance"), F.lit(0.0)).alias("_d"))
+        d = F.coalesce("_d", F.lit(0.0))
+        rest = left.where(F.col("asset_id") != best.asset_id).join(near, "asset_id", "left").select("asset_id", "quality", (d if len(out) == 1 else F.least("far", d)).alias("far"))
+        after = materialize(rest, "left", small=True)
+        discard(left)
+        left = after
+    discard(left)
+    return df.sparkSession.createDataFrame(out, "asset_id long, step int, quality double, diversity double, marginal double")
+
+
 def select_diverse(assets: DataFrame, distances: DataFrame, rules: list[tuple[str, float, bool]], most: int, weight: float) -> DataFrame:
     """G12 with diversity: (asset_id, step, quality, diversity, marginal) of the selected assets.
 
-    Each step depends on all before it, so one task does the selection; more than MOST_DIVERSE assets or MOST_DISTANCES distances raise.
+    Each step depends on all before it: up to MOST_DIVERSE assets and MOST_DISTANCES distances are
+    one task's work, more are selected step by step over all tasks.
     """
     df = quality(assets, rules).select("asset_id", "quality")
     if df.limit(MOST_DIVERSE + 1).count() > MOST_DIVERSE or distances.limit(MOST_DISTANCES + 1).count() > MOST_DISTANCES:
-        raise ValueError(f"more than {MOST_DIVERSE} assets or {MOST_DISTANCES} distances to select from with diversity")
+        return _diverse_steps(df, distances, weight, most)
     rows = df.select("asset_id", "quality", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("distance"), F.lit(0).alias("one"))
     edges = distances.select(F.least("first_id", "second_id").alias("asset_id"), F.lit(None).cast("double").alias("quality"), F.greatest("first_id", "second_id").alias("other"), "distance", F.lit(0).alias("one"))
 

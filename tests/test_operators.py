@@ -381,6 +381,17 @@ def test_selection(spark):
     assert [r.asset_id for r in dataset.select_diverse(a.where("q is not null"), d, [("q", 1.0, False)], 2, 2.0).orderBy("step").collect()] == [3, 1]
 
 
+def test_diverse_selection_beyond_one_task(spark, monkeypatch):
+    """More assets or distances than one task takes are selected step by step, with the same result."""
+    rng = random.Random(5)
+    a = spark.createDataFrame([(i, float(rng.randrange(6))) for i in range(12)], "asset_id long, q double")
+    d = spark.createDataFrame([(i, j, rng.random()) if rng.random() < 0.5 else (j, i, 0.5) for i in range(12) for j in range(i) if rng.random() < 0.7], "first_id long, second_id long, distance double")
+    columns = ("step", "asset_id", "quality", "diversity", "marginal")
+    want = [rows(dataset.select_diverse(a, d, [("q", 1.0, False)], most, 0.8), *columns) for most in (5, 20)]
+    monkeypatch.setattr(dataset, "MOST_DIVERSE", 10)
+    assert [rows(dataset.select_diverse(a, d, [("q", 1.0, False)], most, 0.8), *columns) for most in (5, 20)] == want and len(want[1]) == 12
+
+
 # -- sequences ---------------------------------------------------------------------------------
 
 
