@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 PARTIAL_OFFSET = PARTIAL_SIZE = 16 * 1024
 #: Bytes of each of the three samples, and the size up to which they are the whole digest.
 SAMPLE, SAMPLED_FROM = 1024 * 1024, 3 * 1024 * 1024
+#: The kind of group that a dataset's units are.
+UNIT = "dataset-cluster"
 
 
 def _sha(*parts: Column) -> Column:
@@ -51,7 +53,7 @@ def group_id(kind: str, members: Column, discriminator: str = "") -> Column:
 
 def unit_id(members: Column) -> Column:
     """Of one member an id of its own, of more a group id."""
-    return F.when(F.size(members) == 1, _sha(F.lit("dataset-cluster"), members[0])).otherwise(group_id("dataset-cluster", members))
+    return F.when(F.size(members) == 1, _sha(F.lit(UNIT), members[0])).otherwise(group_id(UNIT, members))
 
 
 def action_id(group: Column, target: Column, operation: Column) -> Column:

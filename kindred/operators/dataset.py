@@ -1,12 +1,16 @@
 """Dataset preparation: bundles, selection, splits, actions."""
 
+import hashlib
+from itertools import groupby
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kindred.functions.digests import action_id, split_of, unit_id
+from kindred.functions.digests import UNIT, action_id, split_of, unit_id
 from kindred.functions.text import extension, file_name, without_extension
 from kindred.operators.groups import dataset_clusters
-from kindred.shared import discard, materialize
+from kindred.shared import discard, materialize, tidy
 
 #: Assets, and distances between them, up to which one task makes a whole selection with diversity; beyond, each step is a job of its own.
 MOST_DIVERSE, MOST_DISTANCES = 50_000, 5_000_000
@@ -44,12 +48,45 @@ def sidecar_conflicts(members: DataFrame) -> DataFrame:
     return s.join(n, "group_id").select("group_id", "slot", kind.alias("kind"), "have", "members", "contents").where("kind is not null")
 
 
+def _unit_ids(batches):
+    """(cluster_id, unit_id) of rows (cluster_id, asset_id) in their order, each once: unit_id() with members hashed as they come, so a cluster is never held as a whole."""
+    at, first, sha, open_ = None, None, None, False
+
+    def told():
+        return hashlib.sha256(f"{UNIT}\0{first}".encode()).hexdigest() if sha is None else f"{UNIT}:{sha.hexdigest()}"
+
+    for batch in batches:
+        out = []
+        for cluster, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda r: r[0]):
+            members = [m for _, m in rows]
+            if not open_ or cluster != at:
+                if open_:
+                    out.append((at, told()))
+                at, first, sha, open_ = cluster, members.pop(0), None, True
+            if members:
+                if sha is None:
+                    sha = hashlib.sha256(f"{UNIT}\0\0{first}".encode())
+                sha.update(("\0" + "\0".join(members)).encode())
+        yield _told(out, batch.schema)
+    if open_:
+        yield _told([(at, told())], batch.schema)
+
+
+def _told(ids: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in ids], schema.field(0).type), pa.array([u for _, u in ids], pa.string())], names=["cluster_id", "unit_id"])
+
+
 def units(assets: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit_id, asset_id) of clusters and single assets, and issues: unknown members, overlaps, clusters of one."""
-    known = clusters.join(assets.select("asset_id"), "asset_id", "left_semi")
-    lists = known.groupBy("cluster_id").agg(F.array_sort(F.collect_set("asset_id")).alias("m"))
-    single = assets.join(known.select("asset_id"), "asset_id", "left_anti").select(F.array("asset_id").alias("m"))
-    made = lists.select("m").union(single).select(unit_id(F.col("m")).alias("unit_id"), F.explode("m").alias("asset_id"))
+    """(unit_id, asset_id) of clusters and single assets, and issues: unknown members, overlaps, clusters of one.
+
+    A cluster's id is made once, by one task that reads its sorted members, and joined with them.
+    """
+    known = clusters.join(assets.select("asset_id"), "asset_id", "left_semi").select("cluster_id", "asset_id")
+    members = known.repartition("cluster_id").distinct()
+    types = dict(clusters.dtypes)
+    ids = members.sortWithinPartitions("cluster_id", "asset_id").select("cluster_id", F.col("asset_id").cast("string")).mapInArrow(tidy(_unit_ids), f"cluster_id {types['cluster_id']}, unit_id string").withColumnRenamed("cluster_id", "_c")
+    single = assets.join(known.select("asset_id"), "asset_id", "left_anti").select(unit_id(F.array("asset_id")).alias("unit_id"), "asset_id")
+    made = members.join(ids, F.col("cluster_id").eqNullSafe(F.col("_c"))).select("unit_id", "asset_id").union(single)
     issue = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col("x").cast("string").alias("id"))
     issues = issue("unknown_member", clusters.join(assets.select("asset_id"), "asset_id", "left_anti").select(F.col("asset_id").alias("x")))
     issues = issues.union(issue("overlap", clusters.groupBy("asset_id").agg(F.count_distinct("cluster_id").alias("n")).where("n > 1").select(F.col("asset_id").alias("x"))))

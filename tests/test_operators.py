@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -392,6 +393,25 @@ def test_diverse_selection_beyond_one_task(spark, monkeypatch):
     assert [rows(dataset.select_diverse(a, d, [("q", 1.0, False)], most, 0.8), *columns) for most in (5, 20)] == want and len(want[1]) == 12
 
 
+def test_units_of_large_clusters(spark):
+    """A cluster's id is made once of its members as they are read: no row carries the members of its cluster, and batches end anywhere."""
+    members = {"a": [str(i) for i in range(3000)], "b": ["7"], None: ["x", "\u00e9", "y"], "c": ["8", "unknown"]}
+    a = spark.createDataFrame([(str(i),) for i in range(3002)] + [("x",), ("\u00e9",), ("y",)], "asset_id string")
+    c = spark.createDataFrame([(k, m) for k, ms in members.items() for m in [*ms, ms[0]]], "cluster_id string, asset_id string")
+    members["c"].pop()
+    made, issues = dataset.units(a, c)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    sha = lambda *parts: hashlib.sha256("\0".join(parts).encode()).hexdigest()
+    want = [(sha("dataset-cluster", ms[0]) if len(ms) == 1 else "dataset-cluster:" + sha("dataset-cluster", "", *sorted(ms)), m) for ms in [*members.values(), ["3000"], ["3001"]] for m in ms]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows(made, "unit_id", "asset_id") == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert rows(issues, "kind", "id") == [("incomplete", "b"), ("overlap", "7"), ("overlap", "8"), ("unknown_member", "unknown")]
+
+
 # -- sequences ---------------------------------------------------------------------------------
 
 
