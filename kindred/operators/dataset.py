@@ -16,14 +16,17 @@ from kindred.shared import discard, materialize, tidy
 MOST_DIVERSE, MOST_DISTANCES = 50_000, 5_000_000
 
 
-def bundles(primaries: DataFrame, sidecars: DataFrame, extensions: tuple[str, ...], required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def bundles(primaries: DataFrame, sidecars: DataFrame, extensions: tuple[str, ...], required: tuple[str, ...] = (), naming: str = "both") -> tuple[DataFrame, DataFrame]:
     """(asset_id, sidecar_path, slot) of sidecars with one owner, and issues (kind, asset_id, path, slot).
 
-    A sidecar belongs to an asset whose path without its extension, or whole path, it continues.
+    A sidecar belongs to an asset whose path without its extension (``naming`` stem), whole path
+    (full_name), or either (both) it continues.
     """
+    stems = {"stem": [without_extension(F.col("primary_path"))], "full_name": [F.col("primary_path")]}
+    stems["both"] = stems["stem"] + stems["full_name"]
     ext = F.explode(F.array(*map(F.lit, extensions)))
     keyed = primaries.select("asset_id", "primary_path", ext.alias("slot"))
-    keys = keyed.select("asset_id", "slot", F.explode(F.array(F.concat(without_extension(F.col("primary_path")), F.lit("."), "slot"), F.concat("primary_path", F.lit("."), "slot"))).alias("sidecar_path")).distinct()
+    keys = keyed.select("asset_id", "slot", F.explode(F.array(*[F.concat(x, F.lit("."), "slot") for x in stems[naming]])).alias("sidecar_path")).distinct()
     s = sidecars.select("sidecar_path").distinct()
     owned = s.join(keys, "sidecar_path", "left").groupBy("sidecar_path").agg(F.collect_set("asset_id").alias("owners"))
     slot = extension(file_name(F.col("sidecar_path")))

@@ -367,6 +367,15 @@ def test_bundles(spark):
     assert rows(issues, "kind") == [("ambiguous_owner",), ("missing_required",), ("multiple_for_slot",), ("orphan",)]
 
 
+def test_bundles_by_naming(spark):
+    """Where sidecars go by whole paths alone, x.txt is not x.html's too, nor y.txt y.html's."""
+    p = spark.createDataFrame([("x", "x"), ("x.html", "x.html"), ("y.html", "y.html")], "asset_id string, primary_path string")
+    s = spark.createDataFrame([("x.txt",), ("x.html.txt",), ("y.txt",)], "sidecar_path string")
+    for naming, owned, kinds in (("full_name", [("x", "x.txt"), ("x.html", "x.html.txt")], ["orphan"]), ("stem", [("y.html", "y.txt")], ["ambiguous_owner", "orphan"])):
+        attached, issues = dataset.bundles(p, s, ("txt",), naming=naming)
+        assert rows(attached, "asset_id", "sidecar_path") == owned and rows(issues, "kind") == [(k,) for k in kinds]
+
+
 def test_split_precedence(spark):
     c = spark.createDataFrame([("c1", "m1"), ("c2", "m2"), ("c2", "m3"), ("c2", "m4"), ("c3", "m9")], "cluster_id string, member_id string")
     prev = spark.createDataFrame([("c1", "m1", "test"), ("o", "m2", "train"), ("o2", "m3", "test"), ("o3", "m4", "test")], "cluster_id string, member_id string, split string")
