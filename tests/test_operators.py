@@ -356,6 +356,16 @@ def test_pages(spark):
     assert rows(catalog.digest_page(g, after_size=1, after_digest="a", limit=1), "size") == [(2,)] * 3
 
 
+def test_batches_until_none_is_pending(spark):
+    """As many batches as it takes: three of two items, then the unreadable one's other attempts."""
+    items = spark.createDataFrame([(i, i, "pending", None, None, 0) for i in range(5)], "item_id long, content_version_id long, status string, owner string, lease_until double, attempts int")
+    contents = spark.createDataFrame([(i, bytearray(b"x")) for i in range(5) if i != 4], "content_version_id long, content binary")
+    left, made = catalog.run_batches(items, contents, "me", 1.0, 1.0, 2)
+    assert rows(left, "item_id", "status", "attempts") == [*[(i, "complete", 0) for i in range(4)], (4, "failed", 3)]
+    assert sorted(r.content_version_id for m in made for r in m.collect()) == [0, 1, 2, 3] and len(made) == 5
+    assert len(catalog.run_batches(items, contents, "me", 1.0, 1.0, 2, 1)[1]) == 1
+
+
 # -- datasets ----------------------------------------------------------------------------------
 
 
