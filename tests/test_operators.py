@@ -542,6 +542,24 @@ def test_spans_of_videos_are_dealt_to_several_tasks(spark, monkeypatch):
     assert rows(sequence.metadata_candidates(v), "first_id", "second_id", "kind") == want and len(want) == 60 * 59 // 2
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_sums_of_candidates_equal_their_pairs(spark, monkeypatch, odd):
+    """Of several shapes, rates and codecs, over short and long durations and several parts of a bucket; no pairs are made unless a number is missing."""
+    rng = random.Random(3)
+    shape = lambda: rng.choice([(1920, 1080), (1280, 720), (1900, 1080), (640, 480), (650, 480)])
+    v = spark.createDataFrame([(i, (rng.choice([0.4, 1.3, 2.0, 9.9, 10.0, 10.9, 50.0, 51.0, 99.9, 100.0, 101.5, 480.0, 900.0]), *shape(), rng.choice([25.0, 25.5, 30.0]), rng.choice("ab"), "x")) for i in range(200)] + [(200, (5.0, 640, 480, None, "a", "x"))] * odd, "id int, meta struct<duration_seconds:double,width:int,height:int,frame_rate:double,video_codec:string,pixel_format:string>")
+    pairs = sequence.metadata_candidates(v)
+    other = F.col("second_id").cast("long")
+    want = rows(pairs.groupBy("first_id", "kind").agg(F.count("*").alias("n"), F.sum(other).alias("ids"), F.sum(other * other % 1_000_003).alias("squares"), F.round(F.sum("score"), 6).alias("score")), "first_id", "kind", "n", "ids", "squares", "score")
+    assert {w[1] for w in want} == {"same_encode", "transcode", "trim", "related"}
+    monkeypatch.setattr(sequence, "AT_A_SHAPE", 30)
+    if not odd:
+        monkeypatch.setattr(sequence, "metadata_candidates", None)
+    got = rows(sequence.metadata_sums(v).withColumn("score", F.round("score", 6)), "first_id", "kind", "n", "ids", "squares", "score")
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want], abs=1e-5)
+
+
 # -- reports -----------------------------------------------------------------------------------
 
 
