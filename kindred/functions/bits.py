@@ -1,5 +1,7 @@
 """Fingerprints: Hamming distances, perceptual hashes, histograms and blocks."""
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -92,6 +94,7 @@ def dimensions_compatible(a: Column, b: Column, scaled: bool, rotated: bool) ->
     return F.lit(True) if scaled else (same | turned if rotated else same)
 
 
+@functools.lru_cache(64)
 def _cosines(n: int, k: int) -> np.ndarray:
     i = np.arange(n)
     m = np.cos(np.pi * (2 * i[None, :] + 1) * np.arange(k)[:, None] / (2 * n)) * np.sqrt(2 / n)
@@ -124,7 +127,8 @@ def blocks_of(pixels: np.ndarray, n: int) -> np.ndarray:
     h, w = pixels.shape[:2]
     bh, bw = max(h // n, 1), max(w // n, 1)
     ys, xs = (np.minimum(np.arange(n) * b, max(d - b, 0)) for b, d in ((bh, h), (bw, w)))
-    return np.array([[pixels[y : y + bh, x : x + bw].reshape(-1, 3).sum(axis=0) // (bh * bw) for x in xs] for y in ys]).reshape(-1, 3)
+    cells = pixels[(ys[:, None] + np.arange(bh)).ravel()][:, (xs[:, None] + np.arange(bw)).ravel()]
+    return (cells.reshape(n, bh, n, bw, 3).sum(axis=(1, 3)) // (bh * bw)).reshape(-1, 3)
 
 
 def orientations_of(grid: np.ndarray) -> list[np.ndarray]:

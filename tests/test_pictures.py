@@ -2,8 +2,11 @@ import hashlib
 import math
 import statistics
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import exif, pixels
@@ -57,6 +60,53 @@ def test_image_features_as_a_column(spark):
     assert rows[2].phashes is None
 
 
+class Batches:
+    """In place of a table: gives the function that Spark would run over batches."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def picture_batch(grids):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(grids)), pa.int64()), pa.array(grids, pa.list_(pa.list_(pa.list_(pa.int32()))))], names=["id", "pixels"])
+
+
+def test_image_features_of_a_large_batch_in_little_memory(spark):
+    grids = [scene(24, 24, seed).tolist() for seed in range(7)]
+    batch = picture_batch([None if i % 50 == 49 else grids[i % 7] for i in range(600)])
+    run = pixels.image_features(Batches(spark))
+    seen = []
+    tracemalloc.start()
+    for out in run(iter([batch.slice(0, 7)])):  # modules and weights that stay
+        first = out.to_pylist()
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    for out in run(iter([batch])):
+        seen += zip(out.column("id").to_pylist(), out.column("thumbnail").to_pylist(), out.column("blocks").is_null().to_pylist(), strict=True)
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 20e6, peak
+    assert seen == [(i, None if i % 50 == 49 else first[i % 7]["thumbnail"], i % 50 == 49) for i in range(600)]
+
+
+def test_image_features_of_a_part_of_a_batch(spark):
+    grids = [scene(24, 24, 1).tolist(), None, scene(6, 40, 2).tolist(), scene(60, 8, 3).tolist()]
+    run = pixels.image_features(Batches(spark))
+    rows = [r for out in run(iter([picture_batch(grids).slice(1, 3)])) for r in out.to_pylist()]
+    assert [r["id"] for r in rows] == [1, 2, 3] and set(rows[0].values()) == {1, None}
+    for r, px in zip(rows[1:], grids[2:], strict=True):
+        assert r["dimensions"] == {"w": len(px[0]), "h": len(px)} and r["blocks"] == [slow_blocks(x) for x in slow_sides(px)]
+    for odd in ([[[1, 2, 3], [1, 2, 3]], [[1, 2, 3]]], [[[1, 2, 3], [1, 2]]], [[[1, 2, 3], None]], [[[1, 2, None]]]):
+        with pytest.raises((ValueError, TypeError)):
+            list(run(iter([picture_batch([odd])])))
+
+
 def exif_file(order="<"):
     entry = lambda tag, kind, n, v: struct.pack(order + "HHI", tag, kind, n) + v
     when = b"2020:01:02 03:04:05\0"
