@@ -215,6 +215,15 @@ def slow_blockiness(px):
     return round(min(1.0, excess / 24), 6) if excess > 0 else 0.0
 
 
+def test_pixel_grids_equal_plain_loops(spark, sf_dir):
+    vectors = {r.vec_id: r.embedding for r in views.table(spark, sf_dir, "embeddings").collect()}
+    rows = {r.id: r.pixels for r in views.pixel_grids(spark, sf_dir).collect()}
+    assert set(rows) == set(vectors)
+    for i in sorted(vectors)[:30]:
+        framed = lambda y, x: i % 3 == 0 and not (4 <= y < 20 and 4 <= x < 16)  # noqa: B023, E731
+        assert rows[i] == [[[250 if framed(y, x) else int(abs(vectors[i][(y // 4 * 6 + x // 4 * 5 + c * 11) % 64]) * 900) % 256 for c in range(3)] for x in range(20)] for y in range(24)]
+
+
 def test_pixel_features_equal_plain_loops(spark, sf_dir):
     grids = {r.id: [[list(p) for p in row] for row in r.pixels] for r in views.pixel_grids(spark, sf_dir).collect()}
     rows = {r.id: r for r in QUERIES["pixel_features"](spark, sf_dir).collect()}
